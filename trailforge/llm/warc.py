@@ -159,12 +159,15 @@ def write_warc(plan: DataFrame, folder: str, max_bytes: int = 1 << 30) -> DataFr
         close()
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "records": [x[1] for x in done], "bytes": [x[2] for x in done]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    batch_rows(plan.sparkSession)
+    batch_rows(plan.sparkSession, 256)
     return plan.select("id", "url", "payload", "digest", "first", "revisit").mapInArrow(write, "path string, records long, bytes long")
 
 
-def read_warc(files: DataFrame) -> DataFrame:
-    """Read archives (column path) record by record, verifying lengths and digests."""
+def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
+    """Read archives (column path) record by record, verifying lengths and digests.
+
+    Without payloads that column is null; the records are read and verified all the same.
+    """
 
     def read(batches):
         import pyarrow as pa
@@ -177,8 +180,8 @@ def read_warc(files: DataFrame) -> DataFrame:
                 with fs.open_input_stream(where, compression=None) as source:
                     for data in members(source):
                         r = parse(data)
-                        rows.append((_page(r["warc"]["warc-record-id"]), r["payload_bytes"], r["digest"], r["warc"]["warc-type"], _page(r["warc"]["warc-refers-to"]) if r["revisit"] else None, r["warc"]["warc-target-uri"], None if r["revisit"] else r["payload"]))
-                        held += len(r["payload"])
+                        rows.append((_page(r["warc"]["warc-record-id"]), r["payload_bytes"], r["digest"], r["warc"]["warc-type"], _page(r["warc"]["warc-refers-to"]) if r["revisit"] else None, r["warc"]["warc-target-uri"], r["payload"] if payloads and not r["revisit"] else None))
+                        held += len(r["payload"]) * payloads
                         if len(rows) >= 1000 or held > 16 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                             rows, held = [], 0
@@ -201,4 +204,4 @@ def files_written(written: DataFrame) -> DataFrame:
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     plan = plan_revisits(tables(spark, sf_dir, "pages"))
     files = files_written(write_warc(plan, scratch(spark, "warc")))
-    return read_warc(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
