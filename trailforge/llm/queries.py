@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, packing, quality, sharding, sstable, warc
+from . import ann, minhash, mixing, packing, quality, sharding, sstable, warc
 
 QUERIES = {
     "op1_sstable": sstable.op1_sstable,
     "op2_sharding": sharding.op2_sharding,
     "op3_ann": ann.op3_ann,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op7_minhash": minhash.op7_minhash,
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
