@@ -80,7 +80,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, offset
 
 
-def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, keep_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, keep_ids: bool = False, split: str | None = None) -> DataFrame:
     """The pieces of every document (columns doc_id and text): full windows, then the rest."""
 
     def cut(batches):
@@ -90,7 +90,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int =
         task, n = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             rows, ids_of = [], []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(tokenizer_file, batch.column("text").to_pylist(), end_id), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(tokenizer_file, batch.column("text").to_pylist(), end_id, split), strict=True):
                 data = ids.astype("<u4")
                 for at in range(0, len(data), window):
                     part = data[at : at + window].tobytes()
@@ -143,9 +143,9 @@ def sequences(packed: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFra
     return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(join, "sequence_id long, n_tokens long, ids array<int>")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096) -> DataFrame:
-    return pack(store(cut_pieces(docs, tokenizer_file, end_id, window), "pieces"), window)
+def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, split: str | None = None) -> DataFrame:
+    return pack(store(cut_pieces(docs, tokenizer_file, end_id, window, split=split), "pieces"), window)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(tables(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), 2)
+    return pack_documents(tables(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), 2, split="white_space")

@@ -214,7 +214,7 @@ class Reader:
         return found
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, block_bytes: int = 1 << 18) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, block_bytes: int = 1 << 18, split: str | None = None) -> DataFrame:
     """Encode documents and write them as shards in ascending doc_id order.
 
     Returns a row for each shard (shard, path, entries, tokens); its order is
@@ -231,7 +231,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
         fs, root = open_fs(folder)
         part, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(tokenizer_file, batch.column("text").to_pylist(), end_id), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(tokenizer_file, batch.column("text").to_pylist(), end_id, split), strict=True):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     tmp = f"{root}/_{part:06d}-{uuid.uuid4().hex}"
@@ -295,7 +295,7 @@ def lookup(shards: DataFrame, doc_ids: list[int | None]) -> dict[int | None, lis
 
 
 def op1_sstable(spark, sf_dir: str) -> DataFrame:
-    written = write_shards(tables(spark, sf_dir, "documents"), scratch(spark, "sst"), public_path("byte_bpe_50k.json"), 0)
+    written = write_shards(tables(spark, sf_dir, "documents"), scratch(spark, "sst"), public_path("byte_bpe_50k.json"), 0, split="byte_level")
     path = scratch(spark, "shards")
     written.write.parquet(path)
     shards = spark.read.schema(written.schema).parquet(path)

@@ -1,13 +1,33 @@
-"""Token ids of whole texts, by a tokenizer file whose path is a parameter."""
+"""Token ids of whole texts, by a tokenizer file whose path is a parameter.
+
+Texts can be encoded as they are, or by chunks that are remembered: most words of
+a corpus come again and again. ``split`` names a rule that only cuts where the
+tokenizer's own pre-tokenizer cuts whatever stands around, so the ids are
+those of the whole text:
+
+* "byte_level": before a lone space and around a lone line feed, between
+  characters that are not white space (a byte-level pre-tokenizer starts a new
+  piece at such a space, and makes such a line feed a piece of its own);
+* "white_space": at ASCII white space, for tokenizers that drop white space;
+* None: whole texts.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 _loaded: dict[str, object] = {}
+_known: dict = {}
+#: Chunks that a worker remembers, and the length of the longest it does.
+MOST_CHUNKS, LONGEST_CHUNK = 400_000, 64
+_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
+_BYTE_LEVEL = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+_ASCII_SPACE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
 def tokenizer(path: str):
@@ -28,13 +48,54 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(path: str, texts: list[str], end_id: int, at_once: int = 64) -> Iterator[np.ndarray]:
+def chunks(text: str, split: str | None) -> list[str]:
+    """The chunks of a text whose ids, one after another, are the text's ids."""
+    if split is None:
+        return [text]
+    if split == "white_space":
+        return _ASCII_SPACE.findall(text)
+    if split != "byte_level":
+        raise ValueError(f"no such rule: {split}")
+    if _ODD.search(text):
+        return _BYTE_LEVEL.split(text)
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else _BYTE_LEVEL.split(text)
+
+
+class _Known:
+    """The ids of chunks met before, as bytes; of two generations, the older is dropped when the younger is full."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, cut: list[list[str]], t) -> dict[str, bytes]:
+        """Encode what is new; returns a table that has every chunk."""
+        if len(self.young) > MOST_CHUNKS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = set(chain.from_iterable(cut)).difference(young)
+        new = [c for c in missing if c not in old]
+        young.update((c, old[c]) for c in missing if c in old)
+        young.update(zip(new, (np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        long = [c for c in new if len(c) > LONGEST_CHUNK]
+        if not long:
+            return young
+        table = dict(young) if len(young) < 10_000 else {c: young[c] for c in set(chain.from_iterable(cut))}
+        for c in long:
+            del young[c]
+        return table
+
+
+def encode(path: str, texts: list[str], end_id: int, split: str | None = None, at_once: int = 256) -> Iterator[np.ndarray]:
     """The ids of each text, the end id appended."""
     t = tokenizer(path)
+    end = np.array([end_id], np.uint32).tobytes()
     for i in range(0, len(texts), at_once):
-        for e in t.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
-            own = e.ids
-            ids = np.empty(len(own) + 1, np.uint32)
-            ids[:-1] = own
-            ids[-1] = end_id
-            yield ids
+        if split is None:
+            for e in t.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
+                yield np.frombuffer(np.array(e.ids, np.uint32).tobytes() + end, np.uint32)
+        else:
+            cut = [chunks(x, split) for x in texts[i : i + at_once]]
+            get = _known.setdefault((path, split), _Known()).learn(cut, t).__getitem__
+            for x in cut:
+                yield np.frombuffer(b"".join(map(get, x)) + end, np.uint32)
