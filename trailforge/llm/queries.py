@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, minhash, mixing, packing, quality, sharding, sstable, suffixes, warc
+from . import ann, lm, minhash, mixing, packing, quality, sharding, sstable, suffixes, warc
 
 QUERIES = {
     "op1_sstable": sstable.op1_sstable,
     "op2_sharding": sharding.op2_sharding,
     "op3_ann": ann.op3_ann,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_gru_lm": lm.op5_gru_lm,
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_minhash": minhash.op7_minhash,
     "op8_warc": warc.op8_warc,
