@@ -9,10 +9,14 @@ with 16 groups of 3 that is 0.99998 at 0.8.
 Documents with equal shingle sets are one class, picked before the shuffle. Small
 hashes that only one class has can't be in a shared table and are left out
 before tables are formed. A table's bucket is never expanded into pairs: each
-class is first linked to one pivot of its buckets; then, while a bucket holds
-several components, the least of its smallest component is compared with
-its members of other components and retired. Every candidate is confirmed on the exact shingle sets
-of the whole texts.
+class is first compared with the pivot it shares most tables with; then, in rounds,
+each bucket that still holds several components takes a new pivot by a hash, and
+its members of other components are compared with it. A class is in up to
+groups**2 tables, so in one round it meets as many pivots (in the first one
+only the three it shares most tables with); rounds go on until one joins no
+components. Candidates must agree in set size and in
+``least_equal`` of the small hashes (at similarity 0.8 all but 5 in 100,000 do), and
+are then confirmed on the exact shingle sets of the whole texts.
 
 Defined results: null or empty texts, and texts of white space, have no shingles,
 are linked with nothing and stay; repeated rows are copies of each other; a null
@@ -122,13 +126,13 @@ def similar(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 16, depth: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 16, depth: int = 3, least_equal: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("thash", F.xxhash64("text"))
     rows = store(signatures(docs, words, groups, depth), "signatures")
     first = Window.partitionBy("set_id").orderBy(F.col("doc_id").asc_nulls_last(), "thash")
-    classes = rows.where("set_id is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "n_shingles")
+    classes = rows.where("set_id is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     classes = store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     small = classes.select("cid", F.posexplode("halves").alias("pos", "h"))
@@ -149,27 +153,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
         with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
         return similar(with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b"), words, percent)
 
+    marks = store(classes.join(live, "cid").select("cid", "n_shingles", "halves"), "marks")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Without the pairs whose set sizes or small hashes rule the similarity out."""
+        sides = [marks.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("halves").alias(f"h_{x}")) for x in "ab"]
+        both = pairs.join(sides[0], "a").join(sides[1], "b")
+        near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+        equal = F.size(F.filter(F.zip_with("h_a", "h_b", lambda x, y: x == y), lambda x: x))
+        return both.where(near).where(equal >= least_equal).select("a", "b")
+
+    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     votes = buckets.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("n"))
     best = votes.groupBy("cid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    tried = store(best.select(F.col("cid").alias("a"), F.col("pivot").alias("b")), "tried")
+    tried = store(likely(best.select(*pair("cid", "pivot")).distinct()), "tried")
     links = store(confirm(tried), "links")
-    retired = None
+    buckets, turn = buckets.select("bucket", "cid"), 0
     while True:
         roots = components(links)
-        held = buckets.select("bucket", "cid") if retired is None else buckets.select("bucket", "cid").join(retired, ["bucket", "cid"], "left_anti")
-        held = held.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
-        mixed = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
-        open_ = store(held.join(mixed, "bucket"), "open")
-        buckets = open_
-        sizes = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("cid").alias("least"))
-        lead = sizes.groupBy("bucket").agg(F.min_by(F.struct("least", "root"), F.struct("n", "least")).alias("lead")).select("bucket", F.col("lead.least").alias("lead"), F.col("lead.root").alias("lead_root"))
-        if lead.isEmpty():
+        held = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+        order = F.xxhash64("cid", "bucket", F.lit(turn))
+        leads = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("cid", "root"), order).alias("lead")).where("r0 < r1").select("bucket", "lead")
+        open_ = store(held.join(leads, "bucket"), "open")
+        met = open_.where("root <> lead.root").groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
+        if not turn:  # most of a large group comes together here, by the few pivots each class shares most tables with
+            nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("n"), "lead"))
+            met = met.withColumn("nth", nth).where("nth <= 3")
+        new = store(likely(met.select(*pair("cid", "lead")).distinct().join(tried, ["a", "b"], "left_anti")), "tried")
+        found = store(confirm(new), "links")
+        if turn and found.isEmpty():
             break
-        pairs = open_.join(lead, "bucket").where("root <> lead_root").select(F.greatest("cid", "lead").alias("a"), F.least("cid", "lead").alias("b")).distinct()
-        new = store(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        links = store(links.union(confirm(new)), "links")
-        tried = tried.union(new)
-        retired = store(lead.select("bucket", F.col("lead").alias("cid")), "retired")
+        links, tried, buckets, turn = links.union(found), tried.union(new), open_.select("bucket", "cid"), turn + 1
 
     named = classes.select("cid", "set_id", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("set_id", "doc_id", F.coalesce("root", "cid").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
