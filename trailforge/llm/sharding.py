@@ -21,6 +21,7 @@ manifest without rows and reads back empty; no input column is reserved.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ class ManifestConflict(RuntimeError):
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType, target_bytes: int = 128 << 20, min_merge: int = 4, ratio: float = 4.0):
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, target_bytes: int = 128 << 20, min_merge: int = 4, ratio: float = 4.0, groups_per_job: int = 128):
         self.spark, self.folder, self.schema = spark, folder, schema
-        self.target_bytes, self.min_merge, self.ratio = target_bytes, min_merge, ratio
+        self.target_bytes, self.min_merge, self.ratio, self.groups_per_job = target_bytes, min_merge, ratio, groups_per_job
 
     # -- manifest ---------------------------------------------------------
 
@@ -111,13 +112,15 @@ class ShardStore:
             due = [(r.path, r.group) for r in self.plan(version).collect()]  # metadata: one row for each shard
             if not due:
                 return rounds
-            names = {g: i for i, g in enumerate(sorted({g for _, g in due}))}
-            plan = self.spark.createDataFrame([(p, names[g]) for p, g in due], "__path string, __group int")
-            files = self.spark.read.schema(self.schema).parquet(*(p for p, _ in due))
-            group = f"__group_{uuid.uuid4().hex[:8]}"
-            rows = files.select(F.struct(*self.schema.names).alias("__row"), files.metadataColumn("_metadata")["file_path"].alias("__path")).join(plan, "__path").withColumnRenamed("__group", group)
-            merged = rows.repartition(len(names), group).select("__row.*", group)
-            new = self._write(merged, group, version + 1)
+            groups: dict[str, list[str]] = {}
+            for path, group in due:
+                groups.setdefault(group, []).append(path)
+            plan = self.spark.createDataFrame(due, "__path string, __group string")
+            new, names = None, sorted(groups)
+            for i in range(0, len(names), self.groups_per_job):  # a group is one task: no shuffle
+                parts = [self.spark.read.schema(self.schema).parquet(*groups[g]).coalesce(1) for g in names[i : i + self.groups_per_job]]
+                part = self._write(reduce(DataFrame.unionAll, parts), None, version + 1)
+                new = part if new is None else new.unionByName(part)
             old = self.manifest(version).join(plan.select(F.col("__path").alias("path")), "path", "left_anti")
             self._commit(old.unionByName(new), version + 1)
             self.vacuum()
