@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, lm, minhash, mixing, packing, quality, sharding, sstable, suffixes, warc
 
 QUERIES = {
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op2_sharding": sharding.OP2_SQL}

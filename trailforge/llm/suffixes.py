@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -369,12 +370,16 @@ def hash_of(place: tuple[bytes, int], subs: int) -> int:
     return int.from_bytes(hashlib.blake2b(place[0] + place[1].to_bytes(4, "little"), digest_size=4).digest(), "big") % subs
 
 
+def _decoded(b: pd.Series) -> pd.Series:
+    return b.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+
+
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated strings cut out of text; characters that a cut leaves incomplete go too."""
     marked = docs.select(F.struct(*docs.columns).alias("__row"), "text")
     rows, changed = remove_repeats(marked, length)
 
-    decode = F.pandas_udf(lambda b: b.map(lambda x: bytes(x).decode("utf-8", "ignore")), "string", F.PandasUDFType.SCALAR)
+    decode = F.pandas_udf(_decoded, "string")
     kept = changed.select("key", decode("kept").alias("__kept"))
     joined = rows.join(kept, "key", "left")
     return joined.select(*(F.coalesce("__kept", "__row.text").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
