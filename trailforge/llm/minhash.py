@@ -4,7 +4,7 @@ Two collections of ``groups`` small hashes (each of ``depth`` minhashes) are
 computed; a table is a pair of one hash of either collection. So groups**2 tables
 of 2*depth minhashes come from 2*groups*depth minhashes. Documents at
 similarity s share a table with probability (1 - (1 - s**depth)**groups)**2;
-with 16 groups of 3 that is 0.99998 at 0.8.
+with 20 groups of 4 that is 0.99995 at 0.8.
 
 Documents with equal shingle sets are one class, picked before the shuffle. Small
 hashes that only one class has can't be in a shared table and are left out
@@ -12,10 +12,10 @@ before tables are formed. A table's bucket is never expanded into pairs: each
 class is first compared with the pivot it shares most tables with; then, in rounds,
 each bucket that still holds several components takes a new pivot by a hash, and
 its members of other components are compared with it. A class is in up to
-groups**2 tables, so in one round it meets as many pivots (in the first one
-only the three it shares most tables with); rounds go on until one joins no
-components. Candidates must agree in set size and in
-``least_equal`` of the small hashes (at similarity 0.8 all but 5 in 100,000 do), and
+groups**2 tables, so a round has up to as many pivots for it; it is compared with
+all of them in the second round, and with the three or eight it shares most
+tables with in the first and the later ones, which go on until one joins no components. Candidates must agree in set size and in
+``least_equal`` of the small hashes (at similarity 0.8 all but 3 in 100,000 do), and
 are then confirmed on the exact shingle sets of the whole texts.
 
 Defined results: null or empty texts, and texts of white space, have no shingles,
@@ -126,7 +126,7 @@ def similar(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 16, depth: int = 3, least_equal: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 20, depth: int = 4, least_equal: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("thash", F.xxhash64("text"))
@@ -141,6 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     half = lambda test: F.transform(F.filter("own", lambda x: test(x["pos"])), lambda x: x["h"])
     own = own.select("cid", half(lambda p: p < groups).alias("left"), half(lambda p: p >= groups).alias("right"))
     table = own.select("cid", F.explode("left").alias("l"), "right").select("cid", "l", F.explode("right").alias("r")).select("cid", F.xxhash64("l", "r").alias("bucket"))
+    table = table.join(classes.select("cid", "n_shingles"), "cid")
     pivots = table.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most").select("bucket", "pivot")
     buckets = store(table.join(pivots, "bucket"), "buckets")
 
@@ -151,7 +152,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
 
     def confirm(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-        return similar(with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b"), words, percent)
+        with_b = with_a.withColumnRenamed("b", "cid").join(texts.withColumnRenamed("text", "text_b"), "cid")
+        return similar(with_b.withColumnRenamed("cid", "b"), words, percent)
 
     marks = store(classes.join(live, "cid").select("cid", "n_shingles", "halves"), "marks")
 
@@ -168,22 +170,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     best = votes.groupBy("cid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     tried = store(likely(best.select(*pair("cid", "pivot")).distinct()), "tried")
     links = store(confirm(tried), "links")
-    buckets, turn = buckets.select("bucket", "cid"), 0
+    buckets, turn = buckets.select("bucket", "cid", "n_shingles"), 0
     while True:
         roots = components(links)
-        held = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+        held = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "n_shingles", F.coalesce("root", "cid").alias("root"))
         order = F.xxhash64("cid", "bucket", F.lit(turn))
-        leads = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("cid", "root"), order).alias("lead")).where("r0 < r1").select("bucket", "lead")
+        leads = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("cid", "root", "n_shingles"), order).alias("lead")).where("r0 < r1").select("bucket", "lead")
         open_ = store(held.join(leads, "bucket"), "open")
-        met = open_.where("root <> lead.root").groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
-        if not turn:  # most of a large group comes together here, by the few pivots each class shares most tables with
+        size, other = F.col("n_shingles"), F.col("lead.n_shingles")
+        met = open_.where("root <> lead.root").where(F.least(size, other) * 100 >= F.greatest(size, other) * percent).groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
+        if turn != 1:  # most of a large group comes together by few pivots, and after the full round little is left
             nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("n"), "lead"))
-            met = met.withColumn("nth", nth).where("nth <= 3")
+            met = met.withColumn("nth", nth).where(f"nth <= {8 if turn else 3}")
         new = store(likely(met.select(*pair("cid", "lead")).distinct().join(tried, ["a", "b"], "left_anti")), "tried")
         found = store(confirm(new), "links")
         if turn and found.isEmpty():
             break
-        links, tried, buckets, turn = links.union(found), tried.union(new), open_.select("bucket", "cid"), turn + 1
+        links, tried, buckets, turn = links.union(found), tried.union(new), open_.select("bucket", "cid", "n_shingles"), turn + 1
 
     named = classes.select("cid", "set_id", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("set_id", "doc_id", F.coalesce("root", "cid").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
