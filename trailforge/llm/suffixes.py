@@ -39,7 +39,7 @@ from .common import _BYTE, _power_table, arrow_texts, batch_rows, mix, pieces, s
 
 GRAM = 24
 _INDEX_BITS = 24
-_SLICE = 1 << 20
+_SLICE = 1 << 17
 
 
 def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +49,7 @@ def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([t.astype(np.int64) + 1, np.zeros(7, np.int64)])  # 0: past the end
     for i in range(7):
         key = (key << 9) | padded[i : i + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     at, order, sorted_key, h = np.arange(n), sa, key[sa], 7
@@ -65,7 +65,7 @@ def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         order = sa[at]
         both = rank[order] * (n + 1) + rank[np.minimum(order + h, n)] + 1
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         order, sorted_key = order[by], both[by]
         sa[at] = order
         h *= 2
