@@ -164,7 +164,7 @@ def arrow_texts(column) -> tuple[np.ndarray, np.ndarray]:
     return data, starts - starts[0]
 
 
-def pieces(batches: Iterator, most_bytes: int = 24 << 20, column: str = "text") -> Iterator:
+def pieces(batches: Iterator, most_bytes: int = 4 << 20, column: str = "text") -> Iterator:
     """Cut Arrow batches so that the texts of one piece have about most_bytes at most (one text at least)."""
     for batch in batches:
         if not batch.num_rows:

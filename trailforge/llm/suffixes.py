@@ -210,7 +210,7 @@ def _emit(schema, rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
-def spans_of(contexts: DataFrame, length: int, block_bytes: int = 3 << 20) -> DataFrame:
+def spans_of(contexts: DataFrame, length: int, block_bytes: int = 1 << 20) -> DataFrame:
     """Rows of kind 0: (key, body): packed (start, end) spans to remove from the text key; of kind 1: a sorted
     run of window digests of a split gram: (gram, part, body, places), places packed, with lo -1 where the window is settled."""
 
