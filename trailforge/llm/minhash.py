@@ -13,7 +13,7 @@ class is first compared with the pivot it shares most tables with; then, in roun
 each bucket that still holds several components takes a new pivot by a hash, and
 its members of other components are compared with it. A class is in up to
 groups**2 tables, so a round has up to as many pivots for it; it is compared with
-all of them in the second round, and with the three or eight it shares most
+all of them in the second round, and with the two or four it shares most
 tables with in the first and the later ones, which go on until one joins no components. Candidates must agree in set size and in
 ``least_equal`` of the small hashes (at similarity 0.8 all but 3 in 100,000 do), and
 are then confirmed on the exact shingle sets of the whole texts.
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
         met = open_.where("root <> lead.root").where(F.least(size, other) * 100 >= F.greatest(size, other) * percent).groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
         if turn != 1:  # most of a large group comes together by few pivots, and after the full round little is left
             nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("n"), "lead"))
-            met = met.withColumn("nth", nth).where(f"nth <= {8 if turn else 3}")
+            met = met.withColumn("nth", nth).where(f"nth <= {4 if turn else 2}")
         new = store(likely(met.select(*pair("cid", "lead")).distinct().join(tried, ["a", "b"], "left_anti")), "tried")
         found = store(confirm(new), "links")
         if turn and found.isEmpty():
