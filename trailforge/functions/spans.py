@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values of the transcript format.
 QUERY_START, QUERY_END = "<search>", "</search>"
 MARKERS = ("<search>", "<continue>", "<synthesize>")
@@ -66,12 +68,13 @@ def decision_spans(text: Column | str, start: str = QUERY_START, end: str = QUER
     text = F.col(text) if isinstance(text, str) else text
     spans = query_spans(text, start, end)
     for marker in markers or MARKERS:
-        spans = F.concat(spans, uncovered(match_spans(text, literal(marker)), spans))
+        found = match_spans(text, literal(marker))
+        spans = let(spans, lambda s: F.concat(s, uncovered(found, s)))  # noqa: B023  used at once
     if extended:
         thoughts = match_spans(text, THINK)
         inside = F.flatten(F.transform(thoughts, lambda t: match_spans(F.substring(text, t["s"] + 1, t["e"] - t["s"]), SENTENCE, t["s"])))
         meant = F.filter(inside, lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"]).rlike("|".join(INTENTS)))
-        spans = F.concat(spans, uncovered(meant, spans))
+        spans = let(spans, lambda s: F.concat(s, uncovered(meant, s)))
     ordered = F.array_sort(F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x["e"].alias("e"))))
     return F.transform(ordered, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("search_decision").alias("label")))
 

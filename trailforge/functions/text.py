@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,17 +48,30 @@ def exact_match(prediction: Column | str, gold: Column | str) -> Column:
     return (normalize_answer(prediction) == normalize_answer(gold)).cast("double")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: a lambda's variable, where an expression would be worked out again at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def numbered(bag: Column) -> Column:
+    """The words of a bag, each with the number of its copy, so that equal bags are equal sets."""
+    return let(F.array_sort(bag), lambda s: F.transform(s, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(s, w)).cast("string"))))
+
+
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the bag intersection of two arrays: each value as often as in the side with fewer."""
-    times = lambda x, w: F.size(F.filter(x, lambda y: y == w))
-    return F.aggregate(F.array_distinct(b), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
+    """Size of the bag intersection of two arrays of words: each word as often as in the side with fewer."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def token_f1(prediction: Column | str, gold: Column | str) -> Column:
     """Harmonic mean of bag precision and recall; an empty gold is matched by an empty prediction only."""
-    p, g = words(normalize_answer(prediction)), words(normalize_answer(gold))
-    n, m, both = F.size(p), F.size(g), bag_overlap(p, g)
-    return F.when(m == 0, (n == 0).cast("double")).when((n == 0) | (both == 0), 0.0).otherwise(2.0 * both / (n + m))
+
+    def score(p: Column, g: Column) -> Column:
+        n, m = F.size(p), F.size(g)
+        f1 = let(bag_overlap(p, g), lambda both: F.when(both == 0, 0.0).otherwise(2.0 * both / (n + m)))
+        return F.when(m == 0, (n == 0).cast("double")).when(n == 0, 0.0).otherwise(f1)
+
+    return let(words(normalize_answer(prediction)), lambda p: let(words(normalize_answer(gold)), lambda g: score(p, g)))
 
 
 def extract_answer(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import decision_spans
-from ..functions.text import context_string, strip, words
+from ..functions.text import context_string, let, strip, words
 
 BLOCK = r"(?s)<search>.*?</search>"
 RECORDS = "array<struct<query:string,num_results:int,doc_ids:array<string>>>"
@@ -105,8 +105,8 @@ def derived_metadata(rows: DataFrame) -> DataFrame:
     differs from an earlier one and shares a word with it.
     """
     q = F.transform("queries", lambda x: F.lower(strip(x)))
-    later = lambda x, i: F.exists(F.slice(q, 1, i), lambda y: (x != y) & F.arrays_overlap(words(x), words(y)))
-    refined = F.exists(F.transform(q, lambda x, i: F.when(i > 0, later(x, i)).otherwise(False)), lambda x: x)
+    later = lambda s, x, i: F.exists(F.slice(s, 1, i), lambda y: (x != y) & F.arrays_overlap(words(x), words(y)))
+    refined = let(q, lambda s: F.exists(F.transform(s, lambda x, i: F.when(i > 0, later(s, x, i)).otherwise(False)), lambda x: x))
     titles = F.array_distinct("supporting_titles")
     cover = F.when(F.size(titles) > 0, F.size(F.array_intersect(titles, "retrieved_titles")) / F.size(titles)).otherwise(0.0)
     return rows.withColumns({"num_queries": F.size("queries"), "num_unique_queries": F.size(F.array_distinct(q)), "evidence_coverage": cover, "has_query_refinement": refined})
