@@ -79,15 +79,20 @@ class Bm25Index:
         weighted = found.select("pos", "term", part.alias("part"))
         return asked.join(weighted, "term").groupBy("qid", "pos").agg(F.round(F.sum(F.col("qtf") * F.col("part")), self.digits).alias("score"))
 
+    def _may_need_padding(self, queries: DataFrame, top_k: int) -> DataFrame:
+        """(qid) of queries without a term in top_k passages, or with a negative weight; the others have top_k
+        passages above 0 for sure, and for them nothing more is read."""
+        asked = queries.select("qid", F.explode_outer(tokenize("query")).alias("term")).distinct()
+        found = asked.join(self.terms(), "term", "left").groupBy("qid").agg(F.max("df").alias("df"), F.min("idf").alias("idf"))
+        return found.where(~F.coalesce((F.col("df") >= top_k) & (F.col("idf") > 0), F.lit(False))).select("qid")
+
     def top(self, queries: DataFrame, top_k: int = 5, pad: bool = True) -> DataFrame:
         """(qid, pos, score, rank). With pad, passages without a match (score 0) compete too, by position."""
         scores = self.scores(queries)
         if pad:
-            # top_k zero-score rows suffice for a query; they are the first positions that it doesn't match,
-            # and those are among the first top_k + (its matches) positions
-            low = scores.groupBy("qid").agg(F.count_if(F.col("score") > 0).alias("good"))
-            short = queries.select("qid").distinct().join(low, "qid", "left").where(F.coalesce("good", F.lit(0)) < top_k).select("qid")
-            free = short.crossJoin(self.passages.select("pos")).join(scores.select("qid", "pos"), ["qid", "pos"], "left_anti")
+            short = self._may_need_padding(queries, top_k)
+            matched = self.scores(queries.join(short, "qid", "left_semi")).select("qid", "pos")
+            free = short.crossJoin(self.passages.select("pos")).join(matched, ["qid", "pos"], "left_anti")
             scores = scores.unionByName(free.withColumn("score", F.lit(0.0)))
         nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pos"))
         return scores.withColumn("rank", nth).where(F.col("rank") <= top_k)
