@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, store, tables
+from .common import batch_rows, store, tables, tidily
 
 
 def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -199,8 +199,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, lea
         return pa.table([np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)], schema=schema)
 
     kind = "slab long, tree long, leaf long, {} long, embedding array<double>"
-    left = vectors.select("vkey", "embedding").mapInArrow(place, kind.format("vkey")).groupBy("slab")
-    right = asked.select("qkey", "embedding").mapInArrow(ask, kind.format("qkey")).groupBy("slab")
+    left = vectors.select("vkey", "embedding").mapInArrow(tidily(place), kind.format("vkey")).groupBy("slab")
+    right = asked.select("qkey", "embedding").mapInArrow(tidily(ask), kind.format("qkey")).groupBy("slab")
     pairs = left.cogroup(right).applyInArrow(rerank, "qkey long, vkey long, score double").groupBy("qkey", "vkey").agg(F.max("score").alias("score"))
     hits = pairs.join(vectors.select("vkey", F.explode("ids").alias("vec_id")), "vkey").join(asked.select("qkey", F.col("vec_id").alias("query_id")), "qkey").where("vec_id <> query_id")
     nth = F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))

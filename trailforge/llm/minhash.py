@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_texts, batch_rows, mix, pieces, seeds, store, tables, word_hashes
+from .common import WORD, arrow_texts, batch_rows, mix, pieces, seeds, store, tables, tidily, word_hashes
 from .graph import components
 
 _UPPER = re.compile("[A-Z]+")
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, words: int, groups: int, depth: int) -> DataFram
             )
 
     batch_rows(docs.sparkSession)
-    return docs.mapInArrow(sign, "doc_id long, thash long, n_shingles long, set_id binary, halves array<long>")
+    return docs.mapInArrow(tidily(sign), "doc_id long, thash long, n_shingles long, set_id binary, halves array<long>")
 
 
 def similar(pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -123,7 +123,7 @@ def similar(pairs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     batch_rows(pairs.sparkSession, 256)
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidily(check), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 20, depth: int = 4, least_equal: int = 5) -> DataFrame:

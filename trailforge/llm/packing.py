@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, store, tables, text_or_empty
+from .common import batch_rows, store, tables, text_or_empty, tidily
 from .tokens import encode, public_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, __n long"
@@ -103,7 +103,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int =
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids_of, pa.binary())] if keep_ids else [])], names + ["ids"] * keep_ids)
 
     batch_rows(docs.sparkSession, 256)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidily(cut), PIECES + ", ids binary" * keep_ids)
 
 
 def pack(pieces: DataFrame, window: int = 4096, group_pieces: int = 65_536) -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, open_fs, scratch, tables, text_or_empty
+from .common import batch_rows, open_fs, scratch, tables, text_or_empty, tidily
 from .tokens import encode, public_path
 
 FOOTER = struct.Struct("<QIQIQQI8s")
@@ -247,7 +247,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
     batch_rows(docs.sparkSession, 256)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return dealt.mapInArrow(write, "shard long, path string, entries long, tokens long")
+    return dealt.mapInArrow(tidily(write), "shard long, path string, entries long, tokens long")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(tidily(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def lookup(shards: DataFrame, doc_ids: list[int | None]) -> dict[int | None, list[np.ndarray]]:

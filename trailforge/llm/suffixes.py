@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _power_table, arrow_texts, batch_rows, mix, pieces, store, tables, text_or_empty
+from .common import _BYTE, _power_table, arrow_texts, batch_rows, mix, pieces, store, tables, text_or_empty, tidily
 
 GRAM = 24
 _INDEX_BITS = 24
@@ -262,7 +262,7 @@ def spans_of(contexts: DataFrame, length: int, block_bytes: int = 1 << 20) -> Da
         if held:
             yield settle()
 
-    return contexts.repartition("gram", "sub").sortWithinPartitions("gram", "sub").mapInArrow(work, FOUND)
+    return contexts.repartition("gram", "sub").sortWithinPartitions("gram", "sub").mapInArrow(tidily(work), FOUND)
 
 
 def merge_runs(found: DataFrame, length: int) -> DataFrame:
@@ -303,12 +303,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 409
     def find(batches):
         import pyarrow as pa
 
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches):
             data, starts = arrow_texts(batch.column("text"))
             text, a, gram, _, _ = anchors(data, starts, length)
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)), pa.array(a.astype(np.int32)), pa.array(gram.view(np.int64))], ["key", "anchor", "gram"])
 
-    places = store(texts.mapInArrow(find, "key binary, anchor int, gram long"), "anchors")
+    places = store(texts.mapInArrow(tidily(find), "key binary, anchor int, gram long"), "anchors")
     shared = places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     suspects = places.join(shared, "gram").groupBy("key").agg(F.collect_list(F.struct("anchor", "n")).alias("suspects"))
 
@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 409
         import pyarrow as pa
 
         schema = pa.schema([("gram", pa.int64()), ("sub", pa.int32()), ("subs", pa.int32()), ("ctx", pa.binary()), ("n", pa.int64()), ("places", pa.binary())])
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches):
             data, starts = arrow_texts(batch.column("text"))
             keys = batch.column("key").to_pylist()
             wanted = batch.column("suspects")
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 409
             rows = [(g, hash_of(p[0], subs), subs, ctx, len(p), np.array(p, PLACE).tobytes()) for (g, subs, ctx), p in found.items()]
             yield _emit(schema, rows)
 
-    contexts = texts.join(suspects, "key").mapInArrow(cut, "gram long, sub int, subs int, ctx binary, n long, places binary")
+    contexts = texts.join(suspects, "key").mapInArrow(tidily(cut), "gram long, sub int, subs int, ctx binary, n long, places binary")
     found = store(spans_of(contexts, length), "found")
     spans = found.where("kind = 0").select("key", "body").union(merge_runs(found, length))
     spans = spans.groupBy("key").agg(F.collect_list("body").alias("spans"))
@@ -360,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 409
                 out.append((key, len(raw) - len(kept), len(first), hashlib.sha256(kept).hexdigest(), kept))
             yield _emit(schema, out)
 
-    cut_texts = texts.join(spans, "key").join(copies, "key", "left_anti").mapInArrow(apply, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut_texts = texts.join(spans, "key").join(copies, "key", "left_anti").mapInArrow(tidily(apply), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     gone = copies.select("key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
     return rows, cut_texts.union(gone)
 

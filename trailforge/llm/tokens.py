@@ -24,7 +24,7 @@ import numpy as np
 _loaded: dict[str, object] = {}
 _known: dict = {}
 #: Chunks that a worker remembers, and the length of the longest it does.
-MOST_CHUNKS, LONGEST_CHUNK = 250_000, 64
+MOST_CHUNKS, LONGEST_CHUNK = 150_000, 64
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 _BYTE_LEVEL = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _ASCII_SPACE = re.compile(r"[^ \t\n\r\x0b\x0c]+")

@@ -24,7 +24,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, open_fs, scratch, tables
+from .common import batch_rows, open_fs, scratch, tables, tidily
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -160,7 +160,7 @@ def write_warc(plan: DataFrame, folder: str, max_bytes: int = 1 << 30) -> DataFr
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "records": [x[1] for x in done], "bytes": [x[2] for x in done]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     batch_rows(plan.sparkSession, 256)
-    return plan.select("id", "url", "payload", "digest", "first", "revisit").mapInArrow(write, "path string, records long, bytes long")
+    return plan.select("id", "url", "payload", "digest", "first", "revisit").mapInArrow(tidily(write), "path string, records long, bytes long")
 
 
 def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
@@ -188,7 +188,7 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return files.select("path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return files.select("path").mapInArrow(tidily(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def files_written(written: DataFrame) -> DataFrame:
