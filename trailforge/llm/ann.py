@@ -106,7 +106,7 @@ def cosine_rows(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * math.sqrt(float((q * q).sum())))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, leaf_rows: int = 256, probe_share: float = 0.1, least_probes: int = 32, sample_rows: int = 20_000, slab_rows: int = 16_384) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, leaf_rows: int = 256, probe_share: float = 0.15, least_probes: int = 32, sample_rows: int = 20_000, slab_rows: int = 16_384) -> DataFrame:
     """The k nearest of each query: query_id, rank, vec_id, score. Both tables have vec_id and embedding."""
     spark = rows.sparkSession
     batch_rows(spark, 2000)
