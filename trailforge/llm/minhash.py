@@ -135,13 +135,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     classes = rows.where("set_id is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     classes = store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    small = classes.select("cid", F.posexplode("halves").alias("pos", "h"))
+    small = classes.select("cid", "n_shingles", F.posexplode("halves").alias("pos", "h"))
     shared = small.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    own = small.join(shared, "h").groupBy("cid").agg(F.collect_list(F.struct("pos", "h")).alias("own"))
+    own = small.join(shared, "h").groupBy("cid", "n_shingles").agg(F.collect_list(F.struct("pos", "h")).alias("own"))
     half = lambda test: F.transform(F.filter("own", lambda x: test(x["pos"])), lambda x: x["h"])
-    own = own.select("cid", half(lambda p: p < groups).alias("left"), half(lambda p: p >= groups).alias("right"))
-    table = own.select("cid", F.explode("left").alias("l"), "right").select("cid", "l", F.explode("right").alias("r")).select("cid", F.xxhash64("l", "r").alias("bucket"))
-    table = table.join(classes.select("cid", "n_shingles"), "cid")
+    own = own.select("cid", "n_shingles", half(lambda p: p < groups).alias("left"), half(lambda p: p >= groups).alias("right"))
+    table = own.select("cid", "n_shingles", F.explode("left").alias("l"), "right").select("cid", "n_shingles", "l", F.explode("right").alias("r")).select("cid", "n_shingles", F.xxhash64("l", "r").alias("bucket"))
     pivots = table.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most").select("bucket", "pivot")
     buckets = store(table.join(pivots, "bucket"), "buckets")
 
