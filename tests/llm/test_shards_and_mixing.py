@@ -122,5 +122,6 @@ def test_mixing_a_table(spark, docs):
     assert mixing.mixed(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(docs, max_sources=2)
-    with pytest.raises(ValueError):
-        mixing.mix_sources(docs.withColumn("__slot", F.lit(1)))
+    clashing = docs.withColumns({"__slot": F.lit("x"), "__at": F.lit("y")})
+    assert mixing.mix_sources(clashing).where("__slot = 0 and __at = 'y'").count() > 0
+    assert mixing.mixed(clashing).columns == clashing.columns

@@ -19,7 +19,8 @@ any other.
 Defined results: a null source is a source of its own; sources without a weight,
 or with one that is null, negative or zero, share the smallest positive weight
 (1 if there is none); rows with equal identifiers are put in the order of their
-hash; an empty table gives no rows.
+hash; an empty table gives no rows; input columns with the names of the new ones
+are replaced.
 """
 
 from __future__ import annotations
@@ -98,10 +99,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     Without weights a source's weight is the given power of its number of documents.
     """
     spark = docs.sparkSession
-    if clash := {"__at", "__key", "__source_block", "__slot", "__in_block", "__phase"} & set(docs.columns):
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    order = ("__key", "doc_id", F.xxhash64(*docs.columns))
-    rows = store(docs.withColumn("__key", source_key(F.col("source"))).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    new = ("__source_block", "__slot", "__in_block", "__phase")
+    order = ("__key", "__doc", "__hash")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), source_key(F.col("source")).alias("__key"), F.col("doc_id").alias("__doc"), F.xxhash64(*docs.columns).alias("__hash"))
+    rows = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("__row", "__key", F.monotonically_increasing_id().alias("__at")), "numbered")
     part = F.shiftright("__at", 33)
     parts = rows.groupBy("__key", part.alias("__part")).agg(F.min("__at").alias("__low"), F.count("*").alias("n"))
     parts = parts.withColumn("__before", F.sum("n").over(Window.partitionBy("__key").orderBy("__part")) - F.col("n")).select("__key", "__part", (F.col("__before") - F.col("__low")).alias("__shift"))
@@ -122,12 +123,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     n = F.size("__p.slots")
     placed = numbered.join(table, "__key").where((F.col("__source_block") >= F.col("__p.first")) & (F.col("__source_block") < F.col("__p.last")))
     slot = F.col("__p.slot") + F.floor(b / n) * F.col("__p.size") + F.element_at("__p.slots", (b % n).cast("int") + 1)
-    return placed.withColumn("__slot", slot).select(*docs.columns, "__source_block", "__slot", "__in_block", "__phase")
+    return placed.withColumn("__slot", slot).select(*(F.col("__row")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents in the order of the mix: partitions are ranges of it."""
-    return mix_sources(docs, **how).repartitionByRange("__slot", "__in_block").sortWithinPartitions("__slot", "__in_block").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__all"), "doc_id", "source")
+    return mix_sources(rows, **how).repartitionByRange("__slot", "__in_block").sortWithinPartitions("__slot", "__in_block").select("__all.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
