@@ -30,7 +30,7 @@ def strip(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """The runs between white space, as they are."""
-    return F.filter(F.split(_col(c), f"[{WS}]+"), lambda w: w != "")
+    return F.array_remove(F.split(_col(c), f"[{WS}]+"), "")
 
 
 def tokenize(c: Column | str) -> Column:
