@@ -14,7 +14,7 @@ each bucket that still holds several components takes a new pivot by a hash, and
 its members of other components are compared with it. A class is in up to
 groups**2 tables, so a round has up to as many pivots for it; it is compared with
 all of them in the second round, and with the two or four it shares most
-tables with in the first and the later ones, which go on until one joins no components. Candidates must agree in set size and in
+tables with in the first and the later ones, which go on until one joins no components. Candidates must agree in set size, in most of 128 bits of minhashes and in
 ``least_equal`` of the small hashes (at similarity 0.8 all but 3 in 100,000 do), and
 are then confirmed on the exact shingle sets of the whole texts.
 
@@ -64,8 +64,8 @@ def shingle_hashes(h: np.ndarray, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def small_hashes(s: np.ndarray, groups: int, depth: int) -> np.ndarray:
-    """The 2*groups small hashes of a set; the first half is one collection."""
+def small_hashes(s: np.ndarray, groups: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 2*groups small hashes of a set, the first half being one collection, and one bit of each of BITS minhashes, packed."""
     n = 2 * groups * depth
     a, b = seeds(2 * n)[:n, None], seeds(2 * n)[n:, None] | np.uint64(1)
     least = np.full(n, ~np.uint64(0))
@@ -74,11 +74,22 @@ def small_hashes(s: np.ndarray, groups: int, depth: int) -> np.ndarray:
     out = seeds(2 * groups).copy()
     for column in least.reshape(2 * groups, depth).T:
         out = mix(out * _STEP + column)
-    return out
+    bits = np.packbits((np.resize(least, BITS) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+    return out, bits
+
+
+#: Minhashes of which one bit each is kept with the classes in tables.
+BITS = 128
+
+
+def most_different(percent: int) -> int:
+    """Bits that sets at the least similarity differ in at most, but for 5 in 100,000."""
+    q = (1 - percent / 100) / 2
+    return int(BITS * q + 4.2 * (BITS * q * (1 - q)) ** 0.5)
 
 
 def signatures(docs: DataFrame, words: int, groups: int, depth: int) -> DataFrame:
-    """doc_id, thash, n_shingles, set_id (null without shingles), halves."""
+    """doc_id, thash, n_shingles, set_id (null without shingles), halves, b0, b1."""
 
     def sign(batches):
         import pyarrow as pa
@@ -88,14 +99,16 @@ def signatures(docs: DataFrame, words: int, groups: int, depth: int) -> DataFram
             with np.errstate(over="ignore"):
                 h, first = word_hashes(data, starts)
                 sets = [shingle_hashes(h[a:b], words) for a, b in zip(first[:-1], first[1:], strict=True)]
-                halves = [small_hashes(s, groups, depth).view(np.int64) if len(s) else None for s in sets]
+                signed = [small_hashes(s, groups, depth) if len(s) else None for s in sets]
+                halves = [x and x[0].view(np.int64) for x in signed]
+                bits = np.array([x[1] if x else (0, 0) for x in signed], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
-                ["doc_id", "thash", "n_shingles", "set_id", "halves"],
+                [batch.column("doc_id"), batch.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+                ["doc_id", "thash", "n_shingles", "set_id", "halves", "b0", "b1"],
             )
 
     batch_rows(docs.sparkSession)
-    return docs.mapInArrow(tidily(sign), "doc_id long, thash long, n_shingles long, set_id binary, halves array<long>")
+    return docs.mapInArrow(tidily(sign), "doc_id long, thash long, n_shingles long, set_id binary, halves array<long>, b0 long, b1 long")
 
 
 def similar(pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -135,12 +148,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     classes = rows.where("set_id is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     classes = store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    small = classes.select("cid", "n_shingles", F.posexplode("halves").alias("pos", "h"))
+    mark = ("cid", "n_shingles", "b0", "b1")
+    small = classes.select(*mark, F.posexplode("halves").alias("pos", "h"))
     shared = small.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    own = small.join(shared, "h").groupBy("cid", "n_shingles").agg(F.collect_list(F.struct("pos", "h")).alias("own"))
+    own = small.join(shared, "h").groupBy(*mark).agg(F.collect_list(F.struct("pos", "h")).alias("own"))
     half = lambda test: F.transform(F.filter("own", lambda x: test(x["pos"])), lambda x: x["h"])
-    own = own.select("cid", "n_shingles", half(lambda p: p < groups).alias("left"), half(lambda p: p >= groups).alias("right"))
-    table = own.select("cid", "n_shingles", F.explode("left").alias("l"), "right").select("cid", "n_shingles", "l", F.explode("right").alias("r")).select("cid", "n_shingles", F.xxhash64("l", "r").alias("bucket"))
+    own = own.select(*mark, half(lambda p: p < groups).alias("left"), half(lambda p: p >= groups).alias("right"))
+    table = own.select(*mark, F.explode("left").alias("l"), "right").select(*mark, "l", F.explode("right").alias("r")).select(*mark, F.xxhash64("l", "r").alias("bucket"))
     pivots = table.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most").select("bucket", "pivot")
     buckets = store(table.join(pivots, "bucket"), "buckets")
 
@@ -169,15 +183,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     best = votes.groupBy("cid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     tried = store(likely(best.select(*pair("cid", "pivot")).distinct()), "tried")
     links = store(confirm(tried), "links")
-    buckets, turn = buckets.select("bucket", "cid", "n_shingles"), 0
+    buckets, turn = buckets.select("bucket", *mark), 0
     while True:
         roots = components(links)
-        held = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "n_shingles", F.coalesce("root", "cid").alias("root"))
+        held = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", *mark, F.coalesce("root", "cid").alias("root"))
         order = F.xxhash64("cid", "bucket", F.lit(turn))
-        leads = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("cid", "root", "n_shingles"), order).alias("lead")).where("r0 < r1").select("bucket", "lead")
+        leads = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct(*mark, "root"), order).alias("lead")).where("r0 < r1").select("bucket", "lead")
         open_ = store(held.join(leads, "bucket"), "open")
         size, other = F.col("n_shingles"), F.col("lead.n_shingles")
-        met = open_.where("root <> lead.root").where(F.least(size, other) * 100 >= F.greatest(size, other) * percent).groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
+        differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("lead.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("lead.b1")))
+        met = open_.where("root <> lead.root").where(differ <= most_different(percent)).where(F.least(size, other) * 100 >= F.greatest(size, other) * percent).groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
         if turn != 1:  # most of a large group comes together by few pivots, and after the full round little is left
             nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("n"), "lead"))
             met = met.withColumn("nth", nth).where(f"nth <= {4 if turn else 2}")
@@ -185,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
         found = store(confirm(new), "links")
         if turn and found.isEmpty():
             break
-        links, tried, buckets, turn = links.union(found), tried.union(new), open_.select("bucket", "cid", "n_shingles"), turn + 1
+        links, tried, buckets, turn = links.union(found), tried.union(new), open_.select("bucket", *mark), turn + 1
 
     named = classes.select("cid", "set_id", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("set_id", "doc_id", F.coalesce("root", "cid").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
