@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -97,6 +98,35 @@ def test_the_plan_is_a_permutation_with_small_deviation(sources):
         assert all(abs(done[i] - counts[i] * (t + 1) / sum(counts)) < 1 for i in range(len(blocks)))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 400), st.floats(1e-6, 10)), min_size=1, max_size=6))
+def test_exact_slots_follow_the_target_weights(sources):
+    blocks, weights = [b for b, _ in sources], [Fraction(w) for _, w in sources]
+    slots, phases = mixing.exact_slots(blocks, [w for _, w in sources])
+    assert [len(x) for x in slots] == blocks
+    owner = sorted((t, s, p) for s in range(len(blocks)) for t, p in zip(slots[s].tolist(), phases[s].tolist(), strict=True))
+    assert [t for t, _, _ in owner] == list(range(sum(blocks)))
+    used, phase = [0] * len(blocks), -1
+    for t, s, p in owner:
+        if p != phase:
+            phase, start, active, done = p, t, [i for i in range(len(blocks)) if used[i] < blocks[i]], [0] * len(blocks)
+            total = sum(weights[i] for i in active)
+        done[s] += 1
+        used[s] += 1
+        assert all(abs(done[i] - weights[i] / total * (t + 1 - start)) < 1 for i in active)
+
+
+def test_a_table_follows_the_target_weights(spark):
+    """A weight far below a period's 1/1024 does not get a block of every period."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2500, "a").otherwise("b").alias("source"))
+    rows = mixing.mix_sources(df, {"a": 1.0, "b": 1e-4}, block_docs=1).where("__phase = 0").orderBy("__slot").collect()
+    assert len(rows) >= 2500
+    b = 0
+    for t, r in enumerate(rows, 1):
+        b += r.source == "b"
+        assert abs(b - t * 1e-4 / 1.0001) < 1
+
+
 def test_quantize():
     assert sum(mixing.quantize([1, 2, 3.5], 100)) == 100
     assert min(mixing.quantize([1e-9, 1, 1], 64)) == 1

@@ -1,17 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents are cut into blocks in the order of their identifiers. With
-weight n/H a source has n blocks in every H slots; its k-th block of such a
-period is released at floor((k-1)H/n) and due at ceil(kH/n), and each slot goes
-to the released block with the earliest deadline. So after any number of slots
-every source has had its weight's share to within less than one block. All
-sources come out even at the end of a period, so the schedule repeats, and a
-block's slot follows from its number and one period's table. When a source is
-used up, the others go on with their weights scaled up (a new phase). Nothing is
-dropped or repeated.
+share w of the weights, a source's k-th block of a phase is released at
+floor((k-1)/w) and due at ceil(k/w), in whole numbers without rounding, and each
+slot goes to the released block with the earliest deadline. So after any number
+of slots of a phase every source has had its weight's share to within less than
+one block, however long the phase is. When a source is used up, the others go on
+with their weights scaled up (a new phase). Nothing is dropped or repeated.
+
+With a ``period`` weights are rounded to blocks of a period instead and one
+period's table repeats: deviations hold against the rounded weights only.
 
 The driver handles a row for each source (at most ``max_sources``, else an error)
-and the period tables (``period`` slots for each phase); rows of documents are
+and a slot for each block; rows of documents are
 numbered on executors from a range-partitioned table and a count for each
 partition and source, so a source with a third of all rows is dealt out like
 any other.
@@ -27,6 +28,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -89,11 +92,63 @@ def plan(blocks: list[int], weights: list[float], period: int = 1024) -> list[di
     return rows
 
 
+def whole_weights(weights: list[float]) -> list[int]:
+    """The weights in the same proportions, as whole numbers: nothing is rounded."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    return [int(x * scale) for x in exact]
+
+
+def exact_slots(blocks: list[int], weights: list[float]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each source the slots and the phases of its blocks: earliest deadline first, from the unrounded weights."""
+    whole, at, phase = whole_weights(weights), 0, 0
+    slots, phases = [array("q") for _ in blocks], [array("i") for _ in blocks]
+    while active := [s for s in range(len(blocks)) if len(slots[s]) < blocks[s]]:
+        total = sum(whole[s] for s in active)
+        done, t = dict.fromkeys(active, 0), 0
+        ready = [(-(-total // whole[s]), s) for s in active]  # by deadline
+        heapq.heapify(ready)
+        waiting: list[tuple[int, int]] = []  # by release
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, s = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(done[s] + 1) * total // whole[s]), s))
+            _, s = heapq.heappop(ready)
+            slots[s].append(at + t)
+            phases[s].append(phase)
+            done[s] += 1
+            t += 1
+            if len(slots[s]) == blocks[s]:
+                break
+            heapq.heappush(waiting, (done[s] * total // whole[s], s))
+        at, phase = at + t, phase + 1
+    return [np.array(x, np.int64) for x in slots], [np.array(x, np.int32) for x in phases]
+
+
+def periodic_slots(blocks: list[int], weights: list[float], period: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The same from plan()."""
+    slots, phases = [[] for _ in blocks], [[] for _ in blocks]
+    for r in plan(blocks, weights, period):
+        k, table = np.arange(r["last"] - r["first"]), np.array(r["slots"], np.int64)
+        slots[r["source"]].append(r["slot"] + k // len(table) * r["size"] + table[k % len(table)])
+        phases[r["source"]].append(np.full(len(k), r["phase"], np.int32))
+    return [np.concatenate(x) for x in slots], [np.concatenate(x) for x in phases]
+
+
 def source_key(source):
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_docs: int = 64, period: int = 1024, max_sources: int = 1000) -> DataFrame:
+def schedule_table(spark, keys: list[str], slots: list[np.ndarray], phases: list[np.ndarray]) -> DataFrame:
+    """A stored row for each block."""
+    import pyarrow as pa
+
+    schema = pa.schema([("__key", pa.string()), ("__source_block", pa.int64()), ("__slot", pa.int64()), ("__phase", pa.int32())])
+    parts = [pa.table([pa.array([k] * len(x), pa.string()), np.arange(len(x)), x, p], schema=schema) for k, x, p in zip(keys, slots, phases, strict=True)]
+    return store(spark.createDataFrame(pa.concat_tables(parts) if parts else schema.empty_table()), "schedule")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_docs: int = 64, period: int | None = None, max_sources: int = 1000) -> DataFrame:
     """docs with __source_block, __slot, __in_block and __phase; order by (__slot, __in_block) for the mix.
 
     Without weights a source's weight is the given power of its number of documents.
@@ -114,16 +169,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     else:
         named = {"n" if k is None else f"s{k}": w for k, w in weights.items() if w is not None and w > 0}
         share = [named.get(k, min(named.values(), default=1.0)) for k, _ in sizes]
-    schedule = plan([-(-n // block_docs) for _, n in sizes], share, period)
-    table = spark.createDataFrame([(sizes[r["source"]][0], r["phase"], r["first"], r["last"], r["slot"], r["size"], r["slots"]) for r in schedule], "__key string, __phase int, first long, last long, slot long, size long, slots array<long>")
+    blocks = [-(-n // block_docs) for _, n in sizes]
+    slots, phases = exact_slots(blocks, share) if period is None else periodic_slots(blocks, share, period)
+    table = schedule_table(spark, [k for k, _ in sizes], slots, phases)
     rank = F.col("__at") + F.col("__shift")
     numbered = rows.withColumn("__part", part).join(parts, ["__key", "__part"]).withColumns({"__source_block": F.floor(rank / block_docs), "__in_block": rank % block_docs})
-    table = table.select("__key", "__phase", F.struct("first", "last", "slot", "size", "slots").alias("__p"))
-    b = F.col("__source_block") - F.col("__p.first")
-    n = F.size("__p.slots")
-    placed = numbered.join(table, "__key").where((F.col("__source_block") >= F.col("__p.first")) & (F.col("__source_block") < F.col("__p.last")))
-    slot = F.col("__p.slot") + F.floor(b / n) * F.col("__p.size") + F.element_at("__p.slots", (b % n).cast("int") + 1)
-    return placed.withColumn("__slot", slot).select(*(F.col("__row")[c].alias(c) for c in docs.columns if c not in new), *new)
+    placed = numbered.join(table, ["__key", "__source_block"])
+    return placed.select(*(F.col("__row")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
