@@ -63,6 +63,41 @@ def test_near_duplicates(docs, corpus, words):
     assert got == brute_components(corpus, words, 80)
 
 
+def test_crowded_buckets_are_finished_exactly(spark):
+    """Pairs at 0.8 in a family below 0.8: few tables, so that a partner is seldom the pivot of a bucket."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        own = [w if rng.random() > 0.06 else f"x{rng.integers(10**6)}" for w in base]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, f"tail{i}"]))]
+    groups, depth = 2, 1
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2, groups=groups, depth=depth, least_equal=1).collect()}
+    sets = {i: minhash.shingle_set(t, 2) for i, t in rows}
+    signed = {}
+    for i, t in rows:
+        h = minhash.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]
+        with np.errstate(over="ignore"):
+            signed[i] = minhash.small_hashes(minhash.shingle_hashes(h, 2), groups, depth)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            equal = signed[a][0] == signed[b][0]
+            differ = sum(int(x).bit_count() for x in signed[a][1] ^ signed[b][1])
+            both = len(sets[a] & sets[b])
+            if equal[:groups].any() and equal[groups:].any() and differ <= minhash.most_different(80) and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in sets}
+    assert len(set(want.values())) > 20 and got == want
+
+
 def test_near_duplicates_with_nulls_and_repeats(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (9, None), (None, "alone here")], "doc_id long, text string")

@@ -8,13 +8,18 @@ with 20 groups of 4 that is 0.99995 at 0.8.
 
 Documents with equal shingle sets are one class, picked before the shuffle. Small
 hashes that only one class has can't be in a shared table and are left out
-before tables are formed. A table's bucket is never expanded into pairs: each
+before tables are formed. A table's bucket is not expanded into pairs at once: each
 class is first compared with the pivot it shares most tables with; then, in rounds,
 each bucket that still holds several components takes a new pivot by a hash, and
 its members of other components are compared with it. A class is in up to
 groups**2 tables, so a round has up to as many pivots for it; it is compared with
 all of them in the second round, and with the two or four it shares most
-tables with in the first and the later ones, which go on until one joins no components. Candidates must agree in set size, in most of 128 bits of minhashes and in
+tables with, of those not tried, in the first and the third. What is left is finished
+exactly: buckets with several components take 16, 64, 256, ... pivots a round, which leave the bucket when compared
+with all of its members of other components, until no bucket has two components. So
+every pair that shares a table and passes the filters is compared or joined; the
+work grows with the square of a bucket whose members stay apart. Candidates must
+agree in set size, in most of 128 bits of minhashes and in
 ``least_equal`` of the small hashes (at similarity 0.8 all but 3 in 100,000 do), and
 are then confirmed on the exact shingle sets of the whole texts.
 
@@ -178,6 +183,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
         equal = F.size(F.filter(F.zip_with("h_a", "h_b", lambda x, y: x == y), lambda x: x))
         return both.where(near).where(equal >= least_equal).select("a", "b")
 
+    def near_marks():
+        """Bits and set sizes of a row and its lead don't rule the similarity out."""
+        size, other = F.col("n_shingles"), F.col("lead.n_shingles")
+        differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("lead.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("lead.b1")))
+        return (differ <= most_different(percent)) & (F.least(size, other) * 100 >= F.greatest(size, other) * percent)
+
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     votes = buckets.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("n"))
     best = votes.groupBy("cid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
@@ -190,17 +201,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
         order = F.xxhash64("cid", "bucket", F.lit(turn))
         leads = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct(*mark, "root"), order).alias("lead")).where("r0 < r1").select("bucket", "lead")
         open_ = store(held.join(leads, "bucket"), "open")
-        size, other = F.col("n_shingles"), F.col("lead.n_shingles")
-        differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("lead.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("lead.b1")))
-        met = open_.where("root <> lead.root").where(differ <= most_different(percent)).where(F.least(size, other) * 100 >= F.greatest(size, other) * percent).groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
-        if turn != 1:  # most of a large group comes together by few pivots, and after the full round little is left
+        met = open_.where("root <> lead.root").where(near_marks()).groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
+        met = met.withColumns(dict(zip("ab", pair("cid", "lead"), strict=True))).join(tried, ["a", "b"], "left_anti")
+        if turn != 1:  # most of a large group comes together by few pivots
             nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("n"), "lead"))
             met = met.withColumn("nth", nth).where(f"nth <= {4 if turn else 2}")
-        new = store(likely(met.select(*pair("cid", "lead")).distinct().join(tried, ["a", "b"], "left_anti")), "tried")
+        new = store(likely(met.select("a", "b").distinct()), "tried")
         found = store(confirm(new), "links")
-        if turn and found.isEmpty():
-            break
         links, tried, buckets, turn = links.union(found), tried.union(new), open_.select("bucket", *mark), turn + 1
+        if turn > 1 and found.isEmpty() or turn > 2:
+            break
+
+    # the rest exactly: pivots that were compared with all of their bucket leave it
+    n_leads, roots = 16, components(links)
+    while True:
+        held = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", *mark, F.coalesce("root", "cid").alias("root"))
+        several = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
+        open_ = store(held.join(several, "bucket"), "open")
+        if open_.isEmpty():
+            break
+        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("cid", "bucket"), "cid"))
+        leads = store(open_.withColumn("nth", nth).where(F.col("nth") <= n_leads).select("bucket", F.struct(*mark, "root").alias("lead")), "leads")
+        met = open_.join(leads, "bucket").where(F.col("root") != F.col("lead.root")).where(near_marks()).select(*pair("cid", "lead.cid")).distinct()
+        new = store(likely(met.join(tried, ["a", "b"], "left_anti")), "tried")
+        found, tried = store(confirm(new), "links"), tried.union(new)
+        if not found.isEmpty():
+            roots = components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        buckets = store(open_.select("bucket", *mark).join(leads.select("bucket", "lead.cid"), ["bucket", "cid"], "left_anti"), "left")
+        n_leads *= 4
 
     named = classes.select("cid", "set_id", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("set_id", "doc_id", F.coalesce("root", "cid").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
