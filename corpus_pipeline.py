@@ -42,9 +42,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: a row for each piece in sequences of at most 4096 tokens."""
+    """Operator 10: a row for each piece in sequences of at most 4096 tokens, numbered in the order of the stored mix."""
     release_scratch(spark)
-    return pack_documents(docs, public_path("word_bpe_49k.json"), 2, split="white_space")
+    return pack_documents(docs, public_path("word_bpe_49k.json"), 2, split="white_space", stored_order=True)
 
 
 STAGES = [

@@ -47,6 +47,22 @@ def test_run_packs_what_is_left(spark, tables):
     assert all(r.offset + r.length <= 4096 for r in out)
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Two blocks of source a and one of b, each document more than a window: a, b, a; the last files are the largest."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 2500 if 64 <= i < 128 else 1500)), "en", "a" if i < 128 else "b", 0) for i in range(192)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id for r in out} == set(range(192))
+    full = sorted((r.sequence_id, r.start, r.doc_id) for r in out if r.length == 4096)
+    assert [i for _, start, i in full if start == 0] == [*range(64), *range(128, 192), *range(64, 128)]
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES if k.startswith("op")}
     assert "pipeline" in QUERIES and set(SQL) <= set(QUERIES)

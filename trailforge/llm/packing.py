@@ -2,9 +2,12 @@
 
 A document is its token ids and an end id. Overlong documents are first cut
 into full windows; what is left, and every shorter document, is one piece. Pieces
-are dealt by a hash into groups of about ``group_pieces``; in each group they are
-placed, longest first, into the open window with the least remaining capacity
-that still holds them. A segment tree over remaining capacities finds that
+are dealt into groups of ``group_pieces`` that are ranges of their order; in each
+group they are placed, longest first, into the open window with the least remaining
+capacity that still holds them, and windows are numbered by the mean place of their
+tokens. So sequence_id follows the order of the documents: that of their files' names
+and rows if ``stored_order`` is asked for (a mix that was written as Parquet), else
+that of the tasks. A segment tree over remaining capacities finds that
 window in log2(window) steps. A group's padding is that of a few windows, so
 groups keep tasks bounded and cost almost no density.
 
@@ -18,7 +21,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_rows, store, tables, text_or_empty, tidily
@@ -80,7 +83,16 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, offset
 
 
-def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, keep_ids: bool = False, split: str | None = None) -> DataFrame:
+def in_stored_order(docs: DataFrame) -> DataFrame:
+    """A table just read from files, with __at: a row's place in the order of the files' numbers, names and rows."""
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = docs.select(path.alias("__file"), row.alias("__row")).groupBy("__file").agg((F.max("__row") + 1).alias("n"))
+    number = F.expr(r"try_cast(regexp_extract(__file, '.*part-([0-9]+)', 1) AS bigint)")
+    files = files.withColumn("__before", F.sum("n").over(Window.orderBy(number, "__file")) - F.col("n")).select("__file", "__before")
+    return docs.withColumns({"__file": path, "__row": row}).join(F.broadcast(files), "__file").withColumn("__at", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+
+
+def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, keep_ids: bool = False, split: str | None = None, stored_order: bool = False) -> DataFrame:
     """The pieces of every document (columns doc_id and text): full windows, then the rest."""
 
     def cut(batches):
@@ -90,11 +102,12 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int =
         task, n = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             rows, ids_of = [], []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(tokenizer_file, batch.column("text").to_pylist(), end_id, split), strict=True):
+            places = batch.column("__at").to_pylist()
+            for doc, place, ids in zip(batch.column("doc_id").to_pylist(), places, encode(tokenizer_file, batch.column("text").to_pylist(), end_id, split), strict=True):
                 data = ids.astype("<u4")
                 for at in range(0, len(data), window):
                     part = data[at : at + window].tobytes()
-                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), len(data), task + n))
+                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), len(data), task + n if place is None else (place << 20) + at // window))
                     n += 1
                     if keep_ids:
                         ids_of.append(part)
@@ -103,19 +116,28 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int =
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids_of, pa.binary())] if keep_ids else [])], names + ["ids"] * keep_ids)
 
     batch_rows(docs.sparkSession, 256)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidily(cut), PIECES + ", ids binary" * keep_ids)
+    place = F.col("__at") if stored_order else F.lit(None).cast("long").alias("__at")
+    docs = in_stored_order(docs) if stored_order else docs
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), place).mapInArrow(tidily(cut), PIECES + ", ids binary" * keep_ids)
 
 
 def pack(pieces: DataFrame, window: int = 4096, group_pieces: int = 65_536) -> DataFrame:
-    """Place the pieces of a stored table; adds sequence_id and offset."""
-    groups = max(1, -(-pieces.count() // group_pieces))
+    """Place the pieces of a stored table, in groups that are ranges of __n; adds sequence_id and offset."""
     kept = [c for c in pieces.columns if c != "__n"]
-    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64("__n"), F.lit(groups)))
-    narrow = keyed.select("__group", "__n", "length") if "ids" in kept else keyed
+    narrow = pieces.select("__n", "length") if "ids" in kept else pieces
+    rows = store(narrow.repartitionByRange("__n").sortWithinPartitions("__n").withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__id", 33)
+    parts = rows.groupBy(part.alias("__part")).agg(F.min("__id").alias("low"), F.count("*").alias("n"))
+    parts = parts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n") - F.col("low")).alias("__shift"))
+    rank = F.col("__id") + F.col("__shift")
+    narrow = rows.withColumn("__part", part).join(F.broadcast(parts), "__part").withColumn("__group", F.floor(rank / group_pieces)).drop("__id", "__part", "__shift")
 
     def place(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("__n", ignore_index=True)
-        where, offset = best_fit_decreasing(part["length"].to_numpy(), window)
+        length = part["length"].to_numpy()
+        where, offset = best_fit_decreasing(length, window)
+        middle = np.bincount(where, weights=length * np.arange(len(part))) / np.bincount(where, weights=length)
+        where = np.argsort(np.argsort(middle, kind="stable"))[where]
         out = part.drop(columns="__group")
         out["sequence_id"], out["offset"] = where + (int(part["__group"].iloc[0]) << 32), offset
         return out if "ids" not in kept else out[["__n", "sequence_id", "offset"]]
@@ -143,8 +165,8 @@ def sequences(packed: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFra
     return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(join, "sequence_id long, n_tokens long, ids array<int>")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, split: str | None = None) -> DataFrame:
-    return pack(store(cut_pieces(docs, tokenizer_file, end_id, window, split=split), "pieces"), window)
+def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, split: str | None = None, stored_order: bool = False) -> DataFrame:
+    return pack(store(cut_pieces(docs, tokenizer_file, end_id, window, split=split, stored_order=stored_order), "pieces"), window)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
