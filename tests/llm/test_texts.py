@@ -281,3 +281,10 @@ def test_network_gradients_and_state():
         down[i] -= 0.02
         slope = -(Model(shape, up).run(text, 0)[0] - Model(shape, down).run(text, 0)[0]) / 0.04
         assert keep.kept[i] == pytest.approx(slope, abs=0.02)
+
+
+def test_language_model_keeps_its_size():
+    import inspect
+
+    default = {k: p.default for k, p in inspect.signature(lm.lm_scores).parameters.items()}
+    assert default["n_words"] >= 256 and default["n_rare"] >= 88 and min(default["state"], default["embed"]) >= 12
