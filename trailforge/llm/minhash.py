@@ -8,25 +8,30 @@ with 20 groups of 4 that is 0.99995 at 0.8.
 
 Documents with equal shingle sets are one class, picked before the shuffle. Small
 hashes that only one class has can't be in a shared table and are left out
-before tables are formed. A table's bucket is not expanded into pairs at once: each
-class is first compared with the pivot it shares most tables with; then, in rounds,
-each bucket that still holds several components takes a new pivot by a hash, and
-its members of other components are compared with it. A class is in up to
-groups**2 tables, so a round has up to as many pivots for it; it is compared with
-all of them in the second round, and with the two or four it shares most
-tables with, of those not tried, in the first and the third. What is left is finished
-exactly: buckets with several components take 16, 64, 256, ... pivots a round, which leave the bucket when compared
-with all of its members of other components, until no bucket has two components. So
-every pair that shares a table and passes the filters is compared or joined; the
-work grows with the square of a bucket whose members stay apart. Candidates must
-agree in set size, in most of 128 bits of minhashes and in
-``least_equal`` of the small hashes (at similarity 0.8 all but 3 in 100,000 do), and
-are then confirmed on the exact shingle sets of the whole texts.
+before tables are formed. A table's bucket is not expanded into pairs:
+
+1. In each of ``rounds`` rounds every bucket that still holds several components takes one
+   pivot (its least class first, a class by a hash afterwards), and each class is compared with
+   the pivot it differs least from in 128 bits of minhashes. That is at most one comparison
+   for each class and round, and brings most of a large group together.
+2. What is left is finished exactly. Components that have members in one bucket which agree in
+   set size and in most of the bits (at similarity 0.8 all but 5 in 100,000 do) are kin;
+   families are the components of kinship over all buckets. In a family every two members of
+   different components that pass the same filters are compared on their full shingle sets,
+   nearest first, those that links found meanwhile have joined left out. Both steps work in
+   blocks of bounded size: members of a bucket's (family's) main component go to one block
+   each, the others to all, so rows sent grow with the members outside the main component
+   times the number of blocks.
+
+So every pair that shares a table and passes the filters is compared or joined. Only for a
+family whose members stay apart does the work in step 2 grow with the square of
+its size.
 
 Defined results: null or empty texts, and texts of white space, have no shingles,
-are linked with nothing and stay; repeated rows are copies of each other; a null
-identifier is never a component's name unless all of the component are null
-(then the name is null); columns beyond doc_id and text are not read.
+are linked with nothing and stay; an empty table gives no rows; texts are read whole, however
+long; repeated rows are copies of each other; of equals the smallest identifier names the
+component; a null identifier is never a component's name unless all of the component are null
+(then the name is null); columns beyond doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -144,7 +149,162 @@ def similar(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidily(check), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 20, depth: int = 4, least_equal: int = 5) -> DataFrame:
+def whole_groups(batches, names: tuple[str, ...], least_rows: int = 1):
+    """Tables of whole groups (rows that agree in the named integer columns), from batches sorted by them; with where each group begins, and the end."""
+    import pyarrow as pa
+
+    def out():
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = [np.asarray(t.column(c)) for c in names]
+        return t, np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0), [True]]))
+
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least_rows:
+            t, begin = out()
+            if len(begin) > 2:
+                yield t.slice(0, begin[-2]), begin[:-1]
+                held, rows = t.slice(begin[-2]).to_batches(), t.num_rows - int(begin[-2])
+    if held:
+        yield out()
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Labels (label[x] is the least number of x's component) after joining i with j."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label[:] = up
+
+
+def _columns(t, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.asarray(t.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in names]
+
+
+MARKS = ("cid", "root", "guest", "n_shingles", "b0", "b1")
+
+
+def _differ(b0, b1, i, j):
+    return np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
+
+
+def _passes(root, guest, n, b0, b1, i, j, percent: int) -> np.ndarray:
+    """Of the pairs i, j those in different components that sizes and bits don't rule out (guests don't meet here)."""
+    ok = (root[i] != root[j]) & ~(guest[i] & guest[j])
+    ok &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+    ok[ok] = _differ(b0, b1, i[ok], j[ok]) <= most_different(percent)
+    return ok
+
+
+def kin(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that hold together the roots of each bucket and block whose members pass the filters."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for t, begin in whole_groups(batches, ("bucket", "block"), 8192):
+            _, root, guest, n, b0, b1 = _columns(t, MARKS)
+            group = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+            roots, own = np.unique(root, return_inverse=True)
+            label, held, size = np.arange(len(roots)), [], 0
+            i, step = np.arange(len(root) - 1), 1
+            while len(i):  # all pairs that are step apart in one group
+                i = i[: np.searchsorted(i, len(root) - step)]
+                i = i[group[i] == group[i + step]]
+                ok = _passes(own, guest, n, b0, b1, i, i + step, percent)
+                held.append((own[i[ok]], own[i[ok] + step]))
+                size += len(held[-1][0])
+                if size > 200_000:
+                    unite(label, *map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+                step += 1
+            if held:
+                unite(label, *map(np.concatenate, zip(*held, strict=True)))
+            joined = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(roots[joined]), pa.array(roots[label[joined]])], ["a", "b"])
+
+    rows = placed.select("bucket", "block", *MARKS).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    return rows.mapInArrow(tidily(work), "a long, b long")
+
+
+def family_links(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links by which components of each family and block come together, all of them confirmed on full sets."""
+
+    def common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(others)
+        at = np.minimum(np.searchsorted(own, both), len(own) - 1)
+        return np.add.reduceat((own[at] == both).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+    def links(cid, root, guest, n, b0, b1, sets):
+        _, label, count = np.unique(root, return_inverse=True, return_counts=True)
+        outside = label != np.argmax(count)
+        every = np.arange(len(cid))
+        for x in np.flatnonzero(outside).tolist():
+            rest = every[~outside | (every > x)]
+            rest = rest[_passes(label, guest, n, b0, b1, np.full(len(rest), x), rest, percent)]
+            rest = rest[np.argsort(_differ(b0, b1, np.full(len(rest), x), rest), kind="stable")]
+            while len(rest):
+                now, rest = rest[:32], rest[32:]
+                both = common(sets[x], [sets[y] for y in now.tolist()])
+                for y in now[100 * both >= percent * (n[x] + n[now] - both)].tolist():
+                    if label[y] != label[x]:
+                        yield cid[x], cid[y]
+                        label[label == label[y]] = label[x]
+                rest = rest[label[rest] != label[x]]
+
+    def work(batches):
+        import pyarrow as pa
+
+        for t, begin in whole_groups(batches, ("family", "block")):
+            marks = _columns(t, MARKS)
+            sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
+            found = [p for lo, hi in zip(begin[:-1], begin[1:], strict=True) for p in links(*(m[lo:hi] for m in marks), sets[lo:hi])]
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = placed.select("family", "block", *MARKS, "shingles").repartition("family", "block").sortWithinPartitions("family", "block")
+    return rows.mapInArrow(tidily(work), "a long, b long")
+
+
+def in_blocks(rows: DataFrame, key: str, size, most: int) -> DataFrame:
+    """Rows (key, cid, root, ...) of the keys with several roots, with block and guest: rows of a key's main root in
+    their own block, the others in all blocks of the key, guests in all but their own. A block's size is about most."""
+    roots = rows.groupBy(key, "root").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+    keys = roots.groupBy(key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.sum("size") / most).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    home = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    blocks = F.when(F.col("root") == F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return rows.join(keys, key).withColumn("block", F.explode(blocks)).withColumn("guest", F.col("block") != home).drop("main", "blocks")
+
+
+def class_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(cid, shingles): the sorted hashes of a class's shingles, from its text."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in pieces(batches):
+            data, starts = arrow_texts(batch.column("text"))
+            with np.errstate(over="ignore"):
+                h, first = word_hashes(data, starts)
+                sets = [shingle_hashes(h[a:b], words).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], ["cid", "shingles"])
+
+    return texts.select("cid", "text").mapInArrow(tidily(work), "cid long, shingles binary")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 20, depth: int = 4, rounds: int = 2, block_rows: int = 2048, block_shingles: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("thash", F.xxhash64("text"))
@@ -160,8 +320,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     half = lambda test: F.transform(F.filter("own", lambda x: test(x["pos"])), lambda x: x["h"])
     own = own.select(*mark, half(lambda p: p < groups).alias("left"), half(lambda p: p >= groups).alias("right"))
     table = own.select(*mark, F.explode("left").alias("l"), "right").select(*mark, "l", F.explode("right").alias("r")).select(*mark, F.xxhash64("l", "r").alias("bucket"))
-    pivots = table.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most").select("bucket", "pivot")
-    buckets = store(table.join(pivots, "bucket"), "buckets")
+    crowded = table.groupBy("bucket").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).where("c0 < c1").select("bucket")
+    buckets = store(table.join(crowded, "bucket"), "buckets")
 
     live = buckets.select("cid").distinct()
     wanted = classes.join(live, "cid").select("cid", "doc_id", "thash")
@@ -173,62 +333,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
         with_b = with_a.withColumnRenamed("b", "cid").join(texts.withColumnRenamed("text", "text_b"), "cid")
         return similar(with_b.withColumnRenamed("cid", "b"), words, percent)
 
-    marks = store(classes.join(live, "cid").select("cid", "n_shingles", "halves"), "marks")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Without the pairs whose set sizes or small hashes rule the similarity out."""
-        sides = [marks.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("halves").alias(f"h_{x}")) for x in "ab"]
-        both = pairs.join(sides[0], "a").join(sides[1], "b")
-        near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        equal = F.size(F.filter(F.zip_with("h_a", "h_b", lambda x, y: x == y), lambda x: x))
-        return both.where(near).where(equal >= least_equal).select("a", "b")
-
-    def near_marks():
-        """Bits and set sizes of a row and its lead don't rule the similarity out."""
-        size, other = F.col("n_shingles"), F.col("lead.n_shingles")
-        differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("lead.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("lead.b1")))
-        return (differ <= most_different(percent)) & (F.least(size, other) * 100 >= F.greatest(size, other) * percent)
-
-    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    votes = buckets.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("n"))
-    best = votes.groupBy("cid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    tried = store(likely(best.select(*pair("cid", "pivot")).distinct()), "tried")
-    links = store(confirm(tried), "links")
-    buckets, turn = buckets.select("bucket", *mark), 0
-    while True:
-        roots = components(links)
-        held = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", *mark, F.coalesce("root", "cid").alias("root"))
-        order = F.xxhash64("cid", "bucket", F.lit(turn))
+    size, other = F.col("n_shingles"), F.col("lead.n_shingles")
+    differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("lead.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("lead.b1")))
+    near = (differ <= most_different(percent)) & (F.least(size, other) * 100 >= F.greatest(size, other) * percent)
+
+    rooted = lambda rows, roots: rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    links = roots = None
+    for turn in range(rounds):
+        held = rooted(buckets, roots) if turn else buckets.withColumn("root", F.col("cid"))
+        order = F.xxhash64("cid", "bucket", F.lit(turn)) if turn else F.col("cid")
         leads = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct(*mark, "root"), order).alias("lead")).where("r0 < r1").select("bucket", "lead")
-        open_ = store(held.join(leads, "bucket"), "open")
-        met = open_.where("root <> lead.root").where(near_marks()).groupBy("cid", F.col("lead.cid").alias("lead")).agg(F.count("*").alias("n"))
-        met = met.withColumns(dict(zip("ab", pair("cid", "lead"), strict=True))).join(tried, ["a", "b"], "left_anti")
-        if turn != 1:  # most of a large group comes together by few pivots
-            nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("n"), "lead"))
-            met = met.withColumn("nth", nth).where(f"nth <= {4 if turn else 2}")
-        new = store(likely(met.select("a", "b").distinct()), "tried")
-        found = store(confirm(new), "links")
-        links, tried, buckets, turn = links.union(found), tried.union(new), open_.select("bucket", *mark), turn + 1
-        if turn > 1 and found.isEmpty() or turn > 2:
-            break
-
-    # the rest exactly: pivots that were compared with all of their bucket leave it
-    n_leads, roots = 16, components(links)
-    while True:
-        held = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", *mark, F.coalesce("root", "cid").alias("root"))
-        several = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
-        open_ = store(held.join(several, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("cid", "bucket"), "cid"))
-        leads = store(open_.withColumn("nth", nth).where(F.col("nth") <= n_leads).select("bucket", F.struct(*mark, "root").alias("lead")), "leads")
-        met = open_.join(leads, "bucket").where(F.col("root") != F.col("lead.root")).where(near_marks()).select(*pair("cid", "lead.cid")).distinct()
-        new = store(likely(met.join(tried, ["a", "b"], "left_anti")), "tried")
-        found, tried = store(confirm(new), "links"), tried.union(new)
-        if not found.isEmpty():
-            roots = components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        buckets = store(open_.select("bucket", *mark).join(leads.select("bucket", "lead.cid"), ["bucket", "cid"], "left_anti"), "left")
-        n_leads *= 4
+        open_ = held.join(leads, "bucket")
+        open_ = store(open_, "open") if turn else open_
+        met = open_.where("root <> lead.root").where(near).groupBy("cid").agg(F.min_by("lead.cid", F.struct(differ, "lead.cid")).alias("lead"))
+        found = store(confirm(met.select(F.greatest("cid", "lead").alias("a"), F.least("cid", "lead").alias("b")).distinct()), "links")
+        links = links.union(found) if turn else found
+        roots = components(links)
+        buckets = open_.select("bucket", *mark) if turn else buckets
+
+    # the rest exactly
+    held = rooted(buckets, roots)
+    related = store(kin(in_blocks(held, "bucket", F.lit(1), block_rows), percent).distinct(), "kin")
+    families = components(related).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    members = store(held.select(*mark, "root").distinct().join(families, "root"), "members")
+    sets = class_sets(texts.join(members.select("cid"), "cid", "left_semi"), words)
+    found = store(family_links(in_blocks(members.join(sets, "cid"), "family", size, block_shingles), percent), "links")
+    roots = components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     named = classes.select("cid", "set_id", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("set_id", "doc_id", F.coalesce("root", "cid").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
