@@ -250,8 +250,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
     return dealt.mapInArrow(tidily(write), "shard long, path string, entries long, tokens long")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """Read every entry back: doc_id, start (ids before it in all shards), n_tokens, ids_crc32, ids.
+def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Read every entry back: doc_id, start (ids before it in all shards), n_tokens, ids_crc32, and ids if they are wanted.
 
     Only a row for each shard is summed in order; a shard is read by one task, block by block.
     """
@@ -270,16 +270,17 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     rows, held = [], 0
                     for key, ids in Reader(source, source.size()):
                         data = ids.astype("<u4").tobytes()
-                        rows.append((id_of(key), start, len(ids), zlib.crc32(data), data))
+                        rows.append((id_of(key), start, len(ids), zlib.crc32(data), data if with_ids else None))
                         start += len(ids)
-                        held += len(data)
+                        held += len(data) if with_ids else 64
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                             rows, held = [], 0
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return placed.mapInArrow(tidily(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    found = placed.mapInArrow(tidily(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return found if with_ids else found.drop("ids")
 
 
 def lookup(shards: DataFrame, doc_ids: list[int | None]) -> dict[int | None, list[np.ndarray]]:
@@ -299,4 +300,4 @@ def op1_sstable(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
     written.write.parquet(path)
     shards = spark.read.schema(written.schema).parquet(path)
-    return read_shards(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(shards, with_ids=False)
