@@ -63,39 +63,27 @@ def test_near_duplicates(docs, corpus, words):
     assert got == brute_components(corpus, words, 80)
 
 
-def test_crowded_buckets_are_finished_exactly(spark):
-    """Pairs at 0.8 in a family below 0.8: few tables, so that a partner is seldom the pivot of a bucket."""
+@pytest.mark.parametrize(("edits", "blocks"), [((6, 9), {}), ((7, 10), {"block_rows": 100, "block_shingles": 20_000})])
+def test_crowded_buckets_are_finished_exactly(spark, edits, blocks):
+    """A family around one text, most pairs just below 0.8: its few links are hardly ever those of pivots."""
     rng = np.random.default_rng(5)
-    base = [f"b{i}" for i in range(100)]
+    base = [f"v{x}" for x in rng.integers(0, 3000, 200)]
     rows = []
-    for i in range(60):
-        own = [w if rng.random() > 0.06 else f"x{rng.integers(10**6)}" for w in base]
-        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, f"tail{i}"]))]
-    groups, depth = 2, 1
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2, groups=groups, depth=depth, least_equal=1).collect()}
-    sets = {i: minhash.shingle_set(t, 2) for i, t in rows}
-    signed = {}
-    for i, t in rows:
-        h = minhash.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]
-        with np.errstate(over="ignore"):
-            signed[i] = minhash.small_hashes(minhash.shingle_hashes(h, 2), groups, depth)
-    root = {i: i for i in sets}
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(200, rng.integers(*edits), replace=False):
+            words[at] = f"w{rng.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2, **blocks).collect()}
+    want = brute_components(rows, 2, 80)
+    assert 20 < len({c for _, c in want.values()}) < 400 and got == want
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a in sets:
-        for b in range(a):
-            equal = signed[a][0] == signed[b][0]
-            differ = sum(int(x).bit_count() for x in signed[a][1] ^ signed[b][1])
-            both = len(sets[a] & sets[b])
-            if equal[:groups].any() and equal[groups:].any() and differ <= minhash.most_different(80) and 100 * both >= 80 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    want = {i: find(i) for i in sets}
-    assert len(set(want.values())) > 20 and got == want
+def test_a_very_long_text_and_its_near_copy(spark):
+    words = [f"v{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-300])), (3, " ".join(words[:100]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (59_996, 1), 2: (59_696, 1), 3: (96, 3)}
 
 
 def test_near_duplicates_with_nulls_and_repeats(spark):
@@ -214,6 +202,44 @@ def test_risk_control():
     assert quality.choose_cutoff(rising, 1000, list(range(15)), 15, 0.01, 0.01) == quality.CUTOFFS[3]
 
 
+def test_false_rejections_over_many_draws():
+    """Rules reject good documents at random; over many holdouts few admitted cutoffs lose more than 1 %."""
+    rng = np.random.default_rng(4)
+    true = np.linspace(0.001, 0.03, len(quality.CUTOFFS))
+    broken = 0
+    for _ in range(400):
+        score = rng.random(1500)
+        cutoff = quality.choose_cutoff([int((score < t).sum()) for t in true], 1500, list(range(15)), 15, 0.01, 0.05, price=0.0)
+        broken += cutoff is not None and true[quality.CUTOFFS.index(cutoff)] > 0.01
+    assert broken <= 400 * 0.05 + 3 * (400 * 0.05 * 0.95) ** 0.5
+
+
+def test_labels_and_texts_count_once(spark):
+    """Labels given twice, contradictory ones and copies of a text add no trials; null and empty strata are apart."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, text(i), "en") for i in range(40)] + [(100 + i, text(0), "en") for i in range(500)] + [(700 + i, text(700 + i), lang) for i, lang in enumerate([None, ""] * 20)]
+    rows += [(5, text(5000), "en")]  # an identifier with two texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = [(i, 1) for i, _, _ in rows] * 3 + [(7, 0)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    found = quality.cutoffs(quality.scored(docs), labels, 0.01, 0.05)
+    counts = {r["__stratum"]: r.n_good for r in found[1].collect()}
+    texts = {t for i, t, lang in rows if lang == "en" and i not in (5, 7)}
+    assert set(counts) <= {"sen", "n", "s"} and {"n", "s"} <= set(counts) and counts["n"] + counts["s"] < 40
+    assert 0 < counts["sen"] < len(texts)
+
+
+def test_columns_with_the_operators_own_names(spark):
+    odd = "rules string, mid0 string, wide0 string, __cutoff string, __row string, __q string, __id string, __stratum string, __text string, kept string"
+    df = spark.createDataFrame([(1, "a " * 60, "en", *["x"] * 10), (2, None, None, *["x"] * 10)], f"doc_id long, text string, lang string, {odd}")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert {r.doc_id for r in quality.quality_verdicts(df, labels).collect()} == {1, 2}
+    assert quality.quality_filter(df, labels).columns == df.columns
+    assert minhash.drop_near_duplicates(df).columns == df.columns
+    assert suffixes.without_repeats(df).columns == df.columns
+    assert lm.lm_scores(df.withColumn("row", df.rules).withColumn("codes", df.rules)).count() == 2
+
+
 def test_verdicts_keep_good_documents(spark):
     rng = np.random.default_rng(6)
     rows, labels = [], []

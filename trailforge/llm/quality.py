@@ -13,11 +13,15 @@ less a price for lost good ones is taken, the milder of equals. So with
 probability 1 - delta no stratum loses more than ``max_false`` of its good
 documents to the method's verdict.
 
-Defined results: a null text has no words and fails the base rule; a null
-stratum is a stratum of its own; a stratum with too few labels, or an empty
-labels table, gets no cutoff, and the method keeps its documents; labels with
-null values or without a document count nowhere; repeated rows each get their
-own row. Columns of the input that have the names of new columns are replaced.
+The trials of the binomial test are distinct texts of a stratum: copies of a text are one
+trial, and the halves are split by a hash of the text, so that copies never stand in both.
+
+Defined results: a null or empty text has no words and fails the base rule; texts are read whole, however long;
+a null stratum is a stratum of its own, apart from the empty one; a stratum with too few labels, or an empty
+labels table, gets no cutoff, and the method keeps its documents; an empty documents table gives no rows;
+labels with null values or without a document count nowhere, nor do identifiers or texts with contradictory
+labels, nor identifiers that several texts have; a label given twice counts once; repeated rows each get their
+own row; scores equal to the cutoff are kept. Columns of the input that have the names of new columns are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, batch_rows, store, tables
+from .common import WORD, bound_batches, store, tables
 
 CUTOFFS = (16.0, 12.0, 8.0, 6.0, 5.0, 4.0, 3.5, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.1, 1.0)
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, rules array<double>"
@@ -96,10 +100,18 @@ def choose_cutoff(good: list[int], n_good: int, bad: list[int], n_bad: int, max_
     return best
 
 
-def scored(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs with the struct __q of features and the string __stratum."""
-    batch_rows(docs.sparkSession)
-    return docs.withColumns({"__q": F.pandas_udf(features, FEATURES)(F.col("text").cast("string")), "__stratum": F.coalesce(F.col(stratum).cast("string"), F.lit(""))})
+def scored(docs: DataFrame, stratum: str = "lang", keep_text: bool = False) -> DataFrame:
+    """A row for each of docs: __id, __row (its columns, with the text only if asked for), __q (features), __stratum, __text (a hash)."""
+    bound_batches(docs.sparkSession)
+    key = F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("n"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").alias("__id"), F.struct(*kept).alias("__row"), F.pandas_udf(features, FEATURES)(text).alias("__q"), key.alias("__stratum"), F.xxhash64(text).alias("__text"))
+
+
+def _by_stratum(rows: DataFrame, limits: DataFrame, how: str = "inner", most_strata: int = 10_000) -> DataFrame:
+    """rows with the stored row of their stratum: broadcast where these are few, else joined by stratum."""
+    return rows.join(F.broadcast(limits) if limits.count() <= most_strata else limits, "__stratum", how)
 
 
 def base_failed():
@@ -112,8 +124,13 @@ def cutoffs(docs: DataFrame, labels: DataFrame, max_false: float, delta: float)
     Both have a row for each stratum; what reaches Python is a row for each
     stratum and cutoff count, computed on executors.
     """
-    labelled = docs.where(~base_failed()).select(F.col("doc_id").alias("__id"), "__stratum", "__q.rules").join(labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).where("quality is not null"), "__id")
-    labelled = labelled.withColumn("fit", F.crc32(F.col("__id").cast("string")) % 2 == 0)
+    quality = F.col("quality").cast("int")
+    known = labels.select(F.col("doc_id").alias("__id"), quality.alias("quality")).where("quality is not null")
+    known = known.groupBy("__id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
+    own = docs.where(~base_failed()).select("__id", "__text", "__stratum", "__q.rules").join(known, "__id")
+    own = own.groupBy("__id").agg(F.min(F.struct("__text", "__stratum", "rules")).alias("x"), F.max("__text").alias("other"), F.min("quality").alias("quality")).where("x.__text = other")
+    texts = own.select("x.*", "quality").groupBy("__stratum", "__text").agg(F.min("rules").alias("rules"), F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    labelled = store(texts.withColumn("fit", F.pmod(F.xxhash64("__text", F.lit(1)), F.lit(2)) == 0), "labelled")
     value = [F.col("rules")[i] for i in range(N_RULES)]
     scale = (
         labelled.where("fit and quality = 1")
@@ -121,7 +138,8 @@ def cutoffs(docs: DataFrame, labels: DataFrame, max_false: float, delta: float)
         .agg(*(F.percentile_approx(v, [0.5, 0.99], 1000).alias(f"p{i}") for i, v in enumerate(value)))
         .select("__stratum", *(F.col(f"p{i}")[0].alias(f"mid{i}") for i in range(N_RULES)), *(F.greatest(F.col(f"p{i}")[1] - F.col(f"p{i}")[0], F.lit(0.02)).alias(f"wide{i}") for i in range(N_RULES)))
     )
-    held = labelled.where("not fit").join(scale, "__stratum").withColumn("score", score())
+    scale = store(scale, "scale")
+    held = _by_stratum(labelled.where("not fit"), scale).withColumn("score", score())
     counts = held.groupBy("__stratum").agg(
         F.sum((F.col("quality") == 1).cast("long")).alias("n_good"),
         F.sum((F.col("quality") == 0).cast("long")).alias("n_bad"),
@@ -148,26 +166,23 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     """Verdict of every document: columns of docs plus features, score, cutoff, base_failed, kept.
 
     Without keep_text the text column is dropped. Each text is read once by
-    Python; the scored rows go to the shared folder, and two small joins with a
-    row for each stratum follow (Spark broadcasts them if they are small).
+    Python; the scored rows go to the shared folder, and two joins with a
+    row for each stratum follow (broadcast up to 10,000 strata).
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "cutoff", "base_failed", "kept")
-    docs = scored(docs, stratum)
-    if not keep_text:
-        docs = docs.drop("text")
-    docs = store(docs, "quality")
+    old = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
+    docs = store(scored(docs, stratum, keep_text), "quality")
     scale, picked = cutoffs(docs, labels, max_false, delta)
-    limits = store(scale.join(picked.select("__stratum", "cutoff"), "__stratum"), "cutoffs").withColumnRenamed("cutoff", "__cutoff")
-    old = [c for c in docs.columns if c not in (*new, "__q", "__stratum")]
-    rows = docs.select(*old, "__q", "__stratum", F.col("__q.rules").alias("rules")).join(limits, "__stratum", "left")
+    limits = store(scale.join(picked.select("__stratum", "cutoff"), "__stratum"), "cutoffs")
+    rows = _by_stratum(docs.select("*", F.col("__q.rules").alias("rules")), limits, "left")
     failed = base_failed()
     return rows.select(
-        *old,
+        *(F.col("__row")[c].alias(c) for c in old),
         *(F.col(f"__q.{c}").alias(c) for c in new[:5]),
         score().alias("score"),
-        F.col("__cutoff").alias("cutoff"),
+        F.col("cutoff"),
         failed.alias("base_failed"),
-        (~failed & ~F.coalesce(score() > F.col("__cutoff"), F.lit(False))).alias("kept"),
+        (~failed & ~F.coalesce(score() > F.col("cutoff"), F.lit(False))).alias("kept"),
     )
 
 
