@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from trailforge.llm.common import Scratch
 from trailforge.llm.queries import QUERIES, SQL
 
 
@@ -47,6 +48,24 @@ def test_run_packs_what_is_left(spark, tables):
     assert all(r.offset + r.length <= 4096 for r in out)
 
 
+def test_lazy_results_survive_a_pipeline(spark, tables):
+    lazy = QUERIES["op10_packing"](spark, tables[0])
+    corpus_pipeline.run(spark, tables[0]).count()
+    assert {r.doc_id for r in lazy.collect()} == {r[0] for r in tables[1]}
+    with Scratch() as own:
+        found = QUERIES["op10_packing"](spark, tables[0])
+        assert found.count() and own.paths
+    own.release(spark)
+    assert not own.paths
+
+
+def test_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_sequences_follow_the_mix(spark, tmp_path):
     """Two blocks of source a and one of b, each document more than a window: a, b, a; the last files are the largest."""
     rng = np.random.default_rng(3)

@@ -84,6 +84,9 @@ def test_shards_of_a_table(spark, docs):
         at += len(ids)
     found = sstable.lookup(shards, [5, 99])
     assert len(found[5]) == 2 and found[99] == []
+    ranges = [(bytes(r.first_key), bytes(r.last_key)) for r in shards.orderBy("shard").collect()]
+    assert all(a <= b for a, b in ranges) and all(x[1] <= y[0] for x, y in zip(ranges, ranges[1:], strict=False))
+    assert sstable.lookup(shards, []) == {} and len(sstable.lookup(shards, [None])[None]) == 1
     assert sstable.write_shards(docs.limit(0), scratch(spark, "sst"), path, 0).count() == 0
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, store, tables, tidily
+from .common import bound_batches, store, tables, tidily
 
 
 def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -109,7 +109,7 @@ def cosine_rows(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, leaf_rows: int = 256, probe_share: float = 0.15, least_probes: int = 32, sample_rows: int = 20_000, slab_rows: int = 16_384) -> DataFrame:
     """The k nearest of each query: query_id, rank, vec_id, score. Both tables have vec_id and embedding."""
     spark = rows.sparkSession
-    batch_rows(spark, 2000)
+    bound_batches(spark)
     named = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = named(rows)
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()

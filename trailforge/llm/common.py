@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
-_scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,16 +32,42 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder."""
-    _scratch.append(path := f"{shared_dir(spark)}/trailforge/{name}-{uuid.uuid4().hex}")
-    return path
+class Scratch:
+    """Owns the scratch folders that are made in its ``with`` block; only release() deletes them, and no others.
+
+    Results that are still lazy read them: release when what needs them is stored. Folders made outside any block
+    belong to nobody and stay.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._outer = _owner.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._outer)
+
+    def release(self, spark: SparkSession) -> None:
+        while self.paths:
+            delete(spark, self.paths.pop())
+
 
+_owner: ContextVar[Scratch | None] = ContextVar("scratch owner", default=None)
 
-def release_scratch(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the scratch folders made so far (their results must be stored elsewhere)."""
-    while len(_scratch) > keep:
-        delete(spark, _scratch.pop())
+
+def owner() -> Scratch | None:
+    """Whose block this is."""
+    return _owner.get()
+
+
+def scratch(spark: SparkSession, name: str, owned: bool = True) -> str:
+    """A new folder name under the shared folder."""
+    path = f"{shared_dir(spark)}/trailforge/{name}-{uuid.uuid4().hex}"
+    if owned and (own := owner()) is not None:
+        own.paths.append(path)
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -61,12 +87,21 @@ def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that go to Python workers (rows, and bytes where Spark knows that limit)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers, in rows and bytes.
+
+    The limits are the same for all operators, so that it doesn't matter which one is planned last before a lazy plan runs.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; those that Spark can't hash (maps, at any depth) as JSON."""
+    kinds = dict(docs.dtypes)
+    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c] or kinds[c] == "variant" else F.col(f"`{c}`") for c in docs.columns))
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI, for Python code on executors."""
     from pyarrow import fs

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, batch_rows, store, tables, text_or_empty, tidily
+from .common import WORD, bound_batches, store, tables, text_or_empty, tidily
 from .gru import Adam, Model, Shape
 from .minhash import ascii_lower
 
@@ -227,7 +227,7 @@ def train(texts: DataFrame, shared, flat: np.ndarray, rounds: int, rate: float)
 def lm_scores(docs: DataFrame, n_words: int = 256, width: int = 32, n_rare: int = 88, state: int = 12, embed: int = 12, most_words: int = 65_536, rounds: int = 4, rate: float = 0.01) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
-    batch_rows(spark, 500)
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     training = docs.where(~held_out())
     counts = store(count_words(training, n_rare), "counts")

@@ -44,7 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_texts, batch_rows, mix, pieces, seeds, store, tables, tidily, word_hashes
+from .common import WORD, arrow_texts, bound_batches, mix, pieces, row_hash, seeds, store, tables, tidily, word_hashes
 from .graph import components
 
 _UPPER = re.compile("[A-Z]+")
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, words: int, groups: int, depth: int) -> DataFram
                 ["doc_id", "thash", "n_shingles", "set_id", "halves", "b0", "b1"],
             )
 
-    batch_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(tidily(sign), "doc_id long, thash long, n_shingles long, set_id binary, halves array<long>, b0 long, b1 long")
 
 
@@ -145,7 +145,7 @@ def similar(pairs: DataFrame, words: int, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    batch_rows(pairs.sparkSession, 256)
+    bound_batches(pairs.sparkSession)
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidily(check), "a long, b long")
 
 
@@ -371,7 +371,7 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     marked = near_duplicates(docs.select("doc_id", "text"), **how)
     lost = marked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(lost, "doc_id", "left_anti")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(row_hash(docs))
     return kept.withColumn("__nth", F.row_number().over(same)).where((F.col("__nth") == 1) | F.col("doc_id").isNull()).drop("__nth")
 
 

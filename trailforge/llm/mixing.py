@@ -4,9 +4,10 @@ A source's documents are cut into blocks in the order of their identifiers. With
 share w of the weights, a source's k-th block of a phase is released at
 floor((k-1)/w) and due at ceil(k/w), in whole numbers without rounding, and each
 slot goes to the released block with the earliest deadline. So after any number
-of slots of a phase every source has had its weight's share to within less than
+of slots of a phase every source has had its weight's share of that phase to within less than
 one block, however long the phase is. When a source is used up, the others go on
-with their weights scaled up (a new phase). Nothing is dropped or repeated.
+with their weights scaled up (a new phase, whose count begins anew: over p phases the
+deviations add up to less than p blocks). Nothing is dropped or repeated.
 
 With a ``period`` weights are rounded to blocks of a period instead and one
 period's table repeats: deviations hold against the rounded weights only.
@@ -35,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, tables
+from .common import row_hash, store, tables
 
 
 def quantize(weights: list[float], period: int) -> list[int]:
@@ -156,7 +157,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     spark = docs.sparkSession
     new = ("__source_block", "__slot", "__in_block", "__phase")
     order = ("__key", "__doc", "__hash")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), source_key(F.col("source")).alias("__key"), F.col("doc_id").alias("__doc"), F.xxhash64(*docs.columns).alias("__hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), source_key(F.col("source")).alias("__key"), F.col("doc_id").alias("__doc"), row_hash(docs).alias("__hash"))
     rows = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("__row", "__key", F.monotonically_increasing_id().alias("__at")), "numbered")
     part = F.shiftright("__at", 33)
     parts = rows.groupBy("__key", part.alias("__part")).agg(F.min("__at").alias("__low"), F.count("*").alias("n"))

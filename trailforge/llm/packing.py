@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, store, tables, text_or_empty, tidily
+from .common import bound_batches, store, tables, text_or_empty, tidily
 from .tokens import encode, public_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, __n long"
@@ -115,7 +115,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int =
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "__n"]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids_of, pa.binary())] if keep_ids else [])], names + ["ids"] * keep_ids)
 
-    batch_rows(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     place = F.col("__at") if stored_order else F.lit(None).cast("long").alias("__at")
     docs = in_stored_order(docs) if stored_order else docs
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), place).mapInArrow(tidily(cut), PIECES + ", ids binary" * keep_ids)

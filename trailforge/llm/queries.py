@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import ann, lm, minhash, mixing, packing, quality, sharding, sstable, suffixes, warc
+from . import ann, lm, minhash, mixing, packing, pipeline, quality, sharding, sstable, suffixes, warc
 
 QUERIES = {
     "op1_sstable": sstable.op1_sstable,
@@ -17,6 +15,6 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 SQL: dict[str, str] = {"op2_sharding": sharding.OP2_SQL}

@@ -16,8 +16,12 @@ footer of fixed length leads to both. Blocks are compressed with Zstandard.
 
 A key is one byte 0 for a null identifier, or 1 and the 64-bit identifier with
 its sign bit flipped, big endian; so byte order is ascending identifier order,
-null first. A null text is empty. Repeated identifiers are all kept, and a
-lookup returns each of their values.
+null first.
+
+Defined results: a null or empty text is the end id alone; a text is encoded whole, however long, and is one entry,
+so a block may outgrow its size; repeated identifiers are all kept, in the order of a hash of
+their texts, and a lookup returns each of their values; an empty table gives no shards and reads back empty;
+columns beyond doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, open_fs, scratch, tables, text_or_empty, tidily
+from .common import bound_batches, open_fs, scratch, tables, text_or_empty, tidily
 from .tokens import encode, public_path
 
 FOOTER = struct.Struct("<QIQIQQI8s")
@@ -217,8 +222,8 @@ class Reader:
 def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, block_bytes: int = 1 << 18, split: str | None = None) -> DataFrame:
     """Encode documents and write them as shards in ascending doc_id order.
 
-    Returns a row for each shard (shard, path, entries, tokens); its order is
-    that of the shards. Rows are dealt by ranges of (doc_id, hash of the text),
+    Returns a row for each shard (shard, path, entries, tokens, first_key, last_key); its
+    order is that of the shards. Rows are dealt by ranges of (doc_id, hash of the text),
     so that a repeated identifier doesn't gather in one task.
     """
 
@@ -237,17 +242,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
                     tmp = f"{root}/_{part:06d}-{uuid.uuid4().hex}"
                     writer = Writer(out := fs.open_output_stream(tmp), block_bytes)
                 writer.add(key_of(doc), ids)
-        schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64())])
+        schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
         if writer is not None:
             writer.finish()
             out.close()
             fs.move(tmp, f"{root}/part-{part:06d}.sst")
-            yield pa.RecordBatch.from_pylist([{"shard": part, "path": f"{folder}/part-{part:06d}.sst", "entries": writer.entries, "tokens": writer.ids}], schema)
+            yield pa.RecordBatch.from_pylist([{"shard": part, "path": f"{folder}/part-{part:06d}.sst", "entries": writer.entries, "tokens": writer.ids, "first_key": writer.index[0][0], "last_key": writer.last}], schema)
 
-    batch_rows(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return dealt.mapInArrow(tidily(write), "shard long, path string, entries long, tokens long")
+    return dealt.mapInArrow(tidily(write), "shard long, path string, entries long, tokens long, first_key binary, last_key binary")
 
 
 def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -284,14 +289,19 @@ def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def lookup(shards: DataFrame, doc_ids: list[int | None]) -> dict[int | None, list[np.ndarray]]:
-    """The ids of a few documents, by Bloom filter and binary search in each shard (on the driver)."""
+    """The ids of a few documents (on the driver): only shards whose key range holds one are opened; there its Bloom
+    filter and a binary search lead to the block. An identifier that isn't there has an empty list."""
     found: dict[int | None, list[np.ndarray]] = {i: [] for i in doc_ids}
-    for row in shards.select("path").toLocalIterator():
+    if not found:
+        return found
+    holds = [(F.col("first_key") <= F.lit(key_of(i))) & (F.lit(key_of(i)) <= F.col("last_key")) for i in found]
+    for row in shards.where(reduce(Column.__or__, holds)).orderBy("shard").select("path", "first_key", "last_key").toLocalIterator():
         fs, where = open_fs(row.path)
         with fs.open_input_file(where) as source:
             reader = Reader(source, source.size())
             for i in found:
-                found[i] += reader.get(key_of(i))
+                if row.first_key <= key_of(i) <= row.last_key:
+                    found[i] += reader.get(key_of(i))
     return found
 
 

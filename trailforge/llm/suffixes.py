@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _power_table, arrow_texts, batch_rows, mix, pieces, store, tables, text_or_empty, tidily
+from .common import _BYTE, _power_table, arrow_texts, bound_batches, mix, pieces, store, tables, text_or_empty, tidily
 
 GRAM = 24
 _INDEX_BITS = 24
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 409
     """(rows, changed): docs with key and n_bytes, and for each key whose text loses bytes
     (key, n_removed, n_spans, kept_sha256, kept): join them by key, left."""
     spark = docs.sparkSession
-    batch_rows(spark, 500)
+    bound_batches(spark)
     rows = docs.withColumn("text", text_or_empty()).withColumns({"key": F.unhex(F.md5(F.col("text").cast("binary"))), "n_bytes": F.octet_length("text").cast("long")})
     long = rows.where(F.col("n_bytes") >= length)
     copies = long.groupBy("key").agg(F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")).where("copies > 1")

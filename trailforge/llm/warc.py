@@ -24,7 +24,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, open_fs, scratch, tables, tidily
+from .common import bound_batches, open_fs, scratch, tables, tidily
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -159,7 +159,7 @@ def write_warc(plan: DataFrame, folder: str, max_bytes: int = 1 << 30) -> DataFr
         close()
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "records": [x[1] for x in done], "bytes": [x[2] for x in done]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    batch_rows(plan.sparkSession, 256)
+    bound_batches(plan.sparkSession)
     return plan.select("id", "url", "payload", "digest", "first", "revisit").mapInArrow(tidily(write), "path string, records long, bytes long")
 
 
