@@ -1,80 +1,7 @@
-"""From raw documents to packed training sequences, in five stages.
-
-Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept; what it returns is written as Parquet and read again for the next one. All
-but the last return the columns of documents.
-"""
+"""The corpus pipeline: five stages from raw documents to packed training sequences (see trailforge/llm/pipeline.py)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from trailforge.llm.common import release_scratch, scratch, tables
-from trailforge.llm.minhash import drop_near_duplicates
-from trailforge.llm.mixing import mixed
-from trailforge.llm.packing import pack_documents
-from trailforge.llm.quality import quality_filter
-from trailforge.llm.suffixes import without_repeats
-from trailforge.llm.tokens import public_path
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that the base rule or the risk-controlled cutoff rejects go."""
-    return quality_filter(docs, tables(spark, sf_dir, "labels"))
-
-
-def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group at similarity 0.8 on five-word shingles one document stays."""
-    release_scratch(spark)  # the stage before is stored
-    return drop_near_duplicates(docs)
-
-
-def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: strings of 200 bytes that occur elsewhere are cut out of the texts."""
-    release_scratch(spark)
-    return without_repeats(docs)
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: all documents, in the order of the mix of their sources."""
-    release_scratch(spark)
-    return mixed(docs)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: a row for each piece in sequences of at most 4096 tokens, numbered in the order of the stored mix."""
-    release_scratch(spark)
-    return pack_documents(docs, public_path("word_bpe_49k.json"), 2, split="white_space", stored_order=True)
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("minhash_near_dedup", minhash_near_dedup),
-    ("suffix_array_dedup", suffix_array_dedup),
-    ("source_mix", source_mix),
-    ("packing", packing),
-]
-
-#: The stages aren't SQL (Python features, models, suffix arrays); tests/llm hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, over documents."""
-    docs = tables(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            path = f"{_stored(spark)}/{i}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
-
-
-def _stored(spark: SparkSession) -> str:
-    """A folder for this run's stage results, which release_scratch leaves alone."""
-    from trailforge.llm import common
+from trailforge.llm.pipeline import ORACLE_SQL, STAGES, run
 
-    path = scratch(spark, "stages")
-    common._scratch.remove(path)
-    return path
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
