@@ -33,7 +33,7 @@ def test_nearest_is_exact_where_all_leaves_are_visited(spark):
     odd = [(3000, None), (3001, [0.0] * 8), (3002, [float("nan")] * 8), (3003, [float("inf")] + [0.0] * 7), (3004, [1.0, None] + [0.0] * 6), (None, rows[0][1]), (3005, [1.0, 2.0]), (5, rows[5][1])]
     df = spark.createDataFrame(rows + odd, SCHEMA)
     queries = spark.createDataFrame([rows[0], rows[1], rows[7], (3001, [0.0] * 8)], SCHEMA)
-    got = ann.nearest(df, queries, 5, leaf_rows=64).collect()
+    got = ann.nearest(df, queries, 5).collect()
     want = brute(rows, [rows[0], rows[1], rows[7]], 5)
     for q, found in want.items():
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
@@ -54,12 +54,38 @@ def test_recall_with_many_leaves(spark):
     centres = rng.normal(size=(10, 32))
     rows = [(i, (centres[i % 10] + rng.normal(size=32)).tolist()) for i in range(6000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = ann.nearest(df, df.where("vec_id % 100 = 0"), 5, leaf_rows=64, slab_rows=3000).collect()
+    got = ann.nearest(df, df.where("vec_id % 100 = 0"), 5, slab_rows=3000, query_block=25).collect()
     want = brute(rows, [r for r in rows if r[0] % 100 == 0], 5)
     hits = sum(len({r.vec_id for r in got if r.query_id == q} & {i for _, i in found}) for q, found in want.items())
     assert hits >= 0.9 * 5 * len(want)
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_a_slab_looks_at_a_part_of_its_vectors(clustered):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8000, 32))
+    if clustered:
+        x = rng.normal(size=(80, 32))[np.arange(8000) % 80] + 0.2 * x
+    slab = ann.Slab(x, 64, 32, 0.008, 128, 1024)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = seen = 0
+    for i in range(0, 8000, 100):
+        found, _ = slab.best(x[i], 6, np.arange(8000))
+        hits += len(set(found.tolist()) & set(np.argsort(-(unit @ unit[i]))[:6].tolist()))
+        seen += len(slab.candidates(x[i]))
+    assert hits >= 0.9 * 6 * 80 and seen < 0.45 * 8000 * 80
+
+
+def test_ties_go_to_the_smaller_identifier(spark):
+    """More vectors of one direction than are kept, spread over slabs."""
+    rows = [(100 - i, [float(2**i), 0.0]) for i in range(40)] + [(500 + i, [1.0, float(i + 1)]) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = ann.nearest(df, df.where("vec_id = 100"), 5, slab_rows=20, exact_rows=1000).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [61, 62, 63, 64, 65] and all(r.score == 1.0 for r in got)
+    clash = df.selectExpr("*", "1 AS slab", "2 AS block", "3 AS vkey", "4 AS ids", "5 AS first")
+    assert [r.vec_id for r in ann.nearest(clash, clash.where("vec_id = 100")).orderBy("rank").collect()] == [61, 62, 63, 64, 65]
+
+
 PAGES = [(1, "http://a/é b", "x" * 1500), (2, None, "x" * 1500), (3, "u\r\nEvil: y", "x" * 1500), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (None, "u", "é" * 700), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 90), (9, "u", "é" * 700), (9, "u", "é" * 700)]
 
 

@@ -1,23 +1,23 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
-Trees are fitted on a bounded sample of distinct vectors (``sample_rows``): each
-node splits at the median of a random projection. Every distinct vector is put
-into one leaf of each tree. A query walks all trees with one shared priority
-queue, ordered by the largest distance to a split it had to cross, and visits
-the ``probe_share`` nearest leaves. The candidates of the visited leaves are
-reranked by the exact cosine of the original vectors in double precision.
-
-Leaves are dealt out in slabs of about ``slab_rows`` vectors, so a task's memory
-does not depend on the number of vectors, and a slab gives at most a few rows
-for each query. Equal vectors are one vector with the k + 1 smallest of their
-identifiers, which are picked before the shuffle; so a vector that a third of
-all rows share is one row here.
+Distinct vectors are dealt into slabs of about ``slab_rows`` by a hash. Each slab has a forest of
+its own, fitted on all of its vectors: each node splits at the median of a random
+projection, down to leaves of about ``leaf_rows``. Queries go to every slab, in blocks. There a query
+walks all trees with one shared priority queue, ordered by the largest distance to a
+split it had to cross, and visits the ``probe_share`` nearest leaves (``least_probes`` at
+least). The candidates, each taken once, are reranked by the exact cosine of
+the original vectors in double precision, and the best of all slabs are kept.
+
+So a vector is sent once for each block of ``query_block`` queries, a task's memory does not depend on the
+number of vectors, no sample is taken, and recall does not fall as the table grows. Equal vectors are one
+vector with the k + 1 smallest of their identifiers, which are picked before the shuffle; so a
+vector that a third of all rows share is one row here.
 
 Defined results: null, zero or non-finite vectors, null identifiers, and
 vectors of another length than the most common one take no part; repeated equal
-rows count once; of equal scores the smaller identifier comes first. With fewer
-than ``sample_rows`` vectors the sample is all of them; with few leaves every
-leaf is visited and the result is exact.
+rows count once; of equal scores the smaller identifier comes first; an empty table gives no rows; columns
+beyond vec_id and embedding are not read, so their names can't clash. In slabs of
+at most ``exact_rows`` vectors all are candidates, so small tables get exact results.
 """
 
 from __future__ import annotations
@@ -32,19 +32,19 @@ from pyspark.sql import functions as F
 from .common import bound_batches, store, tables, tidily
 
 
-def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(projections, thresholds) of each tree, nodes in heap order; sample has unit rows."""
+def fit_forest(points: np.ndarray, trees: int, depth: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(projections, thresholds) of each tree, nodes in heap order; points are unit rows."""
     forest = []
     for t in range(trees):
         rng = np.random.default_rng([seed, t])
         nodes = (1 << depth) - 1
-        w = rng.standard_normal((nodes, sample.shape[1])).astype(np.float32)
+        w = rng.standard_normal((nodes, points.shape[1])).astype(np.float32)
         w /= np.linalg.norm(w, axis=1, keepdims=True)
         b = np.zeros(nodes, np.float32)
-        where = np.zeros(len(sample), np.int64)
+        where = np.zeros(len(points), np.int64)
         for level in range(depth):
             first = (1 << level) - 1
-            p = np.einsum("ij,ij->i", sample, w[where])
+            p = np.einsum("ij,ij->i", points, w[where])
             order = np.lexsort((p, where))
             cuts = np.searchsorted(where[order], np.arange(first, 2 * first + 2))
             for node, lo, hi in zip(range(first, 2 * first + 1), cuts[:-1], cuts[1:], strict=True):
@@ -106,10 +106,44 @@ def cosine_rows(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * math.sqrt(float((q * q).sum())))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, leaf_rows: int = 256, probe_share: float = 0.15, least_probes: int = 32, sample_rows: int = 20_000, slab_rows: int = 16_384) -> DataFrame:
+class Slab:
+    """The vectors of one slab and their forest."""
+
+    def __init__(self, x: np.ndarray, trees: int, leaf_rows: int, probe_share: float, least_probes: int, exact_rows: int):
+        self.x, self.exact = x, len(x) <= exact_rows
+        if self.exact:
+            return
+        unit = _unit(x)
+        self.depth = max(1, math.ceil(math.log2(len(x) / leaf_rows)))
+        self.forest = fit_forest(unit, trees, self.depth)
+        self.probes = max(least_probes, math.ceil(probe_share * trees * (1 << self.depth)))
+        at = leaves_of(unit, self.forest, self.depth)
+        self.order = np.argsort(at, axis=1, kind="stable")
+        self.begin = [np.searchsorted(leaves[order], np.arange((1 << self.depth) + 1)) for leaves, order in zip(at, self.order, strict=True)]
+
+    def candidates(self, q: np.ndarray) -> np.ndarray:
+        """The numbers of the vectors in the leaves that the query visits."""
+        if self.exact:
+            return np.arange(len(self.x))
+        met = np.zeros(len(self.x), bool)
+        for t, leaf in probe(_unit(q[None])[0], self.forest, self.depth, self.probes):
+            met[self.order[t][self.begin[t][leaf] : self.begin[t][leaf + 1]]] = True
+        return np.flatnonzero(met)
+
+    def best(self, q: np.ndarray, most: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, scores) of the best candidates; of equal scores those with the smaller key."""
+        own = self.candidates(q)
+        s = cosine_rows(self.x[own], q)
+        if len(own) > most:
+            near = s >= np.partition(s, len(s) - most)[len(s) - most]  # all that tie with the last one
+            own, s = own[near], s[near]
+        top = np.lexsort((keys[own], -s))[:most]
+        return own[top], s[top]
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 64, leaf_rows: int = 32, probe_share: float = 0.008, least_probes: int = 128, exact_rows: int = 1024, slab_rows: int = 16_384, query_block: int = 20_000) -> DataFrame:
     """The k nearest of each query: query_id, rank, vec_id, score. Both tables have vec_id and embedding."""
-    spark = rows.sparkSession
-    bound_batches(spark)
+    bound_batches(rows.sparkSession)
     named = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = named(rows)
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -117,50 +151,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, lea
     rows = rows.where(F.size("embedding") == dim)
     queries = named(queries).where(F.size("embedding") == dim).distinct()
 
-    # row_number() <= k + 1 is also applied before the shuffle, so copies don't gather
+    # the rank is also taken before the shuffle, so copies don't gather
     by_id = Window.partitionBy("embedding").orderBy("vec_id")
     copies = rows.withColumn("nth", F.dense_rank().over(by_id)).where(f"nth <= {k + 1}").groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     vectors = store(copies.withColumn("vkey", F.monotonically_increasing_id()), "vectors")
     asked = store(queries.withColumn("qkey", F.monotonically_increasing_id()), "queries")
-
-    total = vectors.count()
-    sample = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample_rows).collect()
-    depth = max(0, math.ceil(math.log2(max(1, total / leaf_rows))))
-    depth = min(depth, max(0, int(math.log2(max(1, len(sample) / 8)))))
-    points = _unit(np.array([r.embedding for r in sample])) if sample else np.zeros((0, dim), np.float32)
-    shared = spark.sparkContext.broadcast(fit_forest(points, trees, depth))
-    probes = max(least_probes, math.ceil(probe_share * trees * (1 << depth)))
-    slabs = max(1, math.ceil(trees * total / slab_rows))
-
-    def slab_of(tree: np.ndarray, leaf: np.ndarray, block: np.ndarray) -> np.ndarray:
-        return ((tree << 40) + (leaf << 16) + block) * 2654435761 % (1 << 61) % slabs
-
-    blocks = max(1, math.ceil(total / (1 << depth) / slab_rows))  # of a leaf that outgrows a slab
-
-    def place(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                at = leaves_of(_unit(_matrix(batch.column("embedding"))), shared.value, depth)
-                block = np.asarray(batch.column("vkey")) % blocks
-                for t in range(trees):
-                    tree = np.full(batch.num_rows, t, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(slab_of(tree, at[t], block)), pa.array(tree), pa.array(at[t]), batch.column("vkey"), batch.column("embedding")], ["slab", "tree", "leaf", "vkey", "embedding"])
-
-    def ask(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                x = _unit(_matrix(batch.column("embedding")))
-                for i in range(0, len(x), 64):
-                    found = [(j, t, leaf, c) for j in range(i, min(i + 64, len(x))) for t, leaf in probe(x[j], shared.value, depth, probes) for c in range(blocks)]
-                    row, tree, leaf, block = (np.array(c, np.int64) for c in zip(*found, strict=True))
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(slab_of(tree, leaf, block)), pa.array(tree), pa.array(leaf), batch.column("qkey").take(take), batch.column("embedding").take(take)], ["slab", "tree", "leaf", "qkey", "embedding"])
-
-    most = k + 1 + 4  # some more than needed: the first ranking's rounding differs from the last one's
+    slabs = max(1, math.ceil(vectors.count() / slab_rows))
+    blocks = max(1, math.ceil(asked.count() / query_block))
 
     def rerank(left, right):
         import pyarrow as pa
@@ -169,39 +166,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, lea
         schema = pa.schema([("qkey", pa.int64()), ("vkey", pa.int64()), ("score", pa.float64())])
         if not len(x) or not len(y):
             return schema.empty_table()
-        code = lambda t: (np.asarray(t.column("tree")) << 40) + np.asarray(t.column("leaf"))
-        vkey, qkey, lc, qc = np.asarray(left.column("vkey")), np.asarray(right.column("qkey")), code(left), code(right)
-        lo, qo = np.argsort(lc, kind="stable"), np.argsort(qc, kind="stable")
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        best: dict[int, list[np.ndarray]] = {}
-        rows_of: dict[int, int] = {}
-        for c in np.unique(qc):
-            own = lo[np.searchsorted(lc[lo], c) : np.searchsorted(lc[lo], c, "right")]
-            asking = qo[np.searchsorted(qc[qo], c) : np.searchsorted(qc[qo], c, "right")]
-            if not len(own):
-                continue
-            s = y[asking] @ unit[own].T
-            keep = np.argpartition(-s, min(most, len(own)) - 1, axis=1)[:, :most] if len(own) > most else np.tile(np.arange(len(own)), (len(asking), 1))
-            for row, i in enumerate(asking):
-                best.setdefault(int(qkey[i]), []).append(own[keep[row]])
-                rows_of[int(qkey[i])] = i
-        out_q, out_v, out_s = [], [], []
-        for q, parts in best.items():
-            own = np.concatenate(parts)
-            own = own[np.unique(vkey[own], return_index=True)[1]]
-            s = cosine_rows(x[own], y[rows_of[q]])
-            top = np.lexsort((vkey[own], -s))[:most]
-            out_q.append(np.full(len(top), q))
-            out_v.append(vkey[own[top]])
-            out_s.append(s[top])
-        if not out_q:
-            return schema.empty_table()
-        return pa.table([np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)], schema=schema)
-
-    kind = "slab long, tree long, leaf long, {} long, embedding array<double>"
-    left = vectors.select("vkey", "embedding").mapInArrow(tidily(place), kind.format("vkey")).groupBy("slab")
-    right = asked.select("qkey", "embedding").mapInArrow(tidily(ask), kind.format("qkey")).groupBy("slab")
-    pairs = left.cogroup(right).applyInArrow(rerank, "qkey long, vkey long, score double").groupBy("qkey", "vkey").agg(F.max("score").alias("score"))
+        vkey, first, qkey = np.asarray(left.column("vkey")), np.asarray(left.column("first")), np.asarray(right.column("qkey"))
+        slab = Slab(x, trees, leaf_rows, probe_share, least_probes, exact_rows)
+        found = [slab.best(q, k + 1, first) for q in y]
+        columns = [np.repeat(qkey, [len(i) for i, _ in found]), vkey[np.concatenate([i for i, _ in found])], np.concatenate([s for _, s in found])]
+        return pa.table([pa.array(c) for c in columns], schema=schema)
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select("vkey", "embedding", F.element_at("ids", 1).alias("first"), F.pmod(F.xxhash64("embedding"), F.lit(slabs)).cast("int").alias("slab"), every(blocks).alias("block"))
+    right = asked.select("qkey", "embedding", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int").alias("block"), every(slabs).alias("slab"))
+    pairs = left.groupBy("slab", "block").cogroup(right.groupBy("slab", "block")).applyInArrow(rerank, "qkey long, vkey long, score double")
     hits = pairs.join(vectors.select("vkey", F.explode("ids").alias("vec_id")), "vkey").join(asked.select("qkey", F.col("vec_id").alias("query_id")), "qkey").where("vec_id <> query_id")
     nth = F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", nth).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
