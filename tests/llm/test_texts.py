@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from trailforge.llm import graph, lm, minhash, quality, suffixes
+from trailforge.llm import common, graph, lm, minhash, quality, suffixes
 from trailforge.llm.gru import Adam, Model, Shape
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -262,7 +262,7 @@ def test_language_model_counts_and_gain(spark):
     rows += [(900, None), (901, ""), (None, "a1 A1"), (902, "x" * 90 + " a1"), (5, rows[5][1])]
     got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most_words=200, rounds=2).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    tokens = lambda t: [*W.findall(minhash.ascii_lower(t or "")), "\n"]
+    tokens = lambda t: [*W.findall(common.ascii_lower(t or "")), "\n"]
     c = Counter()
     for i, t in rows:
         if not held(i):
@@ -314,3 +314,10 @@ def test_language_model_keeps_its_size():
 
     default = {k: p.default for k, p in inspect.signature(lm.lm_scores).parameters.items()}
     assert default["n_words"] >= 256 and default["n_rare"] >= 88 and min(default["state"], default["embed"]) >= 12
+
+
+def test_words_and_lower_case():
+    for text in ["A b\tc\nÀÉ Z\x1cy \xa0x　q\x0bw\x85e", "ABC abc", "ÄB Ab  c\r\n", "", " \n", None, "\x1f a", "é È K"]:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        assert common.words_of(text) == W.findall(low) and common.ascii_lower(text or "") == low
+    assert [lm.rounds_for(n) for n in (0, 10**6, 1 << 22, 1 << 23, 1 << 40)] == [2, 2, 2, 3, 20]

@@ -14,7 +14,22 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Characters that str.split() cuts at, but which are no white space here.
+_NO_CUT = [c for c in map(chr, range(0x3001)) if c.isspace() and not " " >= c > "\x1f" and not "\t" <= c <= "\r"]
+_NO_CUT_ASCII = [c for c in _NO_CUT if c.isascii()]
+
+
+def ascii_lower(text: str) -> str:
+    """A-Z lower-cased, nothing else."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, A-Z lower-cased."""
+    text = ascii_lower(text or "")
+    if any(c in text for c in (_NO_CUT_ASCII if text.isascii() else _NO_CUT)):
+        return WORD.findall(text)
+    return text.split()
 
 
 

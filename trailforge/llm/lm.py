@@ -9,16 +9,19 @@ class a word has probability (c + 0.5) / (N_r + 0.5 (V_r + 1)) from the counts
 of all training tokens, one share being left for words never met; so the
 model's probabilities sum to one. At its start the network's output is the
 unigram distribution, and every training document then changes it: documents
-are dealt into ``rounds`` by a hash of their identifier, in a round each partition
+are dealt into ``rounds`` by a hash of their identifier and codes, in a round each partition
 trains on its documents from the shared parameters, and the results are
-averaged, weighted by tokens.
+averaged, weighted by tokens. Unless given, the number of rounds grows with the
+corpus, by one for each doubling of the training tokens beyond ROUND_TOKENS: more data come with more
+partitions, and more averages let them learn from each other.
 
 Counts of words outside the known table are found by a join: each document
 sends the words it doesn't find, with their number.
 
-Defined results: a null text is empty (one token, the end); a null identifier
-counts as training; repeated rows are scored and counted each; without any
-training token every count is 0, and the model is uniform.
+Defined results: a null text is empty (one token, the end); texts are scored whole, however long, the state
+going on to their end; a null identifier counts as training; repeated rows are scored and counted each; words of
+equal counts are ranked by themselves; without any training token every count is 0, and the model is uniform; an
+empty table gives no rows; columns beyond doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -32,16 +35,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_batches, store, tables, text_or_empty, tidily
+from .common import bound_batches, store, tables, text_or_empty, tidily, words_of
 from .gru import Adam, Model, Shape
-from .minhash import ascii_lower
 
 END = "\n"  # no word has white space
 LONGEST = 64
+ROUND_TOKENS = 1 << 22
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(ascii_lower(text or ""))
+def rounds_for(tokens: int) -> int:
+    """Rounds of training on so many tokens."""
+    return 2 + max(0, math.ceil(math.log2(max(1, tokens) / ROUND_TOKENS)))
 
 
 def rare_class(word: str, n_rare: int) -> int:
@@ -192,7 +196,7 @@ def train(texts: DataFrame, shared, flat: np.ndarray, rounds: int, rate: float)
     """Parameters after training on every encoded text (row, codes) once."""
     shape = shared.value.shape
     for turn in range(rounds):
-        part = texts.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn).select("codes")
+        part = texts.where(F.pmod(F.xxhash64("doc_id", "codes"), F.lit(rounds)) == turn).select("codes")
 
         def learn(batches, flat=flat):
             import pyarrow as pa
@@ -224,7 +228,7 @@ def train(texts: DataFrame, shared, flat: np.ndarray, rounds: int, rate: float)
     return flat
 
 
-def lm_scores(docs: DataFrame, n_words: int = 256, width: int = 32, n_rare: int = 88, state: int = 12, embed: int = 12, most_words: int = 65_536, rounds: int = 4, rate: float = 0.01) -> DataFrame:
+def lm_scores(docs: DataFrame, n_words: int = 256, width: int = 32, n_rare: int = 88, state: int = 12, embed: int = 12, most_words: int = 65_536, rounds: int | None = None, rate: float = 0.01) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -247,7 +251,7 @@ def lm_scores(docs: DataFrame, n_words: int = 256, width: int = 32, n_rare: int
     coder = Coder(known, shape, rare_total, n, v)
     shared = spark.sparkContext.broadcast(coder)
     texts = encoded(docs, shared)
-    flat = train(texts.where("not held_out"), shared, shape.start(classes / classes.sum(), words), rounds, rate)
+    flat = train(texts.where("not held_out"), shared, shape.start(classes / classes.sum(), words), rounds or rounds_for(n), rate)
     weights = spark.sparkContext.broadcast(flat)
 
     def score(batches):

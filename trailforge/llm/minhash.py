@@ -37,27 +37,21 @@ component; a null identifier is never a component's name unless all of the compo
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import OrderedDict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_texts, bound_batches, mix, pieces, row_hash, seeds, store, tables, tidily, word_hashes
+from .common import arrow_texts, bound_batches, mix, pieces, row_hash, seeds, store, tables, tidily, word_hashes, words_of
 from .graph import components
 
-_UPPER = re.compile("[A-Z]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else _UPPER.sub(lambda m: m[0].lower(), text)
-
-
 def shingle_set(text: str | None, words: int) -> set[tuple[str, ...]]:
     """The exact shingles of a whole text; fewer words than a shingle has are one shingle."""
-    w = WORD.findall(ascii_lower(text or ""))
+    w = words_of(text)
     if len(w) < words:
         return {tuple(w)} if w else set()
     return set(zip(*(w[i:] for i in range(words)), strict=False))
