@@ -79,6 +79,15 @@ def lay_out(lengths: list[int], slots: int = SLOTS) -> list[list[int]]:
     return [out[s] for s in sorted(range(slots), key=lambda s: -total[s])]
 
 
+def _within_range(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
+    """Shift rows of logits (states by weights, and bias), in place, where their exponentials could overflow.
+
+    States are in [-1, 1], so weights and bias bound the logits.
+    """
+    if float(np.max(np.abs(weights).sum(axis=0) + np.abs(bias))) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+
+
 class Model:
     def __init__(self, shape: Shape, flat: np.ndarray):
         self.shape, self.flat = shape, flat
@@ -119,20 +128,20 @@ class Model:
         """Natural log probability of each code y from states out; adds to grads, and returns the states' gradient."""
         p, s = self.p, self.shape
         y_class = np.where(y < s.n_words, y // s.width, y - s.n_words + s.n_frequent)
+        rows, ones = np.arange(len(y)), np.ones(max(s.n_classes, len(y)), np.float32)  # sums by ones: a product is faster than a reduction
         logits = out @ p["wc"]
         logits += p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        rows = np.arange(len(y))
+        _within_range(logits, p["wc"], p["bc"])
         picked = logits[rows, y_class]
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
+        total = logits @ ones[: s.n_classes]
         logp = (picked - np.log(total)).astype(np.float64)
         d = None
         if grads is not None:
-            logits /= total[:, None]
+            logits *= (1 / total)[:, None]
             logits[rows, y_class] -= 1
             grads["wc"] += out.T @ logits
-            grads["bc"] += logits.sum(axis=0)
+            grads["bc"] += ones[: len(y)] @ logits
             d = logits @ p["wc"].T
         frequent = np.flatnonzero(y < s.n_words)
         frequent = frequent[np.argsort(y_class[frequent].astype(np.int16), kind="stable")]
@@ -145,17 +154,17 @@ class Model:
             h = out[own]
             q = h @ p["wo"][words].T
             q += p["bo"][words]
-            q -= q.max(axis=1, keepdims=True)
+            _within_range(q, p["wo"][words].T, p["bo"][words])
             r, w = np.arange(len(own)), y[own] - c * s.width
-            at = q[r, w]
+            picked = q[r, w]
             np.exp(q, out=q)
-            total = q.sum(axis=1)
-            logp[own] += at - np.log(total)
+            total = q @ ones[: q.shape[1]]
+            logp[own] += picked - np.log(total)
             if grads is not None:
-                q /= total[:, None]
+                q *= (1 / total)[:, None]
                 q[r, w] -= 1
                 grads["wo"][words] += q.T @ h
-                grads["bo"][words] += q.sum(axis=0)
+                grads["bo"][words] += ones[: len(own)] @ q
                 d[own] += q @ p["wo"][words]
         return logp, d
 
@@ -185,7 +194,7 @@ class Model:
         grads["wh"] += before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
         da = dh[:, :, None] * by_input
         flat = da.reshape(-1, 3 * n)
-        grads["b"] += flat.sum(axis=0)
+        grads["b"] += np.ones(len(flat), np.float32) @ flat
         e = p["embedding"][x.ravel()]
         grads["wx"] += e.T @ flat
         de = flat @ p["wx"].T

@@ -228,7 +228,7 @@ def train(texts: DataFrame, shared, flat: np.ndarray, rounds: int, rate: float)
     return flat
 
 
-def lm_scores(docs: DataFrame, n_words: int = 256, width: int = 32, n_rare: int = 88, state: int = 12, embed: int = 12, most_words: int = 65_536, rounds: int | None = None, rate: float = 0.01) -> DataFrame:
+def lm_scores(docs: DataFrame, n_words: int = 256, width: int = 32, n_rare: int = 88, state: int = 12, embed: int = 12, most_words: int = 1 << 18, rounds: int | None = None, rate: float = 0.01) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
