@@ -17,13 +17,14 @@ How the rows are found:
    share ``length`` bytes are the repeats. Equal contexts are one with a count.
 4. The contexts of a gram that more than ``shard_contexts`` places share are
    split over several shards. Windows that one such shard has once are
-   looked for in the sorted runs of the other shards by binary search; the runs
+   looked for by binary search in the merged sorted runs of all shards; the runs
    are dealt out by ranges of their digests.
 5. The spans found are united for each text and cut out.
 
-Defined results: a null text is empty; texts shorter than ``length`` keep all;
-repeated rows are copies of each other and lose everything; identifiers are
-only carried along.
+Defined results: a null text is empty; texts shorter than ``length`` keep all; very long texts are read whole, in
+slices that overlap; repeated rows are copies of each other and lose everything; of equal strings none is
+preferred: all go; an empty table gives no rows; identifiers and other columns are only carried along, and
+their names can't clash.
 """
 
 from __future__ import annotations
@@ -275,20 +276,27 @@ def merge_runs(found: DataFrame, length: int) -> DataFrame:
         runs = [np.frombuffer(b, DIGEST) for b in group.column("body").to_pylist()]
         places = [np.frombuffer(b, PLACE) for b in group.column("places").to_pylist()]
         rows: dict[bytes, list] = {}
-        for i, r in enumerate(runs):
-            asked = np.flatnonzero(places[i]["lo"] >= 0)
-            hit = np.zeros(len(asked), bool)
-            for j, other in enumerate(runs):
-                if j != i and len(other):
-                    at = np.minimum(np.searchsorted(other, r[asked]), len(other) - 1)
-                    hit |= other[at] == r[asked]
-            for key, lo in places[i][asked[hit]].tolist():
+        merged = np.sort(np.concatenate(runs))  # a run has a digest once, so one that is there twice is in two shards
+        for r, own in zip(runs, places, strict=True):
+            asked = np.flatnonzero(own["lo"] >= 0)
+            hit = np.searchsorted(merged, r[asked], "right") - np.searchsorted(merged, r[asked]) > 1
+            for key, lo in own[asked[hit]].tolist():
                 rows.setdefault(key, []).append((lo, lo + length))
         return pa.table([pa.array(list(rows), pa.binary()), pa.array([np.array(x, "<i4").tobytes() for x in rows.values()], pa.binary())], schema=schema)
 
     return found.where("kind = 1").select("gram", "part", "body", "places").groupBy("gram", "part").applyInArrow(merge, "key binary, body binary")
 
 
+def _with_counts(places: DataFrame, shared: DataFrame, common: int, most_broadcast: int = 1 << 20) -> DataFrame:
+    """places with the counts of their grams: grams with more than ``common`` places by a broadcast, up to most_broadcast
+    of them (16 MB), so that their places aren't gathered; the others by a join, where none has more rows than that."""
+    hot = shared.where(F.col("n") > common)
+    if not 0 < hot.count() <= most_broadcast:
+        return places.join(shared, "gram")
+    hot = F.broadcast(hot)
+    return places.join(hot, "gram").unionByName(places.join(hot, "gram", "left_anti").join(shared, "gram"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(rows, changed): docs with key and n_bytes, and for each key whose text loses bytes
     (key, n_removed, n_spans, kept_sha256, kept): join them by key, left."""
@@ -309,8 +317,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 409
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)), pa.array(a.astype(np.int32)), pa.array(gram.view(np.int64))], ["key", "anchor", "gram"])
 
     places = store(texts.mapInArrow(tidily(find), "key binary, anchor int, gram long"), "anchors")
-    shared = places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    suspects = places.join(shared, "gram").groupBy("key").agg(F.collect_list(F.struct("anchor", "n")).alias("suspects"))
+    shared = store(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    suspects = _with_counts(places, shared, shard_contexts).groupBy("key").agg(F.collect_list(F.struct("anchor", "n")).alias("suspects"))
 
     def cut(batches):
         import pyarrow as pa
