@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank from 1 in which equal values share their mean rank."""
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2.0
+def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """rows with a rank from 1 in which equal values share their mean rank."""
+    nth = numbered(rows, by, [F.asc(value)], "__nth")
+    means = nth.groupBy(*by, value).agg(F.avg("__nth").alias(name))
+    left, right = nth.drop("__nth").alias("l"), means.alias("r")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, value]]
+    return left.join(right, reduce(Column.__and__, same)).select("l.*", f"r.{name}")
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation of two columns in each group; null where one of them is constant."""
-    r = rows.withColumns({"rx": average_rank(by, x), "ry": average_rank(by, y)})
+    r = average_rank(average_rank(rows, by, x, "rx"), by, y, "ry")
     flat = (F.stddev_pop("rx") == 0) | (F.stddev_pop("ry") == 0)
     sums = r.groupBy(*by).agg(F.count("*").alias("n"), flat.alias("flat"), F.covar_pop("rx", "ry").alias("cov"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
     return sums.select(*by, "n", F.when(~F.col("flat"), F.try_divide("cov", F.col("sx") * F.col("sy"))).alias("rho"))

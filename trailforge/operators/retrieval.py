@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .ordering import spread
 
 
 class Retriever(Protocol):
@@ -20,32 +21,56 @@ def index_text() -> Column:
     return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
 
 
+#: Rows up to which a table is broadcast; beyond that the join shuffles.
+MOST_BROADCAST = 1 << 20
+
+
+def small(rows: DataFrame, n: int) -> DataFrame:
+    """rows, broadcast if there are few enough; n bounds their number."""
+    return F.broadcast(rows) if n <= MOST_BROADCAST else rows
+
+
 class Bm25Index:
     """Okapi BM25 over passages (pos, id, title, text).
 
     postings(pos, term, tf, dl), terms(term, df, idf), stats(n, avgdl). A negative
     idf becomes epsilon times the mean raw idf. Scores are rounded to ``digits``
     before ranking, so the order of a sum doesn't decide; ties go to pos.
+
+    An index that is not stored keeps its vocabulary (a row for each term, from one pass over
+    the passages) until ``close``; a search reads the passages once more, for the terms that are asked.
     """
 
     def __init__(self, passages: DataFrame, k1: float = 0.9, b: float = 0.4, epsilon: float = 0.25, digits: int = 6):
         self.passages, self.k1, self.b, self.epsilon, self.digits = passages, k1, b, epsilon, digits
         self._stored: tuple[DataFrame, DataFrame, DataFrame] | None = None
+        self._vocabulary: DataFrame | None = None
 
     def tokens(self) -> DataFrame:
-        return self.passages.select("pos", tokenize(index_text()).alias("tokens"))
+        return spread(self.passages.select("pos", "title", "text")).select("pos", tokenize(index_text()).alias("tokens"))
+
+    def _counts(self) -> DataFrame:
+        """(term, df, dl): passages with each term; the row of the null term has the number and the length of all passages."""
+        if self._vocabulary is None:
+            rows = self.tokens().select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("term"))
+            self._vocabulary = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).persist()
+        return self._vocabulary
+
+    def close(self) -> None:
+        if self._vocabulary is not None:
+            self._vocabulary.unpersist()
+            self._vocabulary = None
 
     def stats(self) -> DataFrame:
         if self._stored:
             return self._stored[2]
-        return self.tokens().agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+        return self._counts().where("term is null").agg(F.coalesce(F.first("df"), F.lit(0)).alias("n"), F.try_divide(F.first("dl"), F.first("df")).alias("avgdl"))
 
     def terms(self) -> DataFrame:
         if self._stored:
             return self._stored[1]
-        df = self.tokens().select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        n = F.col("n")
-        raw = df.crossJoin(F.broadcast(self.tokens().agg(F.count("*").alias("n")))).withColumn("raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+        df, n = self._counts().where("term is not null").select("term", "df"), F.col("n")
+        raw = df.crossJoin(F.broadcast(self.stats().select("n"))).withColumn("raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw").alias("mean"))
         return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, self.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -74,10 +99,12 @@ class Bm25Index:
     def scores(self, queries: DataFrame) -> DataFrame:
         """(qid, pos, score) of every passage that shares a term with a query; repeated terms count again."""
         asked = queries.select("qid", F.explode(tokenize("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-        found = self.postings(asked.select("term").distinct()).join(self.terms().select("term", "idf"), "term").crossJoin(F.broadcast(self.stats().select("avgdl")))
+        only = asked.select("term").distinct()
+        n = asked.count()  # of the queries' terms: a bound for what is broadcast
+        found = self.postings(small(only, n)).join(small(self.terms().select("term", "idf").join(small(only, n), "term", "left_semi"), n), "term").crossJoin(F.broadcast(self.stats().select("avgdl")))
         part = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
         weighted = found.select("pos", "term", part.alias("part"))
-        return asked.join(weighted, "term").groupBy("qid", "pos").agg(F.round(F.sum(F.col("qtf") * F.col("part")), self.digits).alias("score"))
+        return weighted.join(small(asked, n), "term").groupBy("qid", "pos").agg(F.round(F.sum(F.col("qtf") * F.col("part")), self.digits).alias("score"))
 
     def _may_need_padding(self, queries: DataFrame, top_k: int) -> DataFrame:
         """(qid) of queries without a term in top_k passages, or with a negative weight; the others have top_k
@@ -86,32 +113,62 @@ class Bm25Index:
         found = asked.join(self.terms(), "term", "left").groupBy("qid").agg(F.max("df").alias("df"), F.min("idf").alias("idf"))
         return found.where(~F.coalesce((F.col("df") >= top_k) & (F.col("idf") > 0), F.lit(False))).select("qid")
 
+    def _unmatched(self, short: DataFrame, scores: DataFrame, top_k: int) -> DataFrame:
+        """(qid, pos) of the first top_k passages, by position, without a match for each short query.
+
+        Only the head of the passages is read for it, a longer one while some query lacks passages.
+        """
+        n, head = self.stats().first()["n"], max(1024, 8 * top_k)
+        queries, matched = short.count(), scores.join(small(short, short.count()), "qid", "left_semi").select("qid", "pos")
+        while True:
+            first = self.passages.select("pos").orderBy("pos").limit(head)
+            free = first.crossJoin(small(short, queries)).join(matched, ["qid", "pos"], "left_anti")
+            if head >= n or free.groupBy("qid").count().where(F.col("count") >= top_k).count() == queries:
+                return free
+            head *= 8
+
     def top(self, queries: DataFrame, top_k: int = 5, pad: bool = True) -> DataFrame:
         """(qid, pos, score, rank). With pad, passages without a match (score 0) compete too, by position."""
         scores = self.scores(queries)
         if pad:
             short = self._may_need_padding(queries, top_k)
-            matched = self.scores(queries.join(short, "qid", "left_semi")).select("qid", "pos")
-            free = short.crossJoin(self.passages.select("pos")).join(matched, ["qid", "pos"], "left_anti")
-            scores = scores.unionByName(free.withColumn("score", F.lit(0.0)))
+            if not short.isEmpty():
+                scores = scores.unionByName(self._unmatched(short, scores, top_k).withColumn("score", F.lit(0.0)))
         nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pos"))
         return scores.withColumn("rank", nth).where(F.col("rank") <= top_k)
 
     def search(self, queries: DataFrame, top_k: int = 5, pad: bool = True) -> DataFrame:
-        hits = self.top(queries, top_k, pad).join(self.passages, "pos")
+        """Hits with their passages; where they are few they go to the passages, whose texts are not shuffled."""
+        hits = self.passages.join(small(self.top(queries, top_k, pad), queries.count() * top_k), "pos")
         return hits.select("qid", "rank", F.coalesce("id", F.col("pos").cast("string")).alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), "score")
 
 
 class DenseIndex:
     """Exact top-k by inner product or cosine over one vector for each passage.
 
-    A single-vector stand-in for token-level late interaction; titles are empty.
+    A single-vector stand-in for token-level late interaction. vectors: doc_id, embedding;
+    passages, if given: doc_id, title, text, which hits then carry (else they are empty).
     """
 
-    def __init__(self, vectors: DataFrame, cosine: bool = True, digits: int = 5):
-        self.vectors, self.cosine, self.digits = vectors, cosine, digits
+    def __init__(self, vectors: DataFrame, cosine: bool = True, digits: int = 5, passages: DataFrame | None = None):
+        self.vectors, self.cosine, self.digits, self.passages = vectors, cosine, digits, passages
+
+    def save(self, path: str) -> None:
+        """Write the index: vectors, the passages if there are any, and the settings."""
+        self.vectors.write.parquet(f"{path}/vectors")
+        if self.passages is not None:
+            self.passages.write.parquet(f"{path}/passages")
+        settings = self.vectors.sparkSession.createDataFrame([(self.cosine, self.digits, self.passages is not None)], "cosine boolean, digits int, with_passages boolean")
+        settings.coalesce(1).write.parquet(f"{path}/settings")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> DenseIndex:
+        how = spark.read.parquet(f"{path}/settings").first()
+        return cls(spark.read.parquet(f"{path}/vectors"), how.cosine, how.digits, spark.read.parquet(f"{path}/passages") if how.with_passages else None)
 
     def search(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
+        """(qid, rank, doc_id, title, text, score). Queries are a given set that meets all vectors: broadcast where
+        they are few; else both sides are dealt into blocks that meet one by one."""
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda n, x: n + x)
         norm = lambda a: F.sqrt(dot(a, a))
         left, right = queries.select("qid", F.col("embedding").alias("q")), self.vectors.select("doc_id", F.col("embedding").alias("d"))
@@ -120,10 +177,20 @@ class DenseIndex:
             score = dot(F.col("q"), F.col("d")) / (F.col("nq") * F.col("nd"))
         else:
             score = dot(F.col("q"), F.col("d"))
-        # a given query set against all rows; the smaller side is broadcast by its measured size
-        pairs = right.crossJoin(left).select("qid", "doc_id", F.round(score, self.digits).alias("score"))
-        nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
-        return pairs.withColumn("rank", nth).where(F.col("rank") <= top_k).select("qid", "rank", "doc_id", F.lit("").alias("title"), "score")
+        asked = left.count()
+        if asked <= MOST_BROADCAST // 16:
+            pairs = right.crossJoin(F.broadcast(left))
+        else:
+            blocks = -(-asked // (MOST_BROADCAST // 16))
+            every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+            pairs = right.withColumn("block", every).join(left.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "block")
+        pairs = pairs.select("qid", "doc_id", F.round(score, self.digits).alias("score"))
+        nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))  # limited in each partition first
+        hits = pairs.withColumn("rank", nth).where(F.col("rank") <= top_k)
+        if self.passages is None:
+            return hits.select("qid", "rank", "doc_id", F.lit("").alias("title"), F.lit("").alias("text"), "score")
+        found = self.passages.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+        return found.join(small(hits, asked * top_k), "doc_id").select("qid", "rank", "doc_id", "title", "text", "score")
 
 
 def create_search_engine(kind: str, **how) -> Retriever:

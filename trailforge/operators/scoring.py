@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import token_type
 from ..functions.text import WS, tokenize
+from .ordering import numbered, spread
 
 # Fixed values of the score.
 R_MAX = 100
@@ -31,19 +32,12 @@ def text_tokens(texts: DataFrame, max_len: int | None = None) -> DataFrame:
 
 
 def unigram_vocabulary(training: DataFrame, by: str = "student") -> DataFrame:
-    """(student, token, c, rank, p, oov_rank, oov_p): p = (c + 1) / (T + V + 1); rank from 0 by count, ties by token.
-
-    The rank is the number of tokens with larger counts (from a histogram of counts) plus the place among equals.
-    """
-    counts = training.select(by, F.explode(tokenize("text")).alias("token")).groupBy(by, "token").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy(by, "c").agg(F.count("*").alias("n"))
-    higher = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    above = sizes.select(by, "c", higher.alias("above"))
-    totals = sizes.groupBy(by).agg(F.sum(F.col("c") * F.col("n")).alias("t"), F.sum("n").alias("v"))
-    among = F.row_number().over(Window.partitionBy(by, "c").orderBy("token")) - 1
-    rows = counts.withColumn("among", among).join(above, [by, "c"]).join(totals, by)
+    """(student, token, c, rank, p, oov_rank, oov_p): p = (c + 1) / (T + V + 1); rank from 0 by count, ties by token."""
+    counts = spread(training.select(by, "text")).select(by, F.explode(tokenize("text")).alias("token")).groupBy(by, "token").agg(F.count("*").alias("c"))
+    rows = numbered(counts, [by], [F.desc("c"), F.asc("token")], "nth")
+    totals = rows.groupBy(by).agg(F.sum("c").alias("t"), F.count("*").alias("v"))
     whole = F.col("t") + F.col("v") + 1
-    return rows.select(by, "token", "c", (F.col("above") + F.col("among")).alias("rank"), ((F.col("c") + 1) / whole).alias("p"), F.col("v").alias("oov_rank"), (1 / whole).alias("oov_p"))
+    return rows.join(totals, by).select(by, "token", "c", (F.col("nth") - 1).alias("rank"), ((F.col("c") + 1) / whole).alias("p"), F.col("v").alias("oov_rank"), (1 / whole).alias("oov_p"))
 
 
 def ngram_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -97,7 +91,7 @@ def sd_rsr(scores: DataFrame, alpha: float = 0.5) -> DataFrame:
 def alpha_sweep(scores: DataFrame, alphas: tuple[float, ...] = ALPHAS, digits: int = 6) -> DataFrame:
     """Every text at every alpha with its rank there (ties by id); the sums are not taken again."""
     rows = scores.withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in alphas)))).withColumn("sd_rsr_score", F.round(composite(F.col("alpha")), digits))
-    return rows.withColumn("rnk", F.row_number().over(Window.partitionBy("student", "alpha").orderBy("sd_rsr_score", "traj_id")))
+    return numbered(rows, ["student", "alpha"], [F.asc("sd_rsr_score"), F.asc("traj_id")], "rnk")
 
 
 def ranked(scores: DataFrame, by: str, lower_is_better: bool = True) -> DataFrame:

@@ -48,11 +48,13 @@ def topocurate_selection(rows: DataFrame, k: int, diversity_weight: float = 0.3)
     scored = structural_score(rows)
     if diversity_weight == 0:
         return scored.orderBy(F.desc("score"), "pos").limit(k).withColumn("key", F.col("score"))
-    first = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("score"), "pos")) == 1
+    firsts = scored.groupBy("dataset").agg(F.max_by("pos", F.struct(F.col("score"), -F.col("pos"))).alias("__first"))
+    scored = scored.alias("l").join(firsts.alias("r"), F.col("l.dataset").eqNullSafe(F.col("r.dataset"))).select("l.*", "r.__first")
+    first = F.col("pos") == F.col("__first")
     bonus = (1 - diversity_weight) * F.col("score") + diversity_weight * first.cast("int")
     more = scored.limit(k + 1).agg((F.count("*") > k).alias("more"))
     keyed = scored.withColumn("bonus", F.round(bonus, 6)).crossJoin(F.broadcast(more)).withColumn("key", F.when(F.col("more"), F.col("bonus")).otherwise(F.col("score")))
-    return keyed.orderBy(F.desc("key"), F.desc("score"), "pos").limit(k).drop("bonus", "more")
+    return keyed.orderBy(F.desc("key"), F.desc("score"), "pos").limit(k).drop("bonus", "more", "__first")
 
 
 METHODS = {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tsv_safe
 from ..operators import corpus
+from ..operators.ordering import numbered
 from . import schemas
 
 REGISTRY = {
@@ -28,9 +29,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None =
     return rows.orderBy("pos").limit(limit) if limit else rows
 
 
-def with_pos(rows: DataFrame) -> DataFrame:
-    """An increasing position: file by file, line by line within a read."""
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+def with_pos(rows: DataFrame, file_pattern: str | None = None) -> DataFrame:
+    """An increasing position, from 0: by file name, and in a file by place. rows are a read of files, or a table without any.
+
+    With a pattern, a column file has what its first group finds in a row's file name.
+
+    A file's rows come in the order of the partitions that read it, so counts by partition and file give each its place.
+    """
+    if not rows.inputFiles():
+        rows = rows.withColumn("pos", F.monotonically_increasing_id())
+        return rows if file_pattern is None else rows.withColumn("file", F.lit(None).cast("string"))
+    meta = rows.metadataColumn("_metadata")
+    read = rows.select("*", meta["file_path"].alias("__file"), meta["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    blocks = read.groupBy("__file", "__block").agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__block")) - F.col("__n")  # a row for each block of a file
+    blocks = blocks.select("__file", "__block", (before - F.col("__low")).alias("__shift"))
+    placed = read.join(blocks, ["__file", "__block"]).withColumn("pos", F.col("__at") + F.col("__shift"))
+    placed = placed if file_pattern is None else placed.withColumn("file", F.regexp_extract("__file", file_pattern, 1))
+    return placed.drop("__file", "__block", "__at", "__shift")
 
 
 def load_questions(spark: SparkSession, path: str, max_questions: int | None = None) -> DataFrame:
@@ -55,7 +71,7 @@ def read_glob(spark: SparkSession, folder: str, schema: str, pattern: str = "*_t
     if not exists(spark, f"{folder}/{pattern}"):
         raise FileNotFoundError(f"{folder}/{pattern}")
     rows = spark.read.schema(schema).option("pathGlobFilter", pattern).json(folder)
-    return with_pos(rows).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1))
+    return with_pos(rows, r"([^/]+)\.jsonl$")
 
 
 def convert_dataset(spark: SparkSession, name: str, paths: dict[str, str], max_samples: int | None = None) -> DataFrame:
@@ -94,8 +110,8 @@ def write_jsonl(rows: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def collection_rows(passages: DataFrame) -> DataFrame:
     """(i, text) of a dense engine's collection: i numbers passages from 0 by pos."""
-    nth = F.row_number().over(Window.orderBy("pos")) - 1
-    return passages.select(nth.alias("i"), tsv_safe(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("text"))
+    places = numbered(passages.select("pos"), [], [F.asc("pos")], "i").withColumn("i", F.col("i") - 1)
+    return passages.join(places, "pos").select("i", tsv_safe(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("text"))
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
