@@ -69,3 +69,19 @@ def shift_boundaries(spans: DataFrame, tokens: DataFrame, by: int) -> DataFrame:
     moved = ends.join(edge("first", "start"), ["traj_id", "first"]).join(edge("last", "end"), ["traj_id", "last"])
     made = moved.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct(F.col("at_first").cast("int").alias("s"), F.col("at_last").cast("int").alias("e"), F.lit("search_decision").alias("label")))).alias("spans"))
     return spans.select("traj_id").join(made, "traj_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:int,e:int,label:string>>")))
+
+
+def rank_stability(before: DataFrame, after: DataFrame, score: str, digits: int = 6) -> DataFrame:
+    """(student, n, rho): Spearman's correlation of a score's rankings before and after a change (finite scores in both)."""
+    side = lambda rows, n: rows.select("traj_id", "student", F.round(score, digits).alias(n)).where(F.col(n) < float("inf"))
+    return spearman(side(before, "x").join(side(after, "y"), ["traj_id", "student"]), ["student"], "x", "y")
+
+
+def subset_correlation(scores: DataFrame, evaluated: DataFrame, k: int, score: str, metric: str = "em", seed: int = 42, digits: int = 6) -> DataFrame:
+    """(student, n, rho): Spearman's correlation, over k subsets of the texts, of a subset's mean score and its mean metric.
+
+    scores: traj_id, student, the score; evaluated: traj_id, student, the metric reached by training on the subset's texts.
+    """
+    rows = subsets(scores.where(F.col(score) < float("inf")).join(evaluated, ["traj_id", "student"]), k, seed, "traj_id")
+    means = rows.groupBy("student", "subset").agg(F.round(F.avg(score), digits).alias("x"), F.round(F.avg(metric), digits).alias("y"))
+    return spearman(means, ["student"], "x", "y")

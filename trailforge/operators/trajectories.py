@@ -81,7 +81,7 @@ def valid() -> Column:
 
 
 def generation_summary(rows: DataFrame) -> DataFrame:
-    """Counts for each dataset: total, valid, has_answer, incomplete (the flag), not_valid, searches and retries."""
+    """Counts for each dataset: total, valid, has_answer, incomplete (the flag), not_valid."""
     return rows.groupBy("dataset").agg(
         F.count("*").alias("total"),
         F.count_if(valid()).alias("valid"),
@@ -91,6 +91,22 @@ def generation_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def retry_counters(picked: DataFrame, by: list[str]) -> DataFrame:
+    """total_retries and no_search_after_retries of picked attempts (see pick_attempts)."""
+    return picked.groupBy(*by).agg(F.coalesce(F.sum("retry_count"), F.lit(0)).alias("total_retries"), F.count_if("no_search_after_retries").alias("no_search_after_retries"))
+
+
+def generation_report(summary: DataFrame, availability: DataFrame, outputs: dict[str, str], elapsed_s: dict[str, float] | None = None) -> DataFrame:
+    """A row for each expected dataset: status (done or skipped), reason, the counts of a done one, elapsed_s and output."""
+    known = [(n, o, None if elapsed_s is None else round(elapsed_s[n], 1) if n in elapsed_s else None) for n, o in outputs.items()]
+    places = summary.sparkSession.createDataFrame(known, "dataset string, output string, elapsed_s double")
+    rows = availability.join(summary.drop("not_valid"), "dataset", "left").join(F.broadcast(places), "dataset", "left")
+    done = F.col("status") == "ok"
+    only = lambda c: F.when(done, F.col(c)).alias(c)
+    counts = [F.when(done, F.coalesce(c, F.lit(0))).alias(c) for c in ("total", "valid", "has_answer", "incomplete")]
+    return rows.select("dataset", F.when(done, "done").otherwise("skipped").alias("status"), F.when(~done, F.lit("file not found")).alias("reason"), *counts, only("elapsed_s"), only("output"))
+
+
 def gate(summary: DataFrame, least: int = 500) -> DataFrame:
     """One row: the valid transcripts of all datasets, and whether they are enough."""
     return summary.agg(F.coalesce(F.sum("valid"), F.lit(0)).alias("total_valid")).withColumn("gate_passed", F.col("total_valid") >= least)

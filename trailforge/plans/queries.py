@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as sp
 from ..functions import text as tx
 from ..operators import corpus, diagnostics, evaluation, retrieval, scoring, selection, trajectories
+from ..session import new_folder
 from ..sources import jsonl
 from . import prompts
 
@@ -316,7 +317,7 @@ def assemble_steps(spark, sf):
 
 
 def inject_results(spark, sf):
-    """Results for the queries of transcripts, from a corpus of their own last turns."""
+    """Results for the queries of transcripts, from a stand-in retriever (documents that begin with the query's first word)."""
     rows = _traj(spark, sf)
     bodies = rows.select("id", F.regexp_replace("text", r"(?s)\n<results>.*?</results>", "").alias("text"))
     done = trajectories.inject_search_results(bodies, _ByFirstWord(_passages(spark, sf)), 3)
@@ -384,6 +385,116 @@ def boundary_shift(spark, sf):
     return moved.select("traj_id", F.explode("spans").alias("x")).select("traj_id", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"))
 
 
+def boundary_rescore(spark, sf):
+    """How stable the ranking by the composite score is when span boundaries move outwards by five tokens."""
+    tokens = scoring.ngram_tokens(_tokens(spark, sf), _vocabulary(spark, sf))
+    moved = diagnostics.shift_boundaries(_spans(spark, sf), _tokens(spark, sf), 5)
+    before, after = (scoring.sd_rsr(scoring.rsr(scoring.typed(tokens, s))) for s in (_spans(spark, sf), moved))
+    return diagnostics.rank_stability(before, after, "sd_rsr_score").withColumn("rho", _r6("rho"))
+
+
+def subset_correlation(spark, sf):
+    em = _evaluated(spark, sf).select(F.col("id").alias("traj_id"), "f1")
+    students = spark.createDataFrame([("even",), ("odd",)], "student string")
+    out = diagnostics.subset_correlation(_scores(spark, sf), em.crossJoin(F.broadcast(students)), 5, "rsr_full", "f1")
+    return out.withColumn("rho", _r6("rho"))
+
+
+# -- sources, sinks and what else a run needs ---------------------------------------------
+
+
+def _question_files(spark, sf):
+    """benchmark as JSON Lines files of questions, in the order of item_id."""
+    path = new_folder(spark, "questions")
+    rows = _t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 2 == 0, F.lit("yes")).alias("answer"), "item_id")
+    jsonl.write_jsonl(rows.repartitionByRange(3, "item_id").sortWithinPartitions("item_id").drop("item_id"), path)
+    return path
+
+
+def jsonl_questions(spark, sf):
+    return jsonl.load_questions(spark, _question_files(spark, sf)).select("pos", "id", F.md5("question").alias("question_md5"), "answer")
+
+
+def jsonl_limit(spark, sf):
+    return jsonl.load_questions(spark, _question_files(spark, sf), 25).select("pos", "id")
+
+
+def jsonl_best_effort(spark, sf):
+    """A file that isn't there gives no rows; one that is gives its own."""
+    there = jsonl.read_if_there(spark, _question_files(spark, sf), "id string").select("id")
+    return there.unionByName(jsonl.read_if_there(spark, new_folder(spark, "missing"), "id string").select("id"))
+
+
+def jsonl_partitioned(spark, sf):
+    """Transcripts written as JSON Lines by dataset and read back."""
+    path = new_folder(spark, "transcripts")
+    jsonl.write_jsonl(_traj(spark, sf).select("id", "dataset", "text", "queries"), path, ["dataset"])
+    back = spark.read.schema("id string, text string, queries array<string>, dataset string").json(path)
+    return back.select("id", "dataset", F.md5("text").alias("text_md5"), F.size("queries").cast("long").alias("n_queries"))
+
+
+def bm25_loaded(spark, sf):
+    """The hits of an index that was written and opened again."""
+    path = new_folder(spark, "bm25")
+    index = retrieval.Bm25Index(_passages(spark, sf))
+    index.save(path)
+    index.close()
+    hits = retrieval.Bm25Index.load(spark, path).search(_asked(spark, sf), 5)
+    return hits.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+def dense_loaded(spark, sf):
+    """The hits of a dense index that was written and opened again, with their titles and texts where there are some."""
+    path, vectors = new_folder(spark, "dense"), _t(spark, sf, "embeddings").where("embedding is not null")
+    docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    texts = vectors.select(F.col("vec_id").alias("doc_id")).join(docs, "doc_id", "left")
+    retrieval.DenseIndex(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), passages=texts).save(path)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    hits = retrieval.DenseIndex.open(spark, path).search(queries, 5)
+    return hits.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "title", F.md5("text").alias("text_md5"), "score")
+
+
+def gen_counters(spark, sf):
+    t = _t(spark, sf, "conversations")
+    attempts = t.select(F.col("conv_id").alias("question_id"), F.lit(0).alias("trajectory_idx"), F.col("turn").alias("attempt"), F.when((F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0), 1).otherwise(0).alias("num_search_steps"))
+    picked = trajectories.pick_attempts(attempts).withColumn("dataset", F.concat(F.lit("ds"), F.col("question_id") % 3))
+    return trajectories.retry_counters(picked, ["dataset"])
+
+
+def gen_report(spark, sf):
+    """The counts of datasets that are there, and a reason for one that isn't."""
+    here = f"{sf}/conversations.parquet"
+    there = jsonl.availability(spark, {"ds0": here, "ds1": here, "ds2": here, "ds9": f"{sf}/none.jsonl"})
+    outputs = {f"ds{i}": f"ds{i}_trajectories.jsonl" for i in (0, 1, 2, 9)}
+    return trajectories.generation_report(trajectories.generation_summary(_traj(spark, sf)), there, outputs, {f"ds{i}": 1.5 * i for i in range(3)})
+
+
+def logit_students(spark, sf):
+    """Rank and surprisal of a target from logits: an embedding's components stand for a vocabulary's logits."""
+    rows = _t(spark, sf, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("logits"), (F.col("vec_id") % F.size("embedding")).cast("int").alias("target"))
+    return scoring.logit_tokens(rows).select("vec_id", "rank", _r6("surprisal").alias("surprisal"))
+
+
+def token_cut(spark, sf):
+    """Tokens of documents cut at the longest input of a student."""
+    rows = scoring.text_tokens(_t(spark, sf, "documents").select(F.col("doc_id").alias("traj_id"), "text"), 4096)
+    return rows.groupBy("traj_id").agg(F.count("*").alias("n"), F.max("end").cast("long").alias("last_end"))
+
+
+def all_texts(spark, sf):
+    """Tables of texts put together, each row with where it comes from."""
+    parts = [_t(spark, sf, t).select(F.col(k).cast("string").alias("id"), F.md5("text").alias("text_md5"), F.lit(t).alias("table")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id"), ("conversations", "conv_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def inject_bm25(spark, sf):
+    """Results for the queries of transcripts, by BM25 over documents."""
+    rows = _traj(spark, sf)
+    bodies = rows.select("id", F.regexp_replace("text", r"(?s)\n<results>.*?</results>", "").alias("text"))
+    done = trajectories.inject_search_results(bodies, retrieval.Bm25Index(_passages(spark, sf)), 5)
+    return done.select("id", F.size("search_records").cast("long").alias("n_records"), F.md5(F.array_join(F.flatten(F.transform("search_records", lambda r: r["doc_ids"])), ",")).alias("docs_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -391,5 +502,6 @@ QUERIES = {
         traj_spans_extended, span_char_share, token_types, vocab_rank, token_table, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
         select_correct, select_mmr, select_by_method, corpus_passages, corpus_filtered, qa_unified, split_counts, distinct_titles, tsv_collection, transcripts, gen_summary, gate,
         retry_pick, fan_out, assemble_steps, inject_results, search_prompt, sft_format, grid, spearman, seed_mean_std, student_divergence, best_alpha, k_subsets, boundary_shift,
+        boundary_rescore, subset_correlation, jsonl_questions, jsonl_limit, jsonl_best_effort, jsonl_partitioned, bm25_loaded, dense_loaded, gen_counters, gen_report, logit_students, token_cut, all_texts, inject_bm25,
     )
 }

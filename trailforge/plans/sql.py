@@ -149,6 +149,13 @@ SUMMARY = f"""{TRAJ}, summary AS (SELECT dataset, count(*) AS total, count(*) FI
 
 PREFIX = "Answer the following question by searching for information step by step.\n\nQuestion: "
 
+MOVED = """inside AS (SELECT p.id, p.s, p.e, min(k.pos) AS lo, max(k.pos) AS hi FROM spans p JOIN tokens k ON k.traj_id = p.id AND k."start" < p.e AND k."end" > p.s GROUP BY ALL),
+most AS (SELECT traj_id, max(pos) AS most FROM tokens GROUP BY traj_id),
+moved AS (SELECT i.id, a."start" AS s, b."end" AS e FROM inside i JOIN most m ON m.traj_id = i.id JOIN tokens a ON a.traj_id = i.id AND a.pos = greatest(i.lo - 5, 0) JOIN tokens b ON b.traj_id = i.id AND b.pos = least(i.hi + 5, m.most))"""
+
+SPEARMAN = """r AS (SELECT student, rank() OVER (PARTITION BY student ORDER BY x) + (count(*) OVER (PARTITION BY student, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY student ORDER BY y) + (count(*) OVER (PARTITION BY student, y) - 1) / 2.0::DOUBLE AS ry FROM f)
+SELECT student, count(*) AS n, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) END AS rho FROM r GROUP BY student"""
+
 SQL = {
     "bm25_topk": f"WITH {BM25} SELECT qid, rank, pos::VARCHAR AS doc_id, title, md5(text) AS text_md5, score FROM hits JOIN passages USING (pos) WHERE rank <= 5",
     "bm25_corpus_stats": f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
@@ -224,4 +231,39 @@ SELECT student, n, rho, coalesce(rho >= 0.8, false) AS holds FROM c""",
     "boundary_shift": f"""WITH {TOKENS}, inside AS (SELECT p.id, p.s, p.e, min(k.pos) AS lo, max(k.pos) AS hi FROM spans p JOIN tokens k ON k.traj_id = p.id AND k."start" < p.e AND k."end" > p.s GROUP BY ALL),
 most AS (SELECT traj_id, max(pos) AS most FROM tokens GROUP BY traj_id)
 SELECT i.id AS traj_id, a."start"::BIGINT AS s, b."end"::BIGINT AS e FROM inside i JOIN most m ON m.traj_id = i.id JOIN tokens a ON a.traj_id = i.id AND a.pos = greatest(i.lo - 5, 0) JOIN tokens b ON b.traj_id = i.id AND b.pos = least(i.hi + 5, m.most)""",
+    "boundary_rescore": f"""WITH {SCORES}, {MOVED}, typed2 AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM moved p WHERE p.id = k.traj_id AND k."start" >= p.s AND k."end" <= p.e) THEN 'search_decision' ELSE 'reasoning' END AS type FROM tokens k),
+scored2 AS (SELECT s.traj_id, s.student, s.rank, s.surprisal, t.type FROM scored s JOIN typed2 t USING (traj_id, pos)),
+scores2 AS (SELECT traj_id, student, {_ratio("type = 'reasoning'")} AS rsr_reasoning, {_ratio("type = 'search_decision'")} AS rsr_search_decision FROM scored2 GROUP BY traj_id, student),
+b AS (SELECT traj_id, student, round({composite('0.5::DOUBLE')}, 6) AS x FROM scores), a AS (SELECT traj_id, student, round({composite('0.5::DOUBLE')}, 6) AS y FROM scores2),
+f AS (SELECT student, x, y FROM b JOIN a USING (traj_id, student) WHERE NOT isinf(x) AND NOT isinf(y)), {SPEARMAN}""",
+    "subset_correlation": f"""WITH {SCORES}, {EVALUATED[len(TRAJ) + 2:]}, f AS (SELECT s.student, round(avg(s.rsr_full), 6) AS x, round(avg(e.f1), 6) AS y FROM scores s JOIN evaluated e ON e.id = s.traj_id WHERE NOT isinf(s.rsr_full)
+GROUP BY s.student, ('0x' || substring(md5('42:' || s.traj_id), 1, 7))::BIGINT % 5), {SPEARMAN}""",
+    "jsonl_questions": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id::VARCHAR AS id, md5(text) AS question_md5, CASE WHEN item_id % 2 = 0 THEN 'yes' ELSE '' END AS answer FROM benchmark",
+    "jsonl_limit": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id::VARCHAR AS id FROM benchmark ORDER BY item_id LIMIT 25",
+    "jsonl_best_effort": "SELECT item_id::VARCHAR AS id FROM benchmark",
+    "jsonl_partitioned": f"WITH {TRAJ} SELECT id, dataset, md5(text) AS text_md5, len(queries) AS n_queries FROM traj",
+    "bm25_loaded": f"WITH {BM25} SELECT qid, rank, pos::VARCHAR AS doc_id, score FROM hits WHERE rank <= 5",
+    "dense_loaded": """WITH pairs AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))), 5) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM pairs) SELECT r.qid, r.rank, r.doc_id, coalesce(d.source, '') AS title, md5(coalesce(d.text, '')) AS text_md5, r.score FROM ranked r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 5""",
+    "gen_counters": """WITH a AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, CASE WHEN n > 0 THEN turn ELSE -turn END) AS nth FROM a)
+SELECT 'ds' || (conv_id % 3) AS dataset, sum(turn)::BIGINT AS total_retries, count(*) FILTER (WHERE n = 0) AS no_search_after_retries FROM r WHERE nth = 1 GROUP BY conv_id % 3""",
+    "gen_report": f"""WITH {SUMMARY} SELECT e.dataset, CASE WHEN e.dataset = 'ds9' THEN 'skipped' ELSE 'done' END AS status, CASE WHEN e.dataset = 'ds9' THEN 'file not found' END AS reason,
+CASE WHEN e.dataset <> 'ds9' THEN coalesce(total, 0) END AS total, CASE WHEN e.dataset <> 'ds9' THEN coalesce(valid, 0) END AS valid, CASE WHEN e.dataset <> 'ds9' THEN coalesce(has_answer, 0) END AS has_answer, CASE WHEN e.dataset <> 'ds9' THEN coalesce(incomplete, 0) END AS incomplete,
+CASE e.dataset WHEN 'ds0' THEN 0.0 WHEN 'ds1' THEN 1.5 WHEN 'ds2' THEN 3.0 END::DOUBLE AS elapsed_s, CASE WHEN e.dataset <> 'ds9' THEN e.dataset || '_trajectories.jsonl' END AS output
+FROM (SELECT unnest(['ds0', 'ds1', 'ds2', 'ds9']) AS dataset) e LEFT JOIN summary s ON s.dataset = e.dataset""",
+    "logit_students": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, (embedding::DOUBLE[])[(vec_id % len(embedding)) + 1] AS t FROM embeddings WHERE embedding IS NOT NULL)
+SELECT vec_id, len(list_filter(x, lambda v: v > t)) AS rank, round(ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - t, 6) AS surprisal FROM e""",
+    "token_cut": f"""WITH t AS (SELECT doc_id AS id, text FROM documents), runs AS {spans_of(WS.replace('[', '[^', 1) + '+', 't')}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) AS pos FROM runs)
+SELECT id AS traj_id, count(*) AS n, max(e)::BIGINT AS last_end FROM n WHERE pos <= 4096 GROUP BY id""",
+    "all_texts": """SELECT doc_id::VARCHAR AS id, md5(text) AS text_md5, 'documents' AS "table" FROM documents UNION ALL SELECT item_id::VARCHAR, md5(text), 'benchmark' FROM benchmark UNION ALL SELECT conv_id::VARCHAR, md5(text), 'conversations' FROM conversations""",
+    "inject_bm25": f"""WITH {TRAJ}, bodies AS (SELECT id, regexp_replace(text, '(?s)
+<results>.*?</results>', '', 'g') AS text FROM traj),
+wants AS (SELECT id, unnest(range(0, len(q))) AS i, unnest(q) AS query FROM (SELECT id, list_transform(regexp_extract_all(text, '(?s)<search>(.*?)</search>', 1), lambda x: {strip('x')}) AS q FROM bodies)),
+{BM25.replace("SELECT item_id AS qid, unnest(" + tok('text') + ") AS term FROM benchmark", "SELECT id || '#' || i AS qid, unnest(" + tok('query') + ") AS term FROM wants").split("hits AS (")[0]}
+zero AS (SELECT w.id || '#' || w.i AS qid, p.pos, 0.0::DOUBLE AS score FROM wants w, (SELECT pos FROM passages ORDER BY pos LIMIT 5000) p WHERE NOT EXISTS (SELECT 1 FROM summed s WHERE s.qid = w.id || '#' || w.i AND s.pos = p.pos)),
+near AS (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS rank FROM (SELECT * FROM summed UNION ALL SELECT * FROM zero)),
+docs AS (SELECT w.id, w.i, coalesce(list(n.pos::VARCHAR ORDER BY n.rank) FILTER (WHERE n.pos IS NOT NULL), []) AS d FROM wants w LEFT JOIN near n ON n.qid = w.id || '#' || w.i AND n.rank <= 5 GROUP BY w.id, w.i),
+done AS (SELECT id, count(*) AS n, array_to_string(flatten(list(d ORDER BY i)), ',') AS docs FROM docs GROUP BY id)
+SELECT t.id, coalesce(d.n, 0) AS n_records, md5(coalesce(d.docs, '')) AS docs_md5 FROM traj t LEFT JOIN done d ON d.id = t.id""",
 }

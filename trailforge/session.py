@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -24,3 +27,22 @@ def get_session(app: str = "trailforge", master: str | None = None, **conf: str)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only where that setting is missing (tests, local mode) a folder is made.
+    """
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="trailforge-")
+        spark.conf.set("spark.checkpoint.dir", there)
+    return there.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_dir(spark)}/trailforge/{name}-{uuid.uuid4().hex}"
