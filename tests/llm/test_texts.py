@@ -309,6 +309,35 @@ def test_network_gradients_and_state():
         assert keep.kept[i] == pytest.approx(slope, abs=0.02)
 
 
+def test_texts_in_a_slot_leave_each_other_alone():
+    """A text has the score, and gives the gradients, that it has alone, whatever comes after it in its slot."""
+    shape = Shape(40, 16, 10, 5, 6)
+    rng = np.random.default_rng(3)
+    flat = rng.normal(0, 0.6, shape.size()).astype(np.float32)
+    texts = [np.append(rng.integers(1, 50, int(rng.integers(0, 70))), 0).astype(np.int32) for _ in range(60)]
+    model = Model(shape, flat)
+    assert model.run(texts, 0) == pytest.approx([model.run([t], 0)[0] for t in texts], rel=1e-4)
+
+    class Sum(Adam):
+        def __init__(self, shape):
+            super().__init__(shape)
+            self.sums = np.zeros(shape.size())
+
+        def step(self, params, tokens):
+            self.sums += self.flat
+
+    short = [t[-15:] for t in texts]
+    together, alone = Sum(shape), Sum(shape)
+    for t in short:
+        model.run([t], 0, alone)
+    for many in (short, short[::-1]):
+        together.sums[:] = 0
+        lengths = model.run(many, 0, together)
+        assert len(lengths) == 60
+        # gradients stop where windows end, so they agree but for texts that two windows share
+        assert np.corrcoef(together.sums, alone.sums)[0, 1] > 0.99
+
+
 def test_language_model_keeps_its_size():
     import inspect
 

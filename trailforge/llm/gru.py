@@ -104,11 +104,10 @@ class Model:
         hs[0] = h
         zr = np.empty((steps, slots, 2 * n), np.float32)
         un, nn = np.empty((steps, slots, n), np.float32), np.empty((steps, slots, n), np.float32)
-        keep = ~reset
+        keep, fresh = (~reset)[:, :, None], reset.any(axis=1)
         for t in range(steps):
-            if reset[t].any():
-                hs[t] *= keep[t][:, None]
-            u = hs[t] @ wh
+            before = hs[t] * keep[t] if fresh[t] else hs[t]  # hs[t] itself still predicts the end of the text before
+            u = before @ wh
             g = zr[t]
             np.add(a[t, :, : 2 * n], u[:, : 2 * n], out=g)
             np.tanh(g, out=g)
@@ -119,7 +118,7 @@ class Model:
             np.multiply(g[:, n:], un[t], out=c)
             c += a[t, :, 2 * n :]
             np.tanh(c, out=c)
-            np.subtract(hs[t], nn[t], out=hs[t + 1])
+            np.subtract(before, nn[t], out=hs[t + 1])
             hs[t + 1] *= zr[t, :, :n]
             hs[t + 1] += nn[t]
         return hs, zr, un, nn
@@ -128,7 +127,7 @@ class Model:
         """Natural log probability of each code y from states out; adds to grads, and returns the states' gradient."""
         p, s = self.p, self.shape
         y_class = np.where(y < s.n_words, y // s.width, y - s.n_words + s.n_frequent)
-        rows, ones = np.arange(len(y)), np.ones(max(s.n_classes, len(y)), np.float32)  # sums by ones: a product is faster than a reduction
+        rows, ones = np.arange(len(y)), np.ones(max(s.n_classes, s.width, len(y)), np.float32)  # sums by ones: a product is faster than a reduction
         logits = out @ p["wc"]
         logits += p["bc"]
         _within_range(logits, p["wc"], p["bc"])
@@ -172,7 +171,7 @@ class Model:
         p, n = self.p, self.shape.state
         hs, zr, un, nn = state
         steps, slots = x.shape
-        z, r, before = zr[:, :, :n], zr[:, :, n:], hs[:-1]
+        z, r, before = zr[:, :, :n], zr[:, :, n:], hs[:-1] * ~reset[:, :, None]
         # the gates' and the candidate's gradients are the state's gradient times these
         by_input = np.empty((steps, slots, 3, n), np.float32)
         np.multiply(1 - z, 1 - nn * nn, out=by_input[:, :, 2])
