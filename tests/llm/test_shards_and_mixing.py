@@ -148,6 +148,19 @@ def test_exact_slots_follow_the_target_weights(sources):
         assert all(abs(done[i] - weights[i] / total * (t + 1 - start)) < 1 for i in active)
 
 
+def test_blocks_grow_where_they_would_be_too_many(spark):
+    assert mixing.block_size([1000, 10], 64, 1 << 20) == 64
+    assert mixing.block_size([], 64, 10) == 64
+    for rows in ([10**10, 3, 5 * 10**9], [7] * 900, [10**6]):
+        size = mixing.block_size(rows, 1, 1000)
+        assert sum(-(-n // size) for n in rows) <= 1000
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"))
+    rows = mixing.mix_sources(df, {"a": 2.0, "b": 1.0}, block_docs=1, most_blocks=32)
+    assert rows.count() == 3000
+    per = rows.groupBy("__slot").agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.countDistinct("__in_block").alias("d")).collect()
+    assert len(per) <= 32 and all(r.s == 1 and r.d == r.n <= 100 for r in per)
+
+
 def test_a_table_follows_the_target_weights(spark):
     """A weight far below a period's 1/1024 does not get a block of every period."""
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2500, "a").otherwise("b").alias("source"))

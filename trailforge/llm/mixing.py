@@ -13,7 +13,9 @@ With a ``period`` weights are rounded to blocks of a period instead and one
 period's table repeats: deviations hold against the rounded weights only.
 
 The driver handles a row for each source (at most ``max_sources``, else an error)
-and a slot for each block; rows of documents are
+and a slot for each block. Blocks have ``block_docs`` documents, and more in proportion where
+there would otherwise be over ``most_blocks`` of them, so that the driver's work is
+bounded; the deviation stays within one such block. Rows of documents are
 numbered on executors from a range-partitioned table and a count for each
 partition and source, so a source with a third of all rows is dealt out like
 any other.
@@ -136,6 +138,11 @@ def periodic_slots(blocks: list[int], weights: list[float], period: int) -> tupl
     return [np.concatenate(x) for x in slots], [np.concatenate(x) for x in phases]
 
 
+def block_size(rows: list[int], block_docs: int, most_blocks: int) -> int:
+    """Documents in a block: the last block of a source may be short, so each source takes one block off the bound."""
+    return max(block_docs, -(-sum(rows) // max(most_blocks - len(rows), 1)))
+
+
 def source_key(source):
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
@@ -149,7 +156,7 @@ def schedule_table(spark, keys: list[str], slots: list[np.ndarray], phases: list
     return store(spark.createDataFrame(pa.concat_tables(parts) if parts else schema.empty_table()), "schedule")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_docs: int = 64, period: int | None = None, max_sources: int = 1000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_docs: int = 64, period: int | None = None, max_sources: int = 1000, most_blocks: int = 1 << 20) -> DataFrame:
     """docs with __source_block, __slot, __in_block and __phase; order by (__slot, __in_block) for the mix.
 
     Without weights a source's weight is the given power of its number of documents.
@@ -170,6 +177,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     else:
         named = {"n" if k is None else f"s{k}": w for k, w in weights.items() if w is not None and w > 0}
         share = [named.get(k, min(named.values(), default=1.0)) for k, _ in sizes]
+    block_docs = block_size([n for _, n in sizes], block_docs, most_blocks)
     blocks = [-(-n // block_docs) for _, n in sizes]
     slots, phases = exact_slots(blocks, share) if period is None else periodic_slots(blocks, share, period)
     table = schedule_table(spark, [k for k, _ in sizes], slots, phases)
