@@ -79,13 +79,14 @@ def lay_out(lengths: list[int], slots: int = SLOTS) -> list[list[int]]:
     return [out[s] for s in sorted(range(slots), key=lambda s: -total[s])]
 
 
-def _within_range(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
-    """Shift rows of logits (states by weights, and bias), in place, where their exponentials could overflow.
+def _rows_last(x: np.ndarray) -> np.ndarray:
+    """(steps, n, slots) as n rows of steps * slots."""
+    return np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(x.shape[1], -1)
 
-    States are in [-1, 1], so weights and bias bound the logits.
-    """
-    if float(np.max(np.abs(weights).sum(axis=0) + np.abs(bias))) > 60:
-        logits -= logits.max(axis=1, keepdims=True)
+
+def _may_overflow(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exponentials of logits (weights by states, and bias) could overflow: states are in [-1, 1], so these bound them."""
+    return float(np.max(np.abs(weights).sum(axis=0) + np.abs(bias))) > 60
 
 
 class Model:
@@ -94,114 +95,122 @@ class Model:
         self.p = shape.views(flat)
 
     def _forward(self, x, reset, h):
+        """Arrays of one window, slots last, so that every operation runs over long rows."""
         p, n = self.p, self.shape.state
         steps, slots = x.shape
-        a = (p["embedding"] @ p["wx"] + p["b"])[x]  # few codes: each code's part once
-        a[:, :, : 2 * n] *= 0.5
-        wh = p["wh"].copy()
-        wh[:, : 2 * n] *= 0.5
-        hs = np.empty((steps + 1, slots, n), np.float32)
+        parts = (p["embedding"] @ p["wx"] + p["b"]).T.copy()  # few codes: each code's part once
+        parts[: 2 * n] *= 0.5
+        a = np.take(parts, x.ravel(), axis=1).reshape(3 * n, steps, slots)
+        wh = p["wh"].T.copy()
+        wh[: 2 * n] *= 0.5
+        hs = np.empty((steps + 1, n, slots), np.float32)
         hs[0] = h
-        zr = np.empty((steps, slots, 2 * n), np.float32)
-        un, nn = np.empty((steps, slots, n), np.float32), np.empty((steps, slots, n), np.float32)
-        keep, fresh = (~reset)[:, :, None], reset.any(axis=1)
+        zr = np.empty((steps, 2 * n, slots), np.float32)
+        un, nn = np.empty((steps, n, slots), np.float32), np.empty((steps, n, slots), np.float32)
+        keep, fresh = ~reset, reset.any(axis=1)
         for t in range(steps):
             before = hs[t] * keep[t] if fresh[t] else hs[t]  # hs[t] itself still predicts the end of the text before
-            u = before @ wh
+            u = wh @ before
             g = zr[t]
-            np.add(a[t, :, : 2 * n], u[:, : 2 * n], out=g)
+            np.add(a[: 2 * n, t], u[: 2 * n], out=g)
             np.tanh(g, out=g)
             g += 1
             g *= 0.5
-            un[t] = u[:, 2 * n :]
+            un[t] = u[2 * n :]
             c = nn[t]
-            np.multiply(g[:, n:], un[t], out=c)
-            c += a[t, :, 2 * n :]
+            np.multiply(g[n:], un[t], out=c)
+            c += a[2 * n :, t]
             np.tanh(c, out=c)
-            np.subtract(before, nn[t], out=hs[t + 1])
-            hs[t + 1] *= zr[t, :, :n]
-            hs[t + 1] += nn[t]
+            after = hs[t + 1]
+            np.subtract(before, c, out=after)
+            after *= g[:n]
+            after += c
         return hs, zr, un, nn
 
     def _outputs(self, out, y, grads=None):
-        """Natural log probability of each code y from states out; adds to grads, and returns the states' gradient."""
+        """Natural log probability of each code y from states out, a column each; adds to grads, and returns the states' gradient."""
         p, s = self.p, self.shape
         y_class = np.where(y < s.n_words, y // s.width, y - s.n_words + s.n_frequent)
-        rows, ones = np.arange(len(y)), np.ones(max(s.n_classes, s.width, len(y)), np.float32)  # sums by ones: a product is faster than a reduction
-        logits = out @ p["wc"]
-        logits += p["bc"]
-        _within_range(logits, p["wc"], p["bc"])
-        picked = logits[rows, y_class]
+        at = np.arange(len(y))
+        ones = np.ones(max(s.n_classes, s.width), np.float32)  # sums by ones: a product is faster than a reduction
+        logits = p["wc"].T @ out
+        logits += p["bc"][:, None]
+        if _may_overflow(p["wc"], p["bc"]):
+            logits -= logits.max(axis=0)
+        picked = logits[y_class, at]
         np.exp(logits, out=logits)
-        total = logits @ ones[: s.n_classes]
+        total = ones[: s.n_classes] @ logits
         logp = (picked - np.log(total)).astype(np.float64)
         d = None
         if grads is not None:
-            logits *= (1 / total)[:, None]
-            logits[rows, y_class] -= 1
-            grads["wc"] += out.T @ logits
-            grads["bc"] += ones[: len(y)] @ logits
-            d = logits @ p["wc"].T
+            logits *= 1 / total
+            logits[y_class, at] -= 1
+            grads["wc"] += out @ logits.T
+            grads["bc"] += logits.sum(axis=1)
+            d = p["wc"] @ logits
         frequent = np.flatnonzero(y < s.n_words)
         frequent = frequent[np.argsort(y_class[frequent].astype(np.int16), kind="stable")]
         cuts = np.searchsorted(y_class[frequent], np.arange(s.n_frequent + 1))
+        large = _may_overflow(p["wo"].T, p["bo"])
         for c in range(s.n_frequent):
             own = frequent[cuts[c] : cuts[c + 1]]
             if not len(own):
                 continue
             words = slice(c * s.width, min((c + 1) * s.width, s.n_words))
-            h = out[own]
-            q = h @ p["wo"][words].T
-            q += p["bo"][words]
-            _within_range(q, p["wo"][words].T, p["bo"][words])
-            r, w = np.arange(len(own)), y[own] - c * s.width
-            picked = q[r, w]
+            h = np.take(out, own, axis=1)
+            q = p["wo"][words] @ h
+            q += p["bo"][words, None]
+            if large:
+                q -= q.max(axis=0)
+            r, w = at[: len(own)], y[own] - c * s.width
+            picked = q[w, r]
             np.exp(q, out=q)
-            total = q @ ones[: q.shape[1]]
+            total = ones[: len(q)] @ q
             logp[own] += picked - np.log(total)
             if grads is not None:
-                q *= (1 / total)[:, None]
-                q[r, w] -= 1
-                grads["wo"][words] += q.T @ h
-                grads["bo"][words] += ones[: len(own)] @ q
-                d[own] += q @ p["wo"][words]
+                q *= 1 / total
+                q[w, r] -= 1
+                grads["wo"][words] += q @ h.T
+                grads["bo"][words] += q.sum(axis=1)
+                d[:, own] += p["wo"][words].T @ q
         return logp, d
 
     def _backward(self, x, reset, state, d, grads):
         p, n = self.p, self.shape.state
         hs, zr, un, nn = state
         steps, slots = x.shape
-        z, r, before = zr[:, :, :n], zr[:, :, n:], hs[:-1] * ~reset[:, :, None]
+        keep, fresh = ~reset, reset.any(axis=1)
+        z, r, before = zr[:, :n], zr[:, n:], hs[:-1] * keep[:, None]
         # the gates' and the candidate's gradients are the state's gradient times these
-        by_input = np.empty((steps, slots, 3, n), np.float32)
-        np.multiply(1 - z, 1 - nn * nn, out=by_input[:, :, 2])
-        np.multiply((before - nn) * z, 1 - z, out=by_input[:, :, 0])
-        np.multiply(by_input[:, :, 2] * un, r * (1 - r), out=by_input[:, :, 1])
+        by_input = np.empty((steps, 3, n, slots), np.float32)
+        np.multiply(1 - z, 1 - nn * nn, out=by_input[:, 2])
+        np.multiply((before - nn) * z, 1 - z, out=by_input[:, 0])
+        np.multiply(by_input[:, 2] * un, r * (1 - r), out=by_input[:, 1])
         by_state = by_input.copy()
-        by_state[:, :, 2] *= r
-        dh = np.empty((steps, slots, n), np.float32)
-        du = np.empty((steps, slots, 3, n), np.float32)
-        back = np.zeros((slots, n), np.float32)
-        transposed = np.ascontiguousarray(p["wh"].T)
+        by_state[:, 2] *= r
+        dh = np.empty((steps, n, slots), np.float32)
+        du = np.empty((steps, 3, n, slots), np.float32)
+        back = np.zeros((n, slots), np.float32)
         for t in range(steps - 1, -1, -1):
             np.add(d[t], back, out=dh[t])
-            np.multiply(dh[t][:, None], by_state[t], out=du[t])
+            np.multiply(dh[t], by_state[t], out=du[t])
             back = dh[t] * z[t]
-            back += du[t].reshape(slots, 3 * n) @ transposed
-            if reset[t].any():
-                back *= ~reset[t][:, None]
-        grads["wh"] += before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
-        da = dh[:, :, None] * by_input
-        flat = da.reshape(-1, 3 * n)
-        grads["b"] += np.ones(len(flat), np.float32) @ flat
-        e = p["embedding"][x.ravel()]
-        grads["wx"] += e.T @ flat
-        de = flat @ p["wx"].T
-        codes = x.ravel().astype(np.int16)  # few codes: a radix sort
+            back += p["wh"] @ du[t].reshape(3 * n, slots)
+            if fresh[t]:
+                back *= keep[t]
+        grads["wh"] += _rows_last(before) @ _rows_last(du.reshape(steps, 3 * n, slots)).T
+        by_input *= dh[:, None]
+        flat = _rows_last(by_input.reshape(steps, 3 * n, slots))
+        grads["b"] += flat.sum(axis=1)
+        # few codes: sums of the gates' gradients for each code, then one small product
+        codes = x.ravel().astype(np.int16)  # a radix sort
         order = np.argsort(codes, kind="stable")
         code = codes[order]
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        grads["embedding"][code[first]] += np.add.reduceat(de[order], first, axis=0)
+        met = code[first]
+        sums = np.add.reduceat(np.take(flat, order, axis=1), first, axis=1)
+        grads["wx"] += (sums @ p["embedding"][met]).T
+        grads["embedding"][met] += (p["wx"] @ sums).T
 
     def run(self, texts: list[np.ndarray], end: int, learner: Adam | None = None) -> np.ndarray:
         """The natural log probability of each text (its codes, which end with ``end``); learns if asked to."""
@@ -224,23 +233,26 @@ class Model:
         x[0] = end
         x[1:] = y[:-1]
         x[reset | (x < 0)] = end
-        h = np.zeros((len(slots), self.shape.state), np.float32)
+        h = np.zeros((self.shape.state, len(slots)), np.float32)
         for at in range(0, longest, STEPS):
             live = int(np.searchsorted(-totals, -at))
             w = slice(at, min(at + STEPS, longest))
-            state = self._forward(x[w, :live], reset[w, :live], h[:live])
+            state = self._forward(x[w, :live], reset[w, :live], h[:, :live])
             h = state[0][-1]
             codes = y[w, :live].ravel()
             told = np.flatnonzero(codes >= 0)
-            states = state[0][1:].reshape(-1, self.shape.state)[told]
+            states = _rows_last(state[0][1:])
+            if len(told) < len(codes):
+                states = np.take(states, told, axis=1)
             if learner is None:
                 logp, _ = self._outputs(states, codes[told])
             else:
                 learner.zero()
                 logp, d = self._outputs(states, codes[told], learner.grads)
-                full = np.zeros((len(codes), self.shape.state), np.float32)
-                full[told] = d
-                self._backward(x[w, :live], reset[w, :live], state, full.reshape(-1, live, self.shape.state), learner.grads)
+                full = np.zeros((self.shape.state, len(codes)), np.float32)
+                full[:, told] = d
+                full = full.reshape(self.shape.state, -1, live).transpose(1, 0, 2)
+                self._backward(x[w, :live], reset[w, :live], state, full, learner.grads)
                 learner.step(self.flat, len(told))
             out += np.bincount(owner[w, :live].ravel()[told], weights=logp, minlength=len(texts))
         return out
