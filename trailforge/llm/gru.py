@@ -6,7 +6,8 @@ a softmax over classes (frequent classes, then rare ones), then, in a frequent
 class, one over its words. What a rare class's words get within it is not this
 module's business. Training is truncated backpropagation through windows of
 ``STEPS`` tokens with Adam; the state goes on from window to window until a text
-ends.
+ends. Where few texts are left, the gradients of some windows make one step, of ``STEP_TOKENS``
+tokens at least, so that a long text's end is no row of steps on 20 tokens each.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 STEPS, SLOTS = 20, 256
+STEP_TOKENS = 2048
 
 
 @dataclass(frozen=True)
@@ -234,6 +236,7 @@ class Model:
         x[1:] = y[:-1]
         x[reset | (x < 0)] = end
         h = np.zeros((self.shape.state, len(slots)), np.float32)
+        pending = 0
         for at in range(0, longest, STEPS):
             live = int(np.searchsorted(-totals, -at))
             w = slice(at, min(at + STEPS, longest))
@@ -247,13 +250,16 @@ class Model:
             if learner is None:
                 logp, _ = self._outputs(states, codes[told])
             else:
-                learner.zero()
                 logp, d = self._outputs(states, codes[told], learner.grads)
                 full = np.zeros((self.shape.state, len(codes)), np.float32)
                 full[:, told] = d
                 full = full.reshape(self.shape.state, -1, live).transpose(1, 0, 2)
                 self._backward(x[w, :live], reset[w, :live], state, full, learner.grads)
-                learner.step(self.flat, len(told))
+                pending += len(told)
+                if pending >= STEP_TOKENS or w.stop == longest:
+                    learner.step(self.flat, pending)
+                    learner.zero()
+                    pending = 0
             out += np.bincount(owner[w, :live].ravel()[told], weights=logp, minlength=len(texts))
         return out
 
