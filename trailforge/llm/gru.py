@@ -5,9 +5,9 @@ n_words + r is "some word of rare class r". The output softmax is factored: firs
 a softmax over classes (frequent classes, then rare ones), then, in a frequent
 class, one over its words. What a rare class's words get within it is not this
 module's business. Training is truncated backpropagation through windows of
-``STEPS`` tokens with Adam; the state goes on from window to window until a text
-ends. Where few texts are left, the gradients of some windows make one step, of ``STEP_TOKENS``
-tokens at least, so that a long text's end is no row of steps on 20 tokens each.
+``STEPS`` tokens with Adam, longer ones (``MOST_STEPS`` at most) where few texts are left; the state
+goes on from window to window until a text ends. Gradients of small windows make one step, of ``STEP_TOKENS``
+tokens at least, so that a long text's end is no row of steps on few tokens each.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 STEPS, SLOTS = 20, 256
-STEP_TOKENS = 2048
+STEP_TOKENS, MOST_STEPS = 2048, 160
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,9 @@ class Shape:
 
 def lay_out(lengths: list[int], slots: int = SLOTS) -> list[list[int]]:
     """Texts dealt to slots, longest first to the emptiest; the fullest slot comes first."""
-    slots = max(1, min(slots, len(lengths), max(8, sum(lengths) // (STEPS * 16))))
+    tokens, longest = sum(lengths), max([1, *lengths])
+    # a long text leaves fewer slots, so that cells are at most 8 times the tokens
+    slots = max(1, min(slots, len(lengths), max(8, tokens // (STEPS * 16)), max(8, 8 * tokens // longest)))
     heap = [(0, s) for s in range(slots)]
     out: list[list[int]] = [[] for _ in range(slots)]
     total = [0] * slots
@@ -236,10 +238,11 @@ class Model:
         x[1:] = y[:-1]
         x[reset | (x < 0)] = end
         h = np.zeros((self.shape.state, len(slots)), np.float32)
-        pending = 0
-        for at in range(0, longest, STEPS):
+        at = pending = 0
+        while at < longest:
             live = int(np.searchsorted(-totals, -at))
-            w = slice(at, min(at + STEPS, longest))
+            w = slice(at, min(at + max(STEPS, min(MOST_STEPS, STEP_TOKENS // live)), longest))
+            at = w.stop
             state = self._forward(x[w, :live], reset[w, :live], h[:, :live])
             h = state[0][-1]
             codes = y[w, :live].ravel()
@@ -256,7 +259,7 @@ class Model:
                 full = full.reshape(self.shape.state, -1, live).transpose(1, 0, 2)
                 self._backward(x[w, :live], reset[w, :live], state, full, learner.grads)
                 pending += len(told)
-                if pending >= STEP_TOKENS or w.stop == longest:
+                if pending >= STEP_TOKENS or at == longest:
                     learner.step(self.flat, pending)
                     learner.zero()
                     pending = 0

@@ -259,7 +259,7 @@ def lm_scores(docs: DataFrame, n_words: int = 256, width: int = 32, n_rare: int
 
         own = shared.value
         model, end = Model(own.shape, weights.value), own.end_code()
-        for rows, codes in _blocks(batches, ["row", "codes"], 1 << 20):
+        for rows, codes in _blocks(batches, ["row", "codes"], 1 << 22):
             logp = model.run([np.frombuffer(c, own.kind()).astype(np.int32) for c in codes], end) / math.log(10)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(logp)], ["row", "model"])
 
