@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, lm, minhash, mixing, packing, pipeline, quality, sharding, sstable, suffixes, warc
+from . import ann, hardneg, lm, minhash, mixing, packing, pipeline, quality, resync, sharding, sstable, suffixes, warc
 
 QUERIES = {
     "op1_sstable": sstable.op1_sstable,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_hard_negatives": hardneg.op11_hard_negatives,
+    "op12_token_counts": resync.op12_token_counts,
     "pipeline": pipeline.run,
 }
-SQL: dict[str, str] = {"op2_sharding": sharding.OP2_SQL}
+SQL: dict[str, str] = {"op2_sharding": sharding.OP2_SQL, "op11_hard_negatives": hardneg.OP11_SQL}
