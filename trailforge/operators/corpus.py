@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 FACTS = "array<struct<title:string,sent_id:int,paragraph_text:string>>"
 QA = ["id", "question", "answer", "supporting_facts", "dataset", "split"]
 
@@ -65,8 +67,8 @@ def build_corpus(passages: DataFrame, titles: DataFrame | None = None) -> DataFr
     if titles is not None:
         rows = rows.join(titles.select("title"), "title", "left_semi")
     first = rows.groupBy("title", "text").agg(F.min("pos").alias("pos"))
-    nth = F.row_number().over(Window.partitionBy("title").orderBy("pos")) - 1
-    return first.withColumn("nth", nth).select(F.concat_ws("_", "title", "nth").alias("id"), "title", "text", "nth")
+    rows = numbered(first, ["title"], [F.asc("pos")], "nth").withColumn("nth", F.col("nth") - 1)
+    return rows.select(F.concat_ws("_", "title", "nth").alias("id"), "title", "text", "nth")
 
 
 def in_title_order(corpus: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from ..session import stored
 
 #: Rows of one group that a task may sort alone.
 MOST_IN_TASK = 1 << 20
@@ -22,15 +23,15 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) ->
     """rows with a number from 1 in the given order within each group; order should tell all rows of a group apart.
 
     Groups of up to MOST_IN_TASK rows are numbered by a window. Beyond that rows are dealt by ranges of the groups and the
-    order, counted for each range and group, and numbered from there: no task holds more than a range. The rows are kept
-    on executors' disks (until the cache is cleared) so that they are made once.
+    order, counted for each range and group, and numbered from there: no task holds more than a range. The rows are stored
+    in the shared folder so that they are made once.
     """
-    rows = rows.persist(StorageLevel.DISK_ONLY)
+    rows = stored(rows, "numbered")
     most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if most <= MOST_IN_TASK:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     dealt = rows.repartitionByRange(*(F.col(c) for c in by), *order).sortWithinPartitions(*(F.col(c) for c in by), *order)
-    dealt = dealt.withColumn("__at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    dealt = stored(dealt.withColumn("__at", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright("__at", 33)
     counts = dealt.groupBy(*by, part.alias("__part")).agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__n")

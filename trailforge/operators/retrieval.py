@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..session import stored
 from .ordering import spread
 
 
@@ -53,13 +54,13 @@ class Bm25Index:
         """(term, df, dl): passages with each term; the row of the null term has the number and the length of all passages."""
         if self._vocabulary is None:
             rows = self.tokens().select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("term"))
-            self._vocabulary = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).persist()
+            self._vocabulary = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+            self._vocabulary = stored(self._vocabulary, "vocabulary")
         return self._vocabulary
 
     def close(self) -> None:
-        if self._vocabulary is not None:
-            self._vocabulary.unpersist()
-            self._vocabulary = None
+        """Forget the vocabulary; its table stays in the shared folder for what is still lazy."""
+        self._vocabulary = None
 
     def stats(self) -> DataFrame:
         if self._stored:

@@ -55,10 +55,19 @@ def load_questions(spark: SparkSession, path: str, max_questions: int | None = N
     return rows.select("pos", "id", "question", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _found(spark: SparkSession, path: str) -> list:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    return list(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or [])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_found(spark, path))
+
+
+def stream_path(spark: SparkSession, path: str) -> str:
+    """A path as a file stream takes it: a stream of a lone file needs a pattern."""
+    found = _found(spark, path)
+    return f"{path[:-1]}[{path[-1]}]" if len(found) == 1 and found[0].isFile() and not set(path) & set("*?[{") else path
 
 
 def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
