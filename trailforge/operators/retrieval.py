@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..session import stored
+from .late import LateIndex
 from .ordering import spread
 
 
@@ -147,8 +148,7 @@ class Bm25Index:
 class DenseIndex:
     """Exact top-k by inner product or cosine over one vector for each passage.
 
-    A single-vector stand-in for token-level late interaction. vectors: doc_id, embedding;
-    passages, if given: doc_id, title, text, which hits then carry (else they are empty).
+    For token-level late interaction see late.LateIndex. vectors: doc_id, embedding; passages, if given: doc_id, title, text, which hits then carry (else they are empty).
     """
 
     def __init__(self, vectors: DataFrame, cosine: bool = True, digits: int = 5, passages: DataFrame | None = None):
@@ -195,8 +195,8 @@ class DenseIndex:
 
 
 def create_search_engine(kind: str, **how) -> Retriever:
-    """bm25 or colbert (the dense stand-in)."""
-    engines = {"bm25": Bm25Index, "colbert": DenseIndex}
+    """bm25, colbert (late interaction) or dense (one vector a passage)."""
+    engines = {"bm25": Bm25Index, "colbert": LateIndex, "dense": DenseIndex}
     if kind not in engines:
         raise ValueError(f"unknown engine {kind!r}; there are {sorted(engines)}")
     return engines[kind](**how)

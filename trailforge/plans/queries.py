@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as sp
 from ..functions import text as tx
-from ..operators import corpus, diagnostics, evaluation, retrieval, scoring, selection, trajectories
+from ..operators import corpus, diagnostics, evaluation, late, retrieval, scoring, selection, trajectories
 from ..session import new_folder
 from ..sources import jsonl
 from . import prompts
@@ -99,6 +99,40 @@ def dense_topk(spark, sf):
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
+def _token_vectors(spark, sf):
+    """Passages of eight token vectors each."""
+    return _t(spark, sf, "embeddings").select(F.expr("vec_id div 8").alias("doc_id"), (F.col("vec_id") % 8).alias("pos"), "embedding")
+
+
+def _token_queries(vectors):
+    """Every tenth passage, as a query."""
+    return vectors.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "qid")
+
+
+def late_topk(spark, sf):
+    vectors = _token_vectors(spark, sf)
+    hits = late.LateIndex(vectors).search(_token_queries(vectors), 5)
+    return hits.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+def _residual_index(spark, sf):
+    return late.ResidualIndex.build(_token_vectors(spark, sf), new_folder(spark, "late"), centroids=16, steps=2)
+
+
+def late_reconstruction(spark, sf):
+    """What two bits a component keep: each vector's centroid, and the error with and without the residual."""
+    back = _residual_index(spark, sf)
+    rows = back.reconstructed().join(_token_vectors(spark, sf), ["doc_id", "pos"])
+    error = F.aggregate(F.zip_with("v", F.col("embedding").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda n, x: n + x)
+    return rows.select("doc_id", "pos", "centroid", _r6(error).alias("error"))
+
+
+def late_quantized(spark, sf):
+    """Hits of the quantized index: eight lists of 16 a query vector, 24 candidates with exact scores, and the share of vectors decoded."""
+    hits = _residual_index(spark, sf).search(_token_queries(_token_vectors(spark, sf)), 5, n_probe=8, candidates=24)
+    return hits.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score", _r6("share").alias("share"))
+
+
 # -- text and evaluation -----------------------------------------------------
 
 
@@ -498,7 +532,7 @@ def inject_bm25(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_corpus_stats, bm25_terms, bm25_context, dense_topk, tokenize, normalize_answer, extract_answer, exact_match, token_f1, eval_rows, eval_summary, traj_spans,
+        bm25_topk, bm25_corpus_stats, bm25_terms, bm25_context, dense_topk, late_topk, late_reconstruction, late_quantized, tokenize, normalize_answer, extract_answer, exact_match, token_f1, eval_rows, eval_summary, traj_spans,
         traj_spans_extended, span_char_share, token_types, vocab_rank, token_table, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
         select_correct, select_mmr, select_by_method, corpus_passages, corpus_filtered, qa_unified, split_counts, distinct_titles, tsv_collection, transcripts, gen_summary, gate,
         retry_pick, fan_out, assemble_steps, inject_results, search_prompt, sft_format, grid, spearman, seed_mean_std, student_divergence, best_alpha, k_subsets, boundary_shift,

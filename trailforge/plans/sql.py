@@ -156,7 +156,34 @@ moved AS (SELECT i.id, a."start" AS s, b."end" AS e FROM inside i JOIN most m ON
 SPEARMAN = """r AS (SELECT student, rank() OVER (PARTITION BY student ORDER BY x) + (count(*) OVER (PARTITION BY student, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY student ORDER BY y) + (count(*) OVER (PARTITION BY student, y) - 1) / 2.0::DOUBLE AS ry FROM f)
 SELECT student, count(*) AS n, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) END AS rho FROM r GROUP BY student"""
 
+LATE = "e AS (SELECT vec_id // 8 AS doc_id, vec_id % 8 AS pos, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+def _moved(i: int) -> str:
+    """The next centroids: means of the vectors nearest to each."""
+    return f"""near{i} AS (SELECT e.doc_id, e.pos, e.v, k.c, k.v AS k FROM e, c{i} k QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY list_dot_product(e.v, k.v) - list_dot_product(k.v, k.v) / 2 DESC, k.c) = 1),
+c{i + 1} AS (SELECT k.c, coalesce(m.v, k.v) AS v FROM c{i} k LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM (SELECT c, i, avg(x) AS x FROM (SELECT c, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM near{i}) GROUP BY c, i) GROUP BY c) m USING (c))"""
+
+
+CODED = f"""{LATE}, c0 AS (SELECT row_number() OVER (ORDER BY spot) - 1 AS c, v FROM (SELECT v, min((doc_id, pos)) AS spot FROM e GROUP BY v ORDER BY spot LIMIT 16)),
+{_moved(0)}, {_moved(1)}, {_moved(2)},
+residuals AS (SELECT doc_id, pos, c, k, v, unnest(range(1, len(v) + 1)) AS i, round(unnest(list_transform(list_zip(v, k), lambda x: x[1] - x[2])), 9) AS r FROM near2),
+cut AS (SELECT 0.9816 * sqrt(avg(r * r)) AS cut FROM residuals),
+bucketed AS (SELECT *, (r >= -cut)::INT + (r >= 0)::INT + (r >= cut)::INT AS b FROM residuals, cut),
+levels AS (SELECT b, avg(r) AS level FROM bucketed GROUP BY b),
+decoded AS (SELECT doc_id, pos, any_value(c) AS c, any_value(v) AS v, list(k[i] + level ORDER BY i) AS w FROM bucketed JOIN levels USING (b) GROUP BY doc_id, pos)"""
+
 SQL = {
+    "late_topk": f"""WITH {LATE}, best AS (SELECT q.doc_id AS qid, q.pos, d.doc_id, max(list_dot_product(q.v, d.v)) AS best FROM e q, e d WHERE q.doc_id % 10 = 0 GROUP BY ALL),
+total AS (SELECT qid, doc_id, round(sum(best), 5) AS score FROM best GROUP BY ALL), nth AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM total) SELECT * FROM nth WHERE rank <= 5""",
+    "late_reconstruction": f"WITH {CODED} SELECT doc_id, pos, c AS centroid, round(list_sum(list_transform(list_zip(v, w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 6) AS error FROM decoded",
+    "late_quantized": f"""WITH {CODED}, q AS (SELECT doc_id AS qid, pos, v FROM e WHERE doc_id % 10 = 0),
+lists AS (SELECT q.qid, q.pos, q.v, k.c FROM q, c2 k QUALIFY row_number() OVER (PARTITION BY q.qid, q.pos ORDER BY list_dot_product(q.v, k.v) DESC, k.c) <= 8),
+met AS (SELECT l.qid, l.pos, d.doc_id, d.pos AS place, list_dot_product(l.v, d.w) AS s FROM lists l JOIN decoded d USING (c)),
+share AS (SELECT qid, round(count(DISTINCT (doc_id, place))::DOUBLE / (SELECT count(*) FROM e), 6) AS share FROM met GROUP BY qid),
+near AS (SELECT qid, doc_id, sum(s) AS s FROM (SELECT qid, pos, doc_id, max(s) AS s FROM met GROUP BY qid, pos, doc_id) GROUP BY qid, doc_id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(sum(s), 5) DESC, doc_id) <= 24),
+total AS (SELECT qid, doc_id, round(sum(s), 5) AS score FROM (SELECT n.qid, q.pos, n.doc_id, max(list_dot_product(q.v, e.v)) AS s FROM near n JOIN q USING (qid) JOIN e ON e.doc_id = n.doc_id GROUP BY ALL) GROUP BY ALL),
+nth AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM total) SELECT nth.*, share FROM nth JOIN share USING (qid) WHERE rank <= 5""",
     "bm25_topk": f"WITH {BM25} SELECT qid, rank, pos::VARCHAR AS doc_id, title, md5(text) AS text_md5, score FROM hits JOIN passages USING (pos) WHERE rank <= 5",
     "bm25_corpus_stats": f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "bm25_terms": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
