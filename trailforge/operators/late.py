@@ -170,7 +170,7 @@ class ResidualIndex:
         how = spark.read.parquet(f"{path}/settings").first()
         self.spark, self.path, self.dim, self.slabs, self.cut, self.levels, self.digits, self.n = spark, path, how.dim, how.slabs, how.cut, np.array(how.levels), how.digits, how.n
         rows = spark.read.parquet(f"{path}/centroids").orderBy("c").collect()  # size checked when built
-        self.centroids = np.array([r.v for r in rows], float).reshape(len(rows), -1)
+        self.centroids = np.array([r.v for r in rows], float).reshape(-1, how.dim)
 
     open = classmethod(lambda cls, spark, path: cls(spark, path))
 
