@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as sp
 from ..functions import text as tx
-from ..operators import corpus, diagnostics, evaluation, late, retrieval, scoring, selection, trajectories
+from ..operators import context, corpus, diagnostics, evaluation, late, retrieval, scoring, selection, trajectories
 from ..session import new_folder
 from ..sources import jsonl
 from . import prompts
@@ -211,6 +211,26 @@ def token_table(spark, sf):
     return rows.select("traj_id", "student", F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"), _r6("surprisal").alias("surprisal"))
 
 
+def _context_student(spark, sf):
+    return context.ContextStudent(_t(spark, sf, "documents").select("text", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("student")))
+
+
+def context_students(spark, sf):
+    """Continuation lists of the students: each context's size, its count, and the unigram probability of what it was seen with."""
+    return _context_student(spark, sf).contexts.select("student", "prev", "total", "n", F.round("mass", 9).alias("mass"))
+
+
+def context_tokens(spark, sf):
+    """Rank and surprisal, given the token before, of every token of every transcript."""
+    rows = _context_student(spark, sf).tokens(_tokens(spark, sf))
+    return rows.select("traj_id", "student", F.col("pos").cast("long").alias("pos"), "rank", _r6("surprisal").alias("surprisal"))
+
+
+def context_rsr(spark, sf):
+    typed = scoring.typed(_context_student(spark, sf).tokens(_tokens(spark, sf)), _spans(spark, sf))
+    return scoring.rsr(typed).select("traj_id", "student", *_finite("rsr_full"), *_finite("rsr_reasoning"), *_finite("rsr_search_decision"), _r6("mean_rank").alias("mean_rank"), _r6("mean_surprisal").alias("mean_surprisal"))
+
+
 def rsr(spark, sf):
     return _scores(spark, sf).select("traj_id", "student", *_finite("rsr_full"), "num_tokens", _r6("mean_rank").alias("mean_rank"), _r6("mean_surprisal").alias("mean_surprisal"))
 
@@ -533,7 +553,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_corpus_stats, bm25_terms, bm25_context, dense_topk, late_topk, late_reconstruction, late_quantized, tokenize, normalize_answer, extract_answer, exact_match, token_f1, eval_rows, eval_summary, traj_spans,
-        traj_spans_extended, span_char_share, token_types, vocab_rank, token_table, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
+        traj_spans_extended, span_char_share, token_types, vocab_rank, token_table, context_students, context_tokens, context_rsr, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
         select_correct, select_mmr, select_by_method, corpus_passages, corpus_filtered, qa_unified, split_counts, distinct_titles, tsv_collection, transcripts, gen_summary, gate,
         retry_pick, fan_out, assemble_steps, inject_results, search_prompt, sft_format, grid, spearman, seed_mean_std, student_divergence, best_alpha, k_subsets, boundary_shift,
         boundary_rescore, subset_correlation, jsonl_questions, jsonl_limit, jsonl_best_effort, jsonl_partitioned, bm25_loaded, dense_loaded, gen_counters, gen_report, logit_students, token_cut, all_texts, inject_bm25,

@@ -95,6 +95,19 @@ scored AS (SELECT k.traj_id, o.student, k.pos, k.type, coalesce(v.rank, o.v) AS
   FROM typed k CROSS JOIN totals o LEFT JOIN vocabulary v ON v.student = o.student AND v.token = lower(k.token) WHERE k.pos > 0)"""
 
 
+CONTINUED = f"""{VOCABULARY}, toks AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS student, {tok('text')} AS w FROM documents),
+continued AS (SELECT *, row_number() OVER (PARTITION BY student, prev ORDER BY c DESC, token) - 1 AS nth FROM (
+  SELECT n.student, prev, n.token, n.c, v.p, v.rank AS place FROM (SELECT student, prev, token, count(*) AS c FROM (SELECT student, unnest(w[:-2]) AS prev, unnest(w[2:]) AS token FROM toks) GROUP BY ALL) n JOIN vocabulary v ON v.student = n.student AND v.token = n.token)),
+contexts AS (SELECT student, prev, sum(c)::BIGINT AS total, count(*) AS n, sum(p) AS mass FROM continued GROUP BY student, prev)"""
+IN_CONTEXT = f"""{TOKENS}, {CONTINUED}, after AS (SELECT *, lower(lag(token) OVER (PARTITION BY traj_id ORDER BY pos)) AS prev, lower(token) AS key FROM typed),
+asked AS (SELECT o.student, a.prev, a.key, coalesce(v.rank, o.v) AS place, coalesce(v.p, 1.0::DOUBLE / (o.t + o.v + 1)) AS p FROM (SELECT DISTINCT prev, key FROM after WHERE pos > 0) a CROSS JOIN totals o LEFT JOIN vocabulary v ON v.student = o.student AND v.token = a.key),
+earlier AS (SELECT a.student, a.prev, a.key, count(*) AS before FROM asked a JOIN continued c ON c.student = a.student AND c.prev = a.prev AND c.place < a.place GROUP BY ALL),
+given AS (SELECT a.student, a.prev, a.key, CASE WHEN c.nth IS NOT NULL THEN c.nth ELSE a.place + coalesce(x.n, 0) - coalesce(e.before, 0) END AS rank,
+  CASE WHEN c.nth IS NOT NULL THEN c.c::DOUBLE / (x.total + 1) WHEN x.n IS NOT NULL THEN a.p / ((x.total + 1) * (1 - x.mass)) ELSE a.p END AS p
+  FROM asked a LEFT JOIN continued c ON c.student = a.student AND c.prev = a.prev AND c.token = a.key LEFT JOIN contexts x ON x.student = a.student AND x.prev = a.prev LEFT JOIN earlier e ON e.student = a.student AND e.prev = a.prev AND e.key = a.key),
+scored AS (SELECT a.traj_id, g.student, a.pos, a.type, g.rank, -ln(g.p) AS surprisal FROM after a JOIN given g ON g.prev = a.prev AND g.key = a.key WHERE a.pos > 0)"""
+
+
 def _ratio(test: str) -> str:
     return f"CASE WHEN count(*) FILTER (WHERE {test}) = 0 OR sum(surprisal) FILTER (WHERE {test}) < 1e-8 THEN 'inf'::DOUBLE ELSE sum(least(rank, 100)) FILTER (WHERE {test})::DOUBLE / sum(surprisal) FILTER (WHERE {test}) END"
 
@@ -203,6 +216,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
     "token_types": f'WITH {TOKENS} SELECT traj_id, pos, token, "start"::BIGINT AS "start", "end"::BIGINT AS "end", type FROM typed',
     "vocab_rank": f"WITH {VOCABULARY} SELECT student, token, c, rank, round(p, 9) AS p FROM vocabulary",
     "token_table": f"WITH {TABLE} SELECT traj_id, student, pos, rank::BIGINT AS rank, round(surprisal, 6) AS surprisal FROM scored",
+    "context_students": f"WITH {CONTINUED} SELECT student, prev, total, n, round(mass, 9) AS mass FROM contexts",
+    "context_tokens": f"WITH {IN_CONTEXT} SELECT traj_id, student, pos, rank::BIGINT AS rank, round(surprisal, 6) AS surprisal FROM scored",
+    "context_rsr": f"WITH {IN_CONTEXT}{SCORES[len(TABLE):]} SELECT traj_id, student, {finite('rsr_full')}, {finite('rsr_reasoning')}, {finite('rsr_search_decision')}, round(mean_rank, 6) AS mean_rank, round(mean_surprisal, 6) AS mean_surprisal FROM scores",
     "rsr": f"WITH {SCORES} SELECT traj_id, student, {finite('rsr_full')}, num_tokens, round(mean_rank, 6) AS mean_rank, round(mean_surprisal, 6) AS mean_surprisal FROM scores",
     "rsr_masked": f"WITH {SCORES} SELECT traj_id, student, {finite('rsr_reasoning')}, {finite('rsr_search_decision')}, num_reasoning_tokens, num_search_decision_tokens, round(CASE WHEN num_reasoning_tokens + num_search_decision_tokens > 0 THEN num_search_decision_tokens::DOUBLE / (num_reasoning_tokens + num_search_decision_tokens) ELSE 0.0 END, 6) AS search_decision_ratio FROM scores",
     "sd_rsr": f"WITH {SCORES}, c AS (SELECT traj_id, student, 0.5::DOUBLE AS alpha, {composite('0.5::DOUBLE')} AS sd_rsr_score FROM scores) SELECT traj_id, student, alpha, {finite('sd_rsr_score')} FROM c",
