@@ -17,6 +17,8 @@ ANSWER_PATTERNS = (
     rf"(?diu)(?:the answer is|final answer)[:{WS}]+(.+?)(?:\.|$)",
     rf"(?diu)(?:answer)[:{WS}]+(.+?)(?:\.|$)",
 )
+#: A run of the same characters, by their property: several times as fast to split at.
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -30,7 +32,7 @@ def strip(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """The runs between white space, as they are."""
-    return F.array_remove(F.split(_col(c), f"[{WS}]+"), "")
+    return F.array_remove(F.split(_col(c), _SPACES), "")
 
 
 def tokenize(c: Column | str) -> Column:

@@ -13,10 +13,11 @@ from ..session import stored
 MOST_IN_TASK = 1 << 20
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows, dealt out evenly if they come in fewer partitions than the session has cores (for costly work on each row)."""
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows, dealt out evenly if they come in fewer partitions than the session has cores (for costly work on each row); by columns, if
+    given, so that grouping by them needs no other exchange."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:

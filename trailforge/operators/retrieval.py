@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import let, tokenize
 from ..session import stored
 from .late import LateIndex
 from .ordering import spread
@@ -32,6 +33,24 @@ def small(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= MOST_BROADCAST else rows
 
 
+@dataclass(frozen=True)
+class Asked:
+    """A search: words(qid, term, qtf, df, idf), null terms for queries without words and null df for words of no passage; found(pos, term, tf, dl)
+    of the asked terms; n and avgdl of the passages; most, a bound for the rows of words."""
+
+    words: DataFrame
+    found: DataFrame
+    n: int
+    avgdl: float | None
+    most: int
+
+    def may_need_padding(self, top_k: int) -> DataFrame:
+        """(qid) of queries without a term in top_k passages, or with a negative weight; the others have top_k
+        passages above 0 for sure, and for them nothing more is read."""
+        best = self.words.groupBy("qid").agg(F.max("df").alias("df"), F.min("idf").alias("idf"))
+        return best.where(~F.coalesce((F.col("df") >= top_k) & (F.col("idf") > 0), F.lit(False))).select("qid")
+
+
 class Bm25Index:
     """Okapi BM25 over passages (pos, id, title, text).
 
@@ -39,8 +58,8 @@ class Bm25Index:
     idf becomes epsilon times the mean raw idf. Scores are rounded to ``digits``
     before ranking, so the order of a sum doesn't decide; ties go to pos.
 
-    An index that is not stored keeps its vocabulary (a row for each term, from one pass over
-    the passages) until ``close``; a search reads the passages once more, for the terms that are asked.
+    A search of an index that is not stored reads the passages once, for the terms that are asked; it needs the whole vocabulary, which
+    takes one pass more and is kept until ``close``, only where a term is in more than half of the passages.
     """
 
     def __init__(self, passages: DataFrame, k1: float = 0.9, b: float = 0.4, epsilon: float = 0.25, digits: int = 6):
@@ -49,7 +68,7 @@ class Bm25Index:
         self._vocabulary: DataFrame | None = None
 
     def tokens(self) -> DataFrame:
-        return spread(self.passages.select("pos", "title", "text")).select("pos", tokenize(index_text()).alias("tokens"))
+        return spread(self.passages.select("pos", "title", "text"), "pos").select("pos", tokenize(index_text()).alias("tokens"))
 
     def _counts(self) -> DataFrame:
         """(term, df, dl): passages with each term; the row of the null term has the number and the length of all passages."""
@@ -98,30 +117,60 @@ class Bm25Index:
         index._stored = tuple(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats"))
         return index
 
+    def _ask(self, queries: DataFrame) -> Asked:
+        """What a search needs; where nothing is stored, from one pass over the passages, for the terms that are asked."""
+        words = stored(queries.select("qid", F.explode_outer(tokenize("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")), "asked")
+        only, most = words.where("term is not null").select("term").distinct(), words.count()  # a bound for what is broadcast
+        if self._stored:
+            found, one = self._stored[0].join(small(only, most), "term", "left_semi"), self._stored[2].first()
+            n, avgdl, terms = one.n, one.avgdl, self._stored[1].join(small(only, most), "term", "left_semi").select("term", "df", "idf")
+        else:
+            mark = F.array(F.lit(None).cast("string"))  # a row for each passage, with its length
+            cut = let(F.col("tokens"), lambda t: F.struct(F.size(t).alias("dl"), F.concat(mark, t).alias("terms")))  # cut once
+            rows = self.tokens().select("pos", cut.alias("x")).select("pos", "x.dl", F.explode("x.terms").alias("term"))
+            if most <= MOST_BROADCAST:
+                keep = only.unionByName(queries.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "wanted")
+                rows = rows.join(F.broadcast(keep), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
+            else:
+                rows = rows.where("term is null").unionByName(rows.join(only, "term", "left_semi").select("pos", "dl", "term"))
+            rows = stored(rows.groupBy("pos", "dl", "term").agg(F.count("*").alias("tf")), "found")
+            found, one = rows.where("term is not null"), rows.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+            n, avgdl, df = one.n, one.avgdl, found.groupBy("term").agg(F.count("*").alias("df"))
+            raw = df.withColumn("raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+            low = raw.agg(F.min("raw")).first()[0]
+            mean = self._mean_raw_idf() if low is not None and low < 0 else 0.0  # only then the whole vocabulary is needed
+            terms = raw.select("term", "df", F.when(F.col("raw") < 0, self.epsilon * mean).otherwise(F.col("raw")).alias("idf"))
+        return Asked(words.join(small(terms, most), "term", "left"), found, n, avgdl, most)
+
+    def _mean_raw_idf(self) -> float:
+        n = F.lit(self.stats().first().n)
+        return self._counts().where("term is not null").agg(F.avg(F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))).first()[0]
+
+    def _part(self, avgdl: float) -> Column:
+        """A term's part of a passage's score, without its idf."""
+        return F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.lit(avgdl)))
+
+    def _total(self, hits: DataFrame, avgdl: float) -> DataFrame:
+        """(qid, pos, score) from postings with their queries' qtf and idf; repeated terms count again."""
+        return hits.groupBy("qid", "pos").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * self._part(avgdl)), self.digits).alias("score"))
+
+    def _scores(self, asked: Asked, top_k: int) -> DataFrame:
+        """(qid, pos, score) of passages that share a term with a query: of all of them, or of those that can be among the first."""
+        words = asked.words.where("df is not null").select("qid", "term", "qtf", "idf")
+        return self._total(asked.found.join(small(words, asked.most), "term"), asked.avgdl)
+
     def scores(self, queries: DataFrame) -> DataFrame:
-        """(qid, pos, score) of every passage that shares a term with a query; repeated terms count again."""
-        asked = queries.select("qid", F.explode(tokenize("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-        only = asked.select("term").distinct()
-        n = asked.count()  # of the queries' terms: a bound for what is broadcast
-        found = self.postings(small(only, n)).join(small(self.terms().select("term", "idf").join(small(only, n), "term", "left_semi"), n), "term").crossJoin(F.broadcast(self.stats().select("avgdl")))
-        part = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        weighted = found.select("pos", "term", part.alias("part"))
-        return weighted.join(small(asked, n), "term").groupBy("qid", "pos").agg(F.round(F.sum(F.col("qtf") * F.col("part")), self.digits).alias("score"))
-
-    def _may_need_padding(self, queries: DataFrame, top_k: int) -> DataFrame:
-        """(qid) of queries without a term in top_k passages, or with a negative weight; the others have top_k
-        passages above 0 for sure, and for them nothing more is read."""
-        asked = queries.select("qid", F.explode_outer(tokenize("query")).alias("term")).distinct()
-        found = asked.join(self.terms(), "term", "left").groupBy("qid").agg(F.max("df").alias("df"), F.min("idf").alias("idf"))
-        return found.where(~F.coalesce((F.col("df") >= top_k) & (F.col("idf") > 0), F.lit(False))).select("qid")
+        """(qid, pos, score) of every passage that shares a term with a query."""
+        asked = self._ask(queries)
+        return Bm25Index._scores(self, asked, 0)
 
-    def _unmatched(self, short: DataFrame, scores: DataFrame, top_k: int) -> DataFrame:
+    def _unmatched(self, short: DataFrame, scores: DataFrame, n: int, top_k: int) -> DataFrame:
         """(qid, pos) of the first top_k passages, by position, without a match for each short query.
 
         Only the head of the passages is read for it, a longer one while some query lacks passages.
         """
-        n, head = self.stats().first()["n"], max(1024, 8 * top_k)
-        queries, matched = short.count(), scores.join(small(short, short.count()), "qid", "left_semi").select("qid", "pos")
+        head, queries = max(1024, 8 * top_k), short.count()
+        matched = scores.join(small(short, queries), "qid", "left_semi").select("qid", "pos")
         while True:
             first = self.passages.select("pos").orderBy("pos").limit(head)
             free = first.crossJoin(small(short, queries)).join(matched, ["qid", "pos"], "left_anti")
@@ -131,11 +180,11 @@ class Bm25Index:
 
     def top(self, queries: DataFrame, top_k: int = 5, pad: bool = True) -> DataFrame:
         """(qid, pos, score, rank). With pad, passages without a match (score 0) compete too, by position."""
-        scores = self.scores(queries)
-        if pad:
-            short = self._may_need_padding(queries, top_k)
-            if not short.isEmpty():
-                scores = scores.unionByName(self._unmatched(short, scores, top_k).withColumn("score", F.lit(0.0)))
+        asked = self._ask(queries)
+        scores = self._scores(asked, top_k)
+        if pad and not (short := asked.may_need_padding(top_k)).isEmpty():
+            scores = stored(scores, "scores")
+            scores = scores.unionByName(self._unmatched(short, scores, asked.n, top_k).withColumn("score", F.lit(0.0)))
         nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pos"))
         return scores.withColumn("rank", nth).where(F.col("rank") <= top_k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as sp
 from ..functions import text as tx
-from ..operators import context, corpus, diagnostics, evaluation, late, retrieval, scoring, selection, trajectories
+from ..operators import blocks, context, corpus, diagnostics, evaluation, late, retrieval, scoring, selection, trajectories
 from ..session import new_folder
 from ..sources import jsonl
 from . import prompts
@@ -92,6 +92,13 @@ def bm25_context(spark, sf):
     return hits.select("qid", F.md5(tx.context_string("title", "text", 500)).alias("context_md5"))
 
 
+def bm25_pruned(spark, sf):
+    """The hits of the block index, with the number of blocks that have a term of the query, and of those whose postings were scored."""
+    index = blocks.BlockIndex.build(_passages(spark, sf), new_folder(spark, "blocks"), span=8, buckets=8)
+    hits, counts = index.search_with_counts(_asked(spark, sf), 5)
+    return hits.join(counts, "qid").select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "blocks", "blocks_read")
+
+
 def dense_topk(spark, sf):
     vectors = _t(spark, sf, "embeddings").where("embedding is not null")
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
@@ -542,17 +549,18 @@ def all_texts(spark, sf):
 
 
 def inject_bm25(spark, sf):
-    """Results for the queries of transcripts, by BM25 over documents."""
+    """Results for the queries of transcripts, by BM25 over documents; the block index, as queries grow with passages."""
     rows = _traj(spark, sf)
     bodies = rows.select("id", F.regexp_replace("text", r"(?s)\n<results>.*?</results>", "").alias("text"))
-    done = trajectories.inject_search_results(bodies, retrieval.Bm25Index(_passages(spark, sf)), 5)
+    index = blocks.BlockIndex.build(_passages(spark, sf), new_folder(spark, "blocks"), span=64, buckets=16)
+    done = trajectories.inject_search_results(bodies, index, 5)
     return done.select("id", F.size("search_records").cast("long").alias("n_records"), F.md5(F.array_join(F.flatten(F.transform("search_records", lambda r: r["doc_ids"])), ",")).alias("docs_md5"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_corpus_stats, bm25_terms, bm25_context, dense_topk, late_topk, late_reconstruction, late_quantized, tokenize, normalize_answer, extract_answer, exact_match, token_f1, eval_rows, eval_summary, traj_spans,
+        bm25_topk, bm25_corpus_stats, bm25_terms, bm25_context, bm25_pruned, dense_topk, late_topk, late_reconstruction, late_quantized, tokenize, normalize_answer, extract_answer, exact_match, token_f1, eval_rows, eval_summary, traj_spans,
         traj_spans_extended, span_char_share, token_types, vocab_rank, token_table, context_students, context_tokens, context_rsr, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
         select_correct, select_mmr, select_by_method, corpus_passages, corpus_filtered, qa_unified, split_counts, distinct_titles, tsv_collection, transcripts, gen_summary, gate,
         retry_pick, fan_out, assemble_steps, inject_results, search_prompt, sft_format, grid, spearman, seed_mean_std, student_divergence, best_alpha, k_subsets, boundary_shift,

@@ -201,6 +201,13 @@ nth AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc
     "bm25_corpus_stats": f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "bm25_terms": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_context": f"WITH {BM25} SELECT qid, md5('[' || title || '] ' || substring(text, 1, 500)) AS context_md5 FROM hits JOIN passages USING (pos) WHERE rank = 1",
+    "bm25_pruned": f"""WITH {BM25}, blocks AS (SELECT term, pos // 8 AS range, max(tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avgdl))) AS best FROM post, stats GROUP BY ALL),
+bounds AS (SELECT qid, range, round(sum(qtf * greatest(idf * best, 0)), 6) AS bound, count(*) AS blocks FROM asked JOIN blocks USING (term) JOIN terms USING (term) GROUP BY qid, range),
+nth AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bound DESC, range) AS nth FROM bounds),
+least AS (SELECT qid, score AS least FROM (SELECT s.qid, s.score, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC) AS k FROM summed s JOIN nth n ON n.qid = s.qid AND n.range = s.pos // 8 AND n.nth <= 8) WHERE k = 5),
+sure AS (SELECT qid FROM asked LEFT JOIN terms USING (term) GROUP BY qid HAVING max(df) >= 5 AND min(idf) > 0),
+counts AS (SELECT n.qid, sum(blocks)::BIGINT AS blocks, sum(blocks) FILTER (WHERE nth <= 8 OR least IS NULL OR bound + 3e-6 >= least OR n.qid NOT IN (SELECT qid FROM sure))::BIGINT AS blocks_read FROM nth n LEFT JOIN least USING (qid) GROUP BY n.qid)
+SELECT qid, rank, pos::VARCHAR AS doc_id, score, blocks, blocks_read FROM hits JOIN counts USING (qid) WHERE rank <= 5""",
     "dense_topk": """WITH pairs AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))), 5) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM pairs) SELECT qid, rank, doc_id, score FROM ranked WHERE rank <= 5""",
     "tokenize": f"SELECT doc_id, len({tok('text')}) AS n_tokens, md5(array_to_string({tok('text')}, ' ')) AS tokens_md5 FROM documents",
