@@ -9,7 +9,8 @@ from ..functions import spans as sp
 from ..functions import text as tx
 from ..operators import blocks, context, corpus, diagnostics, evaluation, late, retrieval, scoring, selection, trajectories
 from ..session import new_folder
-from ..sources import jsonl
+from ..sources import jsonl, schemas
+from ..streaming import transcripts as stream
 from . import prompts
 
 
@@ -411,8 +412,9 @@ def sft_format(spark, sf):
 
 
 def grid(spark, sf):
-    one = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    return diagnostics.experiment_grid(one("condition", ["random", "correctness", "vanilla_rsr", "sd_rsr", "topocurate", "sd_rsr_gen"], "string"), one("student", ["8b", "4b"], "string"), one("seed", [42, 123], "long"))
+    """Every condition (source) with every student (language) and seed (label)."""
+    docs, seeds = _t(spark, sf, "documents"), _t(spark, sf, "embeddings").select(F.col("label").cast("long").alias("seed")).distinct()
+    return diagnostics.experiment_grid(docs.select(F.col("source").alias("condition")).distinct(), docs.select(F.col("lang").alias("student")).distinct(), seeds)
 
 
 def spearman(spark, sf):
@@ -515,6 +517,90 @@ def dense_loaded(spark, sf):
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "title", F.md5("text").alias("text_md5"), "score")
 
 
+def jsonl_quarantine(spark, sf):
+    """Files in which every seventh line is cut off: good rows and damaged lines, with their places."""
+    path = new_folder(spark, "damaged")
+    whole = F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question")))
+    line = F.when(F.col("item_id") % 7 == 3, F.concat(F.lit('{"id": "'), F.col("item_id"), F.lit('", "question'))).otherwise(whole)
+    _t(spark, sf, "benchmark").repartitionByRange(3, "item_id").sortWithinPartitions("item_id").select(line.alias("value")).write.text(path)
+    good, damaged = jsonl.read_checked(spark, path, "id string, question string")
+    return good.select("pos", "id", F.md5("question").alias("text_md5"), F.lit(False).alias("damaged")).unionByName(damaged.select("pos", F.lit(None).cast("string").alias("id"), F.md5("line").alias("text_md5"), F.lit(True).alias("damaged")))
+
+
+def jsonl_glob(spark, sf):
+    """Files by name: those of each language are read as one table, with the stem of their name; others aren't."""
+    folder, docs = new_folder(spark, "globbed"), _t(spark, sf, "documents").select("doc_id", "text", "lang")
+    for lang in ("en", "de"):
+        jsonl.write_jsonl(docs.where(F.col("lang") == lang).drop("lang"), f"{folder}/{lang}_train.jsonl")
+    jsonl.write_jsonl(docs.where("lang = 'fr'").drop("lang"), f"{folder}/fr_dev.jsonl")
+    rows = jsonl.read_glob(spark, folder, "doc_id long, text string")
+    return rows.groupBy("file").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars"), (F.max("pos") - F.min("pos") + 1).alias("places"))
+
+
+def qa_partitioned(spark, sf):
+    """Questions written by dataset and split; then one split is written again, otherwise, and the rest stays."""
+    path = new_folder(spark, "qa")
+    jsonl.write_partitions(_qa(spark, sf), path, ["dataset", "split"])
+    again = _qa(spark, sf).where("dataset = 'musique' and split = 'validation'").withColumn("answer", F.concat(F.lit("again: "), F.coalesce("answer", F.lit(""))))
+    jsonl.write_partitions(again, path, ["dataset", "split"])
+    back = spark.read.schema(schemas.QA).json(path)
+    return back.select("id", "answer", F.size("supporting_facts").cast("long").alias("n_facts"), "dataset", "split")
+
+
+def write_counters(spark, sf):
+    """What a write of transcripts counted while it ran."""
+    ok = trajectories.valid()
+    counts = {"total": F.count(F.lit(1)), "valid": F.count_if(ok), "has_answer": F.count_if(ok & F.col("text").contains("Answer:")), "incomplete": F.count_if("incomplete")}
+    seen = jsonl.write_counted(_traj(spark, sf).select("id", "dataset", "text", "num_search_steps", "incomplete"), new_folder(spark, "counted"), counts, ["dataset"])
+    return spark.createDataFrame([seen], "total long, valid long, has_answer long, incomplete long")
+
+
+def _arriving(spark, sf):
+    """Transcripts as files that come in two parts, with what to do when each has come; returns the folder of results."""
+    folder, rows = new_folder(spark, "arriving"), _traj(spark, sf).select("id", "dataset", "text", "num_search_steps", "incomplete", "pos")
+    for part in range(2):
+        rows.where(F.col("pos") % 2 == part).drop("pos").repartition(2).write.mode("append").json(f"{folder}/in")
+        new = lambda: stream.read_stream(spark, f"{folder}/in", 1)
+        stream.append_once(stream.annotate(new()), f"{folder}/rows", f"{folder}/cp-rows").awaitTermination()
+        stream.summarize(new(), f"{folder}/summary", f"{folder}/cp-summary").awaitTermination()
+    return folder
+
+
+def stream_transcripts(spark, sf):
+    """Transcripts annotated by a stream, in numbered batches of a file each."""
+    rows = spark.read.schema("id string, answer string, valid boolean, span_share double, batch long").json(f"{_arriving(spark, sf)}/rows")
+    return rows.select("id", "answer", "valid", _r6("span_share").alias("span_share"))
+
+
+def stream_summary(spark, sf):
+    """The summary that a stream keeps while transcripts come."""
+    return spark.read.parquet(f"{_arriving(spark, sf)}/summary")
+
+
+def context_corpus(spark, sf):
+    """A corpus of the contexts of two sources: documents as contexts of two titles, turns as contexts of one."""
+    lines = F.split("text", "\n")
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.struct(F.array("source", "lang").alias("title"), F.array(lines, F.slice(lines, 1, 2)).alias("sentences")).alias("context"))
+    turns = _t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.struct(F.array("role").alias("title"), F.array(F.array("text")).alias("sentences")).alias("context"))
+    both = [corpus.context_passages(d).select("title", "text", F.struct(F.lit(i).alias("source"), "pos.pos", "pos.i").alias("pos")) for i, d in enumerate((docs, turns))]
+    return corpus.build_corpus(both[0].unionByName(both[1])).select("id", "title", F.md5("text").alias("text_md5"))
+
+
+def custom_spans(spark, sf):
+    """Spans by other marks: result blocks, and lines that begin an answer."""
+    spans = sp.decision_spans("text", "<results>", "</results>", ["Answer:"])
+    rows = _traj(spark, sf).select(F.col("id").alias("traj_id"), F.explode(spans).alias("x"))
+    return rows.select("traj_id", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"))
+
+
+def eval_missing(spark, sf):
+    """A summary in which every third prediction is missing."""
+    rows = _traj(spark, sf)
+    gold = rows.select("id", F.col("question_id").alias("question"), "answer", "dataset")
+    out = evaluation.evaluate(rows.where("pos % 3 <> 1").select("id", "text"), gold).join(gold.select("id", "dataset"), "id")
+    return evaluation.summarize(out, "dataset").select("dataset", _r6("em").alias("em"), _r6("f1").alias("f1"), "n", "missing")
+
+
 def gen_counters(spark, sf):
     t = _t(spark, sf, "conversations")
     attempts = t.select(F.col("conv_id").alias("question_id"), F.lit(0).alias("trajectory_idx"), F.col("turn").alias("attempt"), F.when((F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0), 1).otherwise(0).alias("num_search_steps"))
@@ -564,6 +650,6 @@ QUERIES = {
         traj_spans_extended, span_char_share, token_types, vocab_rank, token_table, context_students, context_tokens, context_rsr, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
         select_correct, select_mmr, select_by_method, corpus_passages, corpus_filtered, qa_unified, split_counts, distinct_titles, tsv_collection, transcripts, gen_summary, gate,
         retry_pick, fan_out, assemble_steps, inject_results, search_prompt, sft_format, grid, spearman, seed_mean_std, student_divergence, best_alpha, k_subsets, boundary_shift,
-        boundary_rescore, subset_correlation, jsonl_questions, jsonl_limit, jsonl_best_effort, jsonl_partitioned, bm25_loaded, dense_loaded, gen_counters, gen_report, logit_students, token_cut, all_texts, inject_bm25,
+        boundary_rescore, subset_correlation, jsonl_questions, jsonl_limit, jsonl_best_effort, jsonl_partitioned, jsonl_quarantine, jsonl_glob, qa_partitioned, write_counters, stream_transcripts, stream_summary, context_corpus, custom_spans, eval_missing, bm25_loaded, dense_loaded, gen_counters, gen_report, logit_students, token_cut, all_texts, inject_bm25,
     )
 }

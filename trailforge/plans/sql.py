@@ -136,11 +136,12 @@ selectable AS (SELECT q.id, q.pos, q.dataset, l.quality = 1 AS answer_correct, q
   FROM q LEFT JOIN labels l ON l.doc_id = q.pos),
 structural AS (SELECT *, round(0.25 * least(num_search_steps / 5.0::DOUBLE, 1.0) + 0.25 * CASE WHEN num_queries > 0 THEN num_unique_queries::DOUBLE / num_queries ELSE 0.0 END + 0.30 * evidence_coverage + 0.20 * has_query_refinement::INT, 6) AS score FROM selectable)"""
 
-BM25 = f"""passages AS (SELECT doc_id AS pos, source AS title, text, {tok("source || ' ' || text")} AS toks FROM documents),
+INDEX = f"""passages AS (SELECT doc_id AS pos, source AS title, text, {tok("source || ' ' || text")} AS toks FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM passages),
 post AS (SELECT pos, dl, term, count(*) AS tf FROM (SELECT pos, len(toks) AS dl, unnest(toks) AS term FROM passages) GROUP BY ALL),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, stats GROUP BY term),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+BM25 = f"""{INDEX},
 asked AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({tok('text')}) AS term FROM benchmark) GROUP BY ALL),
 summed AS (SELECT qid, pos, round(sum(qtf * idf * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN terms USING (term), stats GROUP BY qid, pos),
 hits AS (SELECT qid, pos, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS rank FROM summed)"""
@@ -198,8 +199,8 @@ near AS (SELECT qid, doc_id, sum(s) AS s FROM (SELECT qid, pos, doc_id, max(s) A
 total AS (SELECT qid, doc_id, round(sum(s), 5) AS score FROM (SELECT n.qid, q.pos, n.doc_id, max(list_dot_product(q.v, e.v)) AS s FROM near n JOIN q USING (qid) JOIN e ON e.doc_id = n.doc_id GROUP BY ALL) GROUP BY ALL),
 nth AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM total) SELECT nth.*, share FROM nth JOIN share USING (qid) WHERE rank <= 5""",
     "bm25_topk": f"WITH {BM25} SELECT qid, rank, pos::VARCHAR AS doc_id, title, md5(text) AS text_md5, score FROM hits JOIN passages USING (pos) WHERE rank <= 5",
-    "bm25_corpus_stats": f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
-    "bm25_terms": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "bm25_corpus_stats": f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
+    "bm25_terms": f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_context": f"WITH {BM25} SELECT qid, md5('[' || title || '] ' || substring(text, 1, 500)) AS context_md5 FROM hits JOIN passages USING (pos) WHERE rank = 1",
     "bm25_pruned": f"""WITH {BM25}, blocks AS (SELECT term, pos // 8 AS range, max(tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avgdl))) AS best FROM post, stats GROUP BY ALL),
 bounds AS (SELECT qid, range, round(sum(qtf * greatest(idf * best, 0)), 6) AS bound, count(*) AS blocks FROM asked JOIN blocks USING (term) JOIN terms USING (term) GROUP BY qid, range),
@@ -269,7 +270,7 @@ parts AS (SELECT b.id, regexp_split_to_array(b.text, '(?s)<search>.*?</search>')
 SELECT id, md5(array_to_string(list_transform(range(1, len(p) + 1), lambda k: p[k] || coalesce(blocks[k], '')), '')) AS text_md5, len(blocks) AS n_records, md5(docs) AS docs_md5 FROM parts""",
     "search_prompt": f"SELECT item_id, 6::BIGINT AS n_messages, '{PREFIX}' || text AS last FROM benchmark",
     "sft_format": f"WITH {TRAJ} SELECT id, md5('<|im_start|>user\n{PREFIX}' || question_id || '<|im_end|>\n<|im_start|>assistant\n' || text || '<|im_end|>\n') AS text_md5 FROM traj",
-    "grid": "SELECT * FROM (SELECT unnest(['random', 'correctness', 'vanilla_rsr', 'sd_rsr', 'topocurate', 'sd_rsr_gen']) AS condition), (SELECT unnest(['8b', '4b']) AS student), (SELECT unnest([42, 123])::BIGINT AS seed)",
+    "grid": "SELECT * FROM (SELECT DISTINCT source AS condition FROM documents), (SELECT DISTINCT lang AS student FROM documents), (SELECT DISTINCT label::BIGINT AS seed FROM embeddings)",
     "spearman": f"""WITH {SCORES}, f AS (SELECT student, round(rsr_full, 6) AS x, num_tokens AS y FROM scores WHERE NOT isinf(rsr_full)),
 r AS (SELECT student, rank() OVER (PARTITION BY student ORDER BY x) + (count(*) OVER (PARTITION BY student, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY student ORDER BY y) + (count(*) OVER (PARTITION BY student, y) - 1) / 2.0::DOUBLE AS ry FROM f),
 c AS (SELECT student, count(*) AS n, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) END AS rho FROM r GROUP BY student)
@@ -295,6 +296,22 @@ GROUP BY s.student, ('0x' || substring(md5('42:' || s.traj_id), 1, 7))::BIGINT %
     "bm25_loaded": f"WITH {BM25} SELECT qid, rank, pos::VARCHAR AS doc_id, score FROM hits WHERE rank <= 5",
     "dense_loaded": """WITH pairs AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))), 5) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM pairs) SELECT r.qid, r.rank, r.doc_id, coalesce(d.source, '') AS title, md5(coalesce(d.text, '')) AS text_md5, r.score FROM ranked r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 5""",
+    "jsonl_quarantine": """SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, CASE WHEN item_id % 7 <> 3 THEN item_id::VARCHAR END AS id, md5(CASE WHEN item_id % 7 = 3 THEN '{"id": "' || item_id || '", "question' ELSE text END) AS text_md5, item_id % 7 = 3 AS damaged FROM benchmark""",
+    "jsonl_glob": "SELECT lang || '_train' AS file, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS chars, count(*) AS places FROM documents WHERE lang IN ('en', 'de') GROUP BY lang",
+    "qa_partitioned": f"WITH {QA} SELECT id, CASE WHEN dataset = 'musique' AND split = 'validation' THEN 'again: ' || coalesce(answer, '') ELSE answer END AS answer, len(facts) AS n_facts, dataset, split FROM unified",
+    "write_counters": f"WITH {SUMMARY} SELECT sum(total)::BIGINT AS total, sum(valid)::BIGINT AS valid, sum(has_answer)::BIGINT AS has_answer, sum(incomplete)::BIGINT AS incomplete FROM summary",
+    "stream_transcripts": f"""WITH {SPANS}, n AS (SELECT id, sum(e - s) AS n FROM spans GROUP BY id)
+SELECT t.id, {extract('text')} AS answer, NOT incomplete AND num_search_steps > 0 AS valid, round(coalesce(n, 0)::DOUBLE / length(text), 6) AS span_share FROM traj t LEFT JOIN n ON n.id = t.id""",
+    "stream_summary": f"WITH {SUMMARY} SELECT * FROM summary",
+    "context_corpus": """WITH d AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS l FROM documents),
+p AS (SELECT source AS title, array_to_string(l, ' ') AS text, (0, doc_id, 0) AS pos FROM d UNION ALL SELECT lang, array_to_string(l[1:2], ' '), (0, doc_id, 1) FROM d UNION ALL SELECT role, text, (1, conv_id * 1000 + turn, 0) FROM conversations),
+firsts AS (SELECT title, text, min(pos) AS pos FROM p WHERE text <> '' GROUP BY title, text)
+SELECT title || '_' || (row_number() OVER (PARTITION BY title ORDER BY pos) - 1) AS id, title, md5(text) AS text_md5 FROM firsts""",
+    "custom_spans": f"""WITH {TRAJ}, blocks AS {spans_of('(?s)<results>.*?</results>', 'traj')}, marks AS {spans_of('Answer:', 'traj')}
+SELECT id AS traj_id, s::BIGINT AS s, e::BIGINT AS e FROM blocks UNION ALL SELECT id, s::BIGINT, e::BIGINT FROM marks k WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.id = k.id AND b.s <= k.s AND k.e <= b.e)""",
+    "eval_missing": f"""WITH {TRAJ}, pairs AS (SELECT *, pos % 3 = 1 AS missing, CASE WHEN pos % 3 = 1 THEN '' ELSE {extract('text')} END AS prediction FROM traj),
+normed AS (SELECT *, {normal('prediction')} AS np, {normal('answer')} AS ng FROM pairs), lists AS (SELECT *, {words('np')} AS p, {words('ng')} AS g FROM normed)
+SELECT dataset, round(avg(CASE WHEN np = ng THEN 1.0 ELSE 0.0 END), 6) AS em, round(avg(({f1('p', 'g')})::DOUBLE), 6) AS f1, count(*) AS n, count(*) FILTER (WHERE missing) AS missing FROM lists GROUP BY dataset""",
     "gen_counters": """WITH a AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, CASE WHEN n > 0 THEN turn ELSE -turn END) AS nth FROM a)
 SELECT 'ds' || (conv_id % 3) AS dataset, sum(turn)::BIGINT AS total_retries, count(*) FILTER (WHERE n = 0) AS no_search_after_retries FROM r WHERE nth = 1 GROUP BY conv_id % 3""",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tsv_safe
 from ..operators import corpus
 from ..operators.ordering import numbered
+from ..session import stored
 from . import schemas
 
 REGISTRY = {
@@ -49,6 +50,16 @@ def with_pos(rows: DataFrame, file_pattern: str | None = None) -> DataFrame:
     return placed.drop("__file", "__block", "__at", "__shift")
 
 
+def read_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows with pos, damaged lines: pos, file, line) of JSON Lines files, read once.
+
+    A damaged line isn't JSON, or has a value that its column can't hold; its place counts in pos.
+    """
+    rows = spark.read.schema(f"{schema}, _damaged string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_damaged").json(path)
+    rows = stored(with_pos(rows, r"([^/]+)$"), "checked")
+    return rows.where("_damaged is null").drop("_damaged", "file"), rows.where("_damaged is not null").select("pos", "file", F.col("_damaged").alias("line"))
+
+
 def load_questions(spark: SparkSession, path: str, max_questions: int | None = None) -> DataFrame:
     """(pos, id, question, answer); the answer defaults to an empty text. A limit of 0 gives one row, as the format's reader does."""
     rows = read_jsonl(spark, path, "id string, question string, answer string", None if max_questions is None else max(1, max_questions))
@@ -76,11 +87,10 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_glob(spark: SparkSession, folder: str, schema: str, pattern: str = "*_train.jsonl") -> DataFrame:
-    """All files of a folder that match; an error if there are none."""
+    """All files of a folder (or folders of part files) that match, with the stem of their name; an error if there are none."""
     if not exists(spark, f"{folder}/{pattern}"):
         raise FileNotFoundError(f"{folder}/{pattern}")
-    rows = spark.read.schema(schema).option("pathGlobFilter", pattern).json(folder)
-    return with_pos(rows, r"([^/]+)\.jsonl$")
+    return with_pos(spark.read.schema(schema).json(f"{folder}/{pattern}"), r"([^/]+)\.jsonl(?:/[^/]+)?$")
 
 
 def convert_dataset(spark: SparkSession, name: str, paths: dict[str, str], max_samples: int | None = None) -> DataFrame:
@@ -105,11 +115,12 @@ def availability(spark: SparkSession, files: dict[str, str]) -> DataFrame:
 
 
 def named(rows: DataFrame, names: str, column: str = "dataset") -> DataFrame:
-    """Rows of the datasets in a list separated by commas; an error if the list names none."""
+    """Rows of the datasets in a list separated by commas; an error if there are none of any of its names."""
     wanted = [n.strip() for n in names.split(",") if n.strip()]
-    if not wanted:
-        raise ValueError("no dataset named")
-    return rows.where(F.col(column).isin(wanted))
+    found = rows.where(F.col(column).isin(wanted))
+    if not wanted or found.isEmpty():
+        raise ValueError(f"no dataset of {names!r}")
+    return found
 
 
 def write_jsonl(rows: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
@@ -117,6 +128,20 @@ def write_jsonl(rows: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
+def write_counted(rows: DataFrame, path: str, counts: dict[str, Column], partition_by: list[str] | None = None, mode: str = "errorifexists") -> dict:
+    """Write JSON Lines; returns aggregates of the rows, taken from the write itself."""
+    seen = Observation()
+    write_jsonl(rows.observe(seen, *(c.alias(n) for n, c in counts.items())), path, partition_by, mode)
+    return seen.get
+
+
+def write_partitions(rows: DataFrame, path: str, by: list[str], files: int = 1) -> None:
+    """Write JSON Lines into partitions of some columns, replacing those that rows have and no others; each has up to ``files`` files,
+    which their rows are dealt to by a hash (more for large ones)."""
+    part = [F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(files))] if files > 1 else []
+    rows.repartition(*by, *part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
+
+
 def collection_rows(passages: DataFrame) -> DataFrame:
     """(i, text) of a dense engine's collection: i numbers passages from 0 by pos."""
     places = numbered(passages.select("pos"), [], [F.asc("pos")], "i").withColumn("i", F.col("i") - 1)
