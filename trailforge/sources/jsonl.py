@@ -117,10 +117,9 @@ def availability(spark: SparkSession, files: dict[str, str]) -> DataFrame:
 def named(rows: DataFrame, names: str, column: str = "dataset") -> DataFrame:
     """Rows of the datasets in a list separated by commas; an error if there are none of any of its names."""
     wanted = [n.strip() for n in names.split(",") if n.strip()]
-    found = rows.where(F.col(column).isin(wanted))
-    if not wanted or found.isEmpty():
+    if not wanted or rows.where(F.col(column).isin(wanted)).isEmpty():
         raise ValueError(f"no dataset of {names!r}")
-    return found
+    return rows.where(F.col(column).isin(wanted))
 
 
 def write_jsonl(rows: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
