@@ -6,6 +6,7 @@ import io
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailforge.llm import ann, warc
 from trailforge.llm.common import scratch
@@ -107,14 +108,26 @@ def test_archives_round_trip(spark):
     assert warc.read_warc(warc.files_written(warc.write_warc(plan.limit(0), scratch(spark, "warc")))).count() == 0
 
 
+def test_a_file_with_other_records_than_were_written_is_refused(spark):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    files = warc.files_written(warc.write_warc(warc.plan_revisits(df).coalesce(1), scratch(spark, "warc")))
+    assert warc.read_warc(files).count() == 5 == warc.read_warc(files.select("path")).count()
+    for n in (4, 6):
+        with pytest.raises(Exception, match="records, not"):
+            warc.read_warc(files.withColumn("records", F.lit(n).cast("long"))).collect()
+
+
 def test_reader_takes_members_one_by_one():
     data = [warc.record(i, "u", b"p" * i, hashlib.sha1(b"p" * i).hexdigest(), None, False) for i in range(5)]
     packed = b"".join(map(warc.member, data))
     assert gzip.decompress(packed) == b"".join(data)
     for chunk in (1, 7, 1 << 16):
         assert list(warc.members(io.BytesIO(packed), chunk)) == data
-    with pytest.raises(warc.WarcError):
-        list(warc.members(io.BytesIO(packed[:-9])))
+    last = len(packed) - len(warc.member(data[-1]))
+    assert list(warc.members(io.BytesIO(packed[:last]))) == data[:-1]
+    for cut in range(last + 1, len(packed)):  # at any byte of the last member but its end
+        with pytest.raises(warc.WarcError):
+            list(warc.members(io.BytesIO(packed[:cut])))
     with pytest.raises(warc.WarcError):
         warc.parse(data[3].replace(b"ppp", b"ppq"))
     with pytest.raises(warc.WarcError):

@@ -9,7 +9,9 @@ renamed when complete, so a repeated task replaces its own file.
 Defined results: a null payload is empty; of records with equal payloads of at
 least ``revisit_bytes`` bytes those with the largest identifier are responses
 (all of them, where rows repeat); null identifiers are written as such and are
-never the largest unless all are null; a damaged record makes the reader fail.
+never the largest unless all are null; ties don't occur otherwise. A damaged record, one that is cut short anywhere, or a file with fewer or more records than
+were written makes the reader fail. An empty table gives no files and no records. A payload is held whole in memory by the task that writes or
+reads its record, however long. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -67,12 +69,12 @@ def members(source, chunk: int = 1 << 16) -> Iterator[bytes]:
     """The unpacked members of a gzip file, one at a time, read chunk by chunk."""
     z, parts, rest = zlib.decompressobj(31), [], b""
     while data := rest or source.read(chunk):
-        parts.append(z.decompress(data))
+        parts.append(z.decompress(data))  # a part may be empty: a member's first bytes give nothing yet
         rest = z.unused_data
         if z.eof:
             yield b"".join(parts)
             z, parts = zlib.decompressobj(31), []
-    if any(parts):
+    if parts:
         raise WarcError("the last record is cut short")
 
 
@@ -164,7 +166,7 @@ def write_warc(plan: DataFrame, folder: str, max_bytes: int = 1 << 30) -> DataFr
 
 
 def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
-    """Read archives (column path) record by record, verifying lengths and digests.
+    """Read archives (column path) record by record, verifying lengths and digests, and their number where files has a column records.
 
     Without payloads that column is null; the records are read and verified all the same.
     """
@@ -174,12 +176,12 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
 
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.large_binary())])
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, written in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 fs, where = open_fs(path)
-                rows, held = [], 0
+                rows, held, n = [], 0, 0
                 with fs.open_input_stream(where, compression=None) as source:
                     for data in members(source):
-                        r = parse(data)
+                        r, n = parse(data), n + 1
                         rows.append((_page(r["warc"]["warc-record-id"]), r["payload_bytes"], r["digest"], r["warc"]["warc-type"], _page(r["warc"]["warc-refers-to"]) if r["revisit"] else None, r["warc"]["warc-target-uri"], r["payload"] if payloads and not r["revisit"] else None))
                         held += len(r["payload"]) * payloads
                         if len(rows) >= 1000 or held > 16 << 20:
@@ -187,8 +189,11 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                if written is not None and n != written:
+                    raise WarcError(f"{path} has {n} records, not {written}")
 
-    return files.select("path").mapInArrow(tidily(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    told = F.col("records") if "records" in files.columns else F.lit(None).cast("long").alias("records")
+    return files.select("path", told).mapInArrow(tidily(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def files_written(written: DataFrame) -> DataFrame:
