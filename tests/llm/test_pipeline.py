@@ -42,6 +42,21 @@ def test_stages(spark, tables):
     assert seen[3] == seen[2]
 
 
+def test_stages_carry_columns_of_any_name(spark, tables, tmp_path):
+    folder, rows, _ = tables
+    names = ["__nth", "a.b", "_metadata", "__row", "__key", "`x`", "slab", "rules", "__slot", "kept"]
+    docs = spark.createDataFrame([(*r, *(f"{n} {r[0]}" for n in names)) for r in rows if r[0] < 40 or r[0] >= 200], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    stages = corpus_pipeline.STAGES
+    for i, (name, stage) in enumerate(stages):
+        docs = stage(spark, docs, folder)
+        if i + 1 < len(stages):
+            assert docs.columns[5:] == names, name
+            docs.write.parquet(f"{tmp_path}/{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{i}")
+            assert all(list(r[5:]) == [f"{n} {r.doc_id}" for n in names] for r in docs.collect()), name
+    assert {r.doc_id for r in docs.collect()} == {*range(40), 210, 211, 212}
+
+
 def test_run_packs_what_is_left(spark, tables):
     out = corpus_pipeline.run(spark, tables[0]).collect()
     assert {r.doc_id for r in out} == {r[0] for r in tables[1]} - {200, 201, 202, 203}
@@ -83,5 +98,5 @@ def test_sequences_follow_the_mix(spark, tmp_path):
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 13)} == {k.split("_")[0] + "_" for k in QUERIES if k.startswith("op")}
     assert "pipeline" in QUERIES and set(SQL) <= set(QUERIES)

@@ -111,10 +111,20 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def quoted(name: str) -> Column:
+    """A column of this very name, dots and all."""
+    return F.col("`{}`".format(name.replace("`", "``")))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs can clash."""
+    return F.struct(*map(quoted, docs.columns))
+
+
 def row_hash(docs: DataFrame) -> Column:
     """A hash of all columns; those that Spark can't hash (maps, at any depth) as JSON."""
     kinds = dict(docs.dtypes)
-    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c] or kinds[c] == "variant" else F.col(f"`{c}`") for c in docs.columns))
+    return F.xxhash64(*(F.to_json(F.struct(quoted(c))) if "map<" in kinds[c] or kinds[c] == "variant" else quoted(c) for c in docs.columns))
 
 
 def open_fs(uri: str):

@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, bound_batches, mix, pieces, row_hash, seeds, store, tables, tidily, word_hashes, words_of
+from .common import arrow_texts, bound_batches, mix, pieces, row_hash, seeds, store, tables, tidily, whole_row, word_hashes, words_of
 from .graph import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -365,8 +365,9 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     marked = near_duplicates(docs.select("doc_id", "text"), **how)
     lost = marked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(lost, "doc_id", "left_anti")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(row_hash(docs))
-    return kept.withColumn("__nth", F.row_number().over(same)).where((F.col("__nth") == 1) | F.col("doc_id").isNull()).drop("__nth")
+    rows = kept.select(whole_row(kept).alias("__row"), "doc_id", F.xxhash64("text").alias("__text"), row_hash(kept).alias("__hash"))
+    same = Window.partitionBy("doc_id", "__text").orderBy("__hash")
+    return rows.withColumn("__nth", F.row_number().over(same)).where((F.col("__nth") == 1) | F.col("doc_id").isNull()).select("__row.*")
 
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:

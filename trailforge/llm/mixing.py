@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_hash, store, tables
+from .common import row_hash, store, tables, whole_row
 
 
 def quantize(weights: list[float], period: int) -> list[int]:
@@ -164,7 +164,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     spark = docs.sparkSession
     new = ("__source_block", "__slot", "__in_block", "__phase")
     order = ("__key", "__doc", "__hash")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), source_key(F.col("source")).alias("__key"), F.col("doc_id").alias("__doc"), row_hash(docs).alias("__hash"))
+    rows = docs.select(whole_row(docs).alias("__row"), source_key(F.col("source")).alias("__key"), F.col("doc_id").alias("__doc"), row_hash(docs).alias("__hash"))
     rows = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("__row", "__key", F.monotonically_increasing_id().alias("__at")), "numbered")
     part = F.shiftright("__at", 33)
     parts = rows.groupBy("__key", part.alias("__part")).agg(F.min("__at").alias("__low"), F.count("*").alias("n"))
@@ -189,7 +189,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents in the order of the mix: partitions are ranges of it."""
-    rows = docs.select(F.struct(*docs.columns).alias("__all"), "doc_id", "source")
+    rows = docs.select(whole_row(docs).alias("__all"), "doc_id", "source")
     return mix_sources(rows, **how).repartitionByRange("__slot", "__in_block").sortWithinPartitions("__slot", "__in_block").select("__all.*")
 
 

@@ -84,12 +84,13 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def in_stored_order(docs: DataFrame) -> DataFrame:
-    """A table just read from files, with __at: a row's place in the order of the files' numbers, names and rows."""
-    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    files = docs.select(path.alias("__file"), row.alias("__row")).groupBy("__file").agg((F.max("__row") + 1).alias("n"))
+    """(doc_id, text, __at) of a table just read from files: a row's place in the order of the files' numbers, names and rows."""
+    place = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", place["file_path"].alias("__file"), place["row_index"].alias("__row"))
+    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("n"))
     number = F.expr(r"try_cast(regexp_extract(__file, '.*part-([0-9]+)', 1) AS bigint)")
     files = files.withColumn("__before", F.sum("n").over(Window.orderBy(number, "__file")) - F.col("n")).select("__file", "__before")
-    return docs.withColumns({"__file": path, "__row": row}).join(F.broadcast(files), "__file").withColumn("__at", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+    return rows.join(F.broadcast(files), "__file").select("doc_id", "text", (F.col("__before") + F.col("__row")).alias("__at"))
 
 
 def cut_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, keep_ids: bool = False, split: str | None = None, stored_order: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_batches, store, tables
+from .common import WORD, bound_batches, store, tables, whole_row
 
 CUTOFFS = (16.0, 12.0, 8.0, 6.0, 5.0, 4.0, 3.5, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.1, 1.0)
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, rules array<double>"
@@ -188,7 +188,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    marked = docs.select(F.struct(*docs.columns).alias("__row"), *(c for c in ("doc_id", "lang", "text")))
+    marked = docs.select(whole_row(docs).alias("__row"), *(c for c in ("doc_id", "lang", "text")))
     return quality_verdicts(marked, labels, **how).where("kept").select("__row.*")
 
 

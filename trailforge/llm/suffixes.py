@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _power_table, arrow_texts, bound_batches, mix, pieces, store, tables, text_or_empty, tidily
+from .common import _BYTE, _power_table, arrow_texts, bound_batches, mix, pieces, store, tables, text_or_empty, tidily, whole_row
 
 GRAM = 24
 _INDEX_BITS = 24
@@ -384,7 +384,7 @@ def _decoded(b: pd.Series) -> pd.Series:
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated strings cut out of text; characters that a cut leaves incomplete go too."""
-    marked = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    marked = docs.select(whole_row(docs).alias("__row"), "text")
     rows, changed = remove_repeats(marked, length)
 
     decode = F.pandas_udf(_decoded, "string")
