@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as sp
 from ..functions import text as tx
-from ..operators import blocks, context, corpus, diagnostics, evaluation, late, retrieval, scoring, selection, trajectories
+from ..operators import blocks, context, corpus, diagnostics, evaluation, late, retrieval, scoring, selection, subwords, trajectories
 from ..session import new_folder
 from ..sources import jsonl, schemas
 from ..streaming import transcripts as stream
@@ -207,6 +207,26 @@ def token_types(spark, sf):
     return rows.select("traj_id", F.col("pos").cast("long").alias("pos"), "token", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type")
 
 
+def _subwords(spark, sf, max_len=4096):
+    """Subword tokens of transcripts, by the public byte-level tokenizer, after a special token without width."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return subwords.subword_tokens(_traj(spark, sf).select(F.col("id").alias("traj_id"), "text"), path, max_len, begin=50256), path
+
+
+def subword_texts(spark, sf):
+    """Transcripts as their subword tokens say them, with the place where the last one ends."""
+    back = subwords.decoded(*_subwords(spark, sf, None))
+    return back.select("traj_id", F.md5("text").alias("text_md5"), F.col("last_end").cast("long").alias("chars"), "n_without_width")
+
+
+def subword_types(spark, sf):
+    """Subword tokens of each transcript by type, the first 4096 of each."""
+    typed = scoring.typed(_subwords(spark, sf)[0], _spans(spark, sf))
+    return typed.groupBy("traj_id", "type").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"), F.max("end").cast("long").alias("last_end"))
+
+
 # -- students and scores -------------------------------------------------------
 
 
@@ -647,7 +667,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_corpus_stats, bm25_terms, bm25_context, bm25_pruned, dense_topk, late_topk, late_reconstruction, late_quantized, tokenize, normalize_answer, extract_answer, exact_match, token_f1, eval_rows, eval_summary, traj_spans,
-        traj_spans_extended, span_char_share, token_types, vocab_rank, token_table, context_students, context_tokens, context_rsr, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
+        traj_spans_extended, span_char_share, token_types, subword_texts, subword_types, vocab_rank, token_table, context_students, context_tokens, context_rsr, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
         select_correct, select_mmr, select_by_method, corpus_passages, corpus_filtered, qa_unified, split_counts, distinct_titles, tsv_collection, transcripts, gen_summary, gate,
         retry_pick, fan_out, assemble_steps, inject_results, search_prompt, sft_format, grid, spearman, seed_mean_std, student_divergence, best_alpha, k_subsets, boundary_shift,
         boundary_rescore, subset_correlation, jsonl_questions, jsonl_limit, jsonl_best_effort, jsonl_partitioned, jsonl_quarantine, jsonl_glob, qa_partitioned, write_counters, stream_transcripts, stream_summary, context_corpus, custom_spans, eval_missing, bm25_loaded, dense_loaded, gen_counters, gen_report, logit_students, token_cut, all_texts, inject_bm25,

@@ -222,6 +222,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
     "traj_spans_extended": f"WITH {EXTENDED} SELECT id AS traj_id, s::BIGINT AS s, e::BIGINT AS e FROM spans UNION ALL SELECT id, s::BIGINT, e::BIGINT FROM meant",
     "span_char_share": f"WITH {SPANS} SELECT t.id, count(p.s) AS n_spans, round(coalesce(sum(p.e - p.s), 0)::DOUBLE / length(any_value(t.text)), 6) AS share FROM traj t LEFT JOIN spans p ON p.id = t.id GROUP BY t.id",
     "token_types": f'WITH {TOKENS} SELECT traj_id, pos, token, "start"::BIGINT AS "start", "end"::BIGINT AS "end", type FROM typed',
+    "subword_texts": f"WITH {TRAJ} SELECT id AS traj_id, md5(text) AS text_md5, length(text) AS chars, 1::BIGINT AS n_without_width FROM traj",
     "vocab_rank": f"WITH {VOCABULARY} SELECT student, token, c, rank, round(p, 9) AS p FROM vocabulary",
     "token_table": f"WITH {TABLE} SELECT traj_id, student, pos, rank::BIGINT AS rank, round(surprisal, 6) AS surprisal FROM scored",
     "context_students": f"WITH {CONTINUED} SELECT student, prev, total, n, round(mass, 9) AS mass FROM contexts",
