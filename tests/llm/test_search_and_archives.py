@@ -67,7 +67,7 @@ def test_a_slab_looks_at_a_part_of_its_vectors(clustered):
     x = rng.normal(size=(8000, 32))
     if clustered:
         x = rng.normal(size=(80, 32))[np.arange(8000) % 80] + 0.2 * x
-    slab = ann.Slab(x, 64, 32, 0.008, 128, 1024)
+    slab = ann.Slab(x, 64, 32, 0.008, 128)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = seen = 0
     for i in range(0, 8000, 100):
@@ -75,13 +75,22 @@ def test_a_slab_looks_at_a_part_of_its_vectors(clustered):
         hits += len(set(found.tolist()) & set(np.argsort(-(unit @ unit[i]))[:6].tolist()))
         seen += len(slab.candidates(x[i]))
     assert hits >= 0.9 * 6 * 80 and seen < 0.45 * 8000 * 80
+    assert len(slab.directions) < 0.1 * 8000  # what a query is projected on
+
+
+def test_a_small_slab_is_searched_by_its_forest():
+    rng = np.random.default_rng(2)
+    slab = ann.Slab(rng.normal(size=(400, 16)), 8, 32, 0.05, 4)
+    assert slab.depth == 4 and all(len(slab.candidates(q)) < 300 for q in slab.x[:20])
+    assert all(sorted(o.tolist()) == list(range(400)) for o in slab.order)
+    assert len(ann.Slab(slab.x[:32], 8, 32, 0.05, 1).candidates(slab.x[0])) == 32
 
 
 def test_ties_go_to_the_smaller_identifier(spark):
     """More vectors of one direction than are kept, spread over slabs."""
     rows = [(100 - i, [float(2**i), 0.0]) for i in range(40)] + [(500 + i, [1.0, float(i + 1)]) for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = ann.nearest(df, df.where("vec_id = 100"), 5, slab_rows=20, exact_rows=1000).orderBy("rank").collect()
+    got = ann.nearest(df, df.where("vec_id = 100"), 5, slab_rows=20).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [61, 62, 63, 64, 65] and all(r.score == 1.0 for r in got)
     clash = df.selectExpr("*", "1 AS slab", "2 AS block", "3 AS vkey", "4 AS ids", "5 AS first")
     assert [r.vec_id for r in ann.nearest(clash, clash.where("vec_id = 100")).orderBy("rank").collect()] == [61, 62, 63, 64, 65]

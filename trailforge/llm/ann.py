@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
 Distinct vectors are dealt into slabs of about ``slab_rows`` by a hash. Each slab has a forest of
-its own, fitted on all of its vectors: each node splits at the median of a random
+its own, fitted on all of its vectors: each node splits at the median of its level's random
 projection, down to leaves of about ``leaf_rows``. Queries go to every slab, in blocks. There a query
 walks all trees with one shared priority queue, ordered by the largest distance to a
 split it had to cross, and visits the ``probe_share`` nearest leaves (``least_probes`` at
@@ -16,8 +16,8 @@ vector that a third of all rows share is one row here.
 Defined results: null, zero or non-finite vectors, null identifiers, and
 vectors of another length than the most common one take no part; repeated equal
 rows count once; of equal scores the smaller identifier comes first; an empty table gives no rows; columns
-beyond vec_id and embedding are not read, so their names can't clash. In slabs of
-at most ``exact_rows`` vectors all are candidates, so small tables get exact results.
+beyond vec_id and embedding are not read, so their names can't clash. Every slab is searched by its forest, however small;
+one of at most ``leaf_rows`` vectors is a single leaf.
 """
 
 from __future__ import annotations
@@ -32,51 +32,45 @@ from pyspark.sql import functions as F
 from .common import bound_batches, store, tables, tidily
 
 
-def fit_forest(points: np.ndarray, trees: int, depth: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(projections, thresholds) of each tree, nodes in heap order; points are unit rows."""
+def fit_forest(points: np.ndarray, trees: int, depth: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(directions of the levels, thresholds of the nodes in heap order, leaf of each point) of each tree; points are unit rows.
+
+    The nodes of a level share one direction, so a query is projected once a level, not once a node; the directions of a tree are
+    orthogonal as far as there are dimensions.
+    """
     forest = []
     for t in range(trees):
-        rng = np.random.default_rng([seed, t])
-        nodes = (1 << depth) - 1
-        w = rng.standard_normal((nodes, points.shape[1])).astype(np.float32)
-        w /= np.linalg.norm(w, axis=1, keepdims=True)
-        b = np.zeros(nodes, np.float32)
+        w = np.random.default_rng([seed, t]).standard_normal((depth, points.shape[1]))
+        for i in range(0, depth, points.shape[1]):
+            w[i : i + points.shape[1]] = np.linalg.qr(w[i : i + points.shape[1]].T)[0].T
+        w = w.astype(np.float32)
+        along = points @ w.T
+        b = np.zeros((1 << depth) - 1, np.float32)
         where = np.zeros(len(points), np.int64)
         for level in range(depth):
-            first = (1 << level) - 1
-            p = np.einsum("ij,ij->i", points, w[where])
+            first, p = (1 << level) - 1, along[:, level]
             order = np.lexsort((p, where))
             cuts = np.searchsorted(where[order], np.arange(first, 2 * first + 2))
-            for node, lo, hi in zip(range(first, 2 * first + 1), cuts[:-1], cuts[1:], strict=True):
-                b[node] = p[order[(lo + hi) // 2]] if hi > lo else 0
+            full = np.flatnonzero(cuts[1:] > cuts[:-1])
+            b[first + full] = p[order[(cuts[full] + cuts[full + 1]) // 2]]
             where = 2 * where + 1 + (p >= b[where])
-        forest.append((w, b))
+        forest.append((w, b, where - ((1 << depth) - 1)))
     return forest
 
 
-def leaves_of(x: np.ndarray, forest, depth: int) -> np.ndarray:
-    """The leaf of each unit row in each tree."""
-    out = np.empty((len(forest), len(x)), np.int64)
-    for t, (w, b) in enumerate(forest):
-        node = np.zeros(len(x), np.int64)
-        for _ in range(depth):
-            node = 2 * node + 1 + (np.einsum("ij,ij->i", x, w[node]) >= b[node])
-        out[t] = node - ((1 << depth) - 1)
-    return out
-
-
-def probe(q: np.ndarray, forest, depth: int, probes: int) -> list[tuple[int, int]]:
-    """The (tree, leaf) pairs of one unit query, nearest first."""
+def probe(along: list[list[float]], thresholds: list[list[float]], depth: int, probes: int) -> list[tuple[int, int]]:
+    """The (tree, leaf) pairs of one query, nearest first, from its projections on the levels of each tree: margins are taken at the nodes it comes to."""
     inner = (1 << depth) - 1
-    margins = [w @ q - b for w, b in forest]
-    heap = [(0.0, t, 0) for t in range(len(forest))]
+    heap = [(0.0, t, 0, 0) for t in range(len(thresholds))]
     found: list[tuple[int, int]] = []
     while heap and len(found) < probes:
-        worst, t, node = heapq.heappop(heap)
+        worst, t, node, level = heapq.heappop(heap)
+        p, b = along[t], thresholds[t]
         while node < inner:
-            m = float(margins[t][node])
+            m = p[level] - b[node]
+            level += 1
             near, far = (2 * node + 2, 2 * node + 1) if m >= 0 else (2 * node + 1, 2 * node + 2)
-            heapq.heappush(heap, (max(worst, abs(m)), t, far))
+            heapq.heappush(heap, (max(worst, abs(m)), t, far, level))
             node = near
         found.append((t, node - inner))
     return found
@@ -109,24 +103,21 @@ def cosine_rows(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Slab:
     """The vectors of one slab and their forest."""
 
-    def __init__(self, x: np.ndarray, trees: int, leaf_rows: int, probe_share: float, least_probes: int, exact_rows: int):
-        self.x, self.exact = x, len(x) <= exact_rows
-        if self.exact:
-            return
-        unit = _unit(x)
-        self.depth = max(1, math.ceil(math.log2(len(x) / leaf_rows)))
-        self.forest = fit_forest(unit, trees, self.depth)
+    def __init__(self, x: np.ndarray, trees: int, leaf_rows: int, probe_share: float, least_probes: int):
+        self.x, unit = x, _unit(x)
+        self.depth = max(0, math.ceil(math.log2(len(x) / leaf_rows)))  # 0: one leaf of all vectors
+        forest = fit_forest(unit, trees, self.depth)
         self.probes = max(least_probes, math.ceil(probe_share * trees * (1 << self.depth)))
-        at = leaves_of(unit, self.forest, self.depth)
-        self.order = np.argsort(at, axis=1, kind="stable")
-        self.begin = [np.searchsorted(leaves[order], np.arange((1 << self.depth) + 1)) for leaves, order in zip(at, self.order, strict=True)]
+        self.directions = np.concatenate([w for w, _, _ in forest])
+        self.thresholds = [b.tolist() for _, b, _ in forest]
+        self.order = [np.argsort(leaf, kind="stable") for _, _, leaf in forest]
+        self.begin = [np.searchsorted(leaf[order], np.arange((1 << self.depth) + 1)) for (_, _, leaf), order in zip(forest, self.order, strict=True)]
 
     def candidates(self, q: np.ndarray) -> np.ndarray:
         """The numbers of the vectors in the leaves that the query visits."""
-        if self.exact:
-            return np.arange(len(self.x))
+        along = (self.directions @ _unit(q[None])[0]).reshape(len(self.order), self.depth).tolist()
         met = np.zeros(len(self.x), bool)
-        for t, leaf in probe(_unit(q[None])[0], self.forest, self.depth, self.probes):
+        for t, leaf in probe(along, self.thresholds, self.depth, self.probes):
             met[self.order[t][self.begin[t][leaf] : self.begin[t][leaf + 1]]] = True
         return np.flatnonzero(met)
 
@@ -141,7 +132,7 @@ class Slab:
         return own[top], s[top]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 64, leaf_rows: int = 32, probe_share: float = 0.008, least_probes: int = 128, exact_rows: int = 1024, slab_rows: int = 16_384, query_block: int = 20_000) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 64, leaf_rows: int = 32, probe_share: float = 0.008, least_probes: int = 128, slab_rows: int = 16_384, query_block: int = 20_000) -> DataFrame:
     """The k nearest of each query: query_id, rank, vec_id, score. Both tables have vec_id and embedding."""
     bound_batches(rows.sparkSession)
     named = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -167,7 +158,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 64, le
         if not len(x) or not len(y):
             return schema.empty_table()
         vkey, first, qkey = np.asarray(left.column("vkey")), np.asarray(left.column("first")), np.asarray(right.column("qkey"))
-        slab = Slab(x, trees, leaf_rows, probe_share, least_probes, exact_rows)
+        slab = Slab(x, trees, leaf_rows, probe_share, least_probes)
         found = [slab.best(q, k + 1, first) for q in y]
         columns = [np.repeat(qkey, [len(i) for i, _ in found]), vkey[np.concatenate([i for i, _ in found])], np.concatenate([s for _, s in found])]
         return pa.table([pa.array(c) for c in columns], schema=schema)
