@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailforge.llm import common, graph, lm, minhash, quality, suffixes
 from trailforge.llm.gru import Adam, Model, Shape
@@ -79,6 +80,35 @@ def test_crowded_buckets_are_finished_exactly(spark, edits, blocks):
     assert 20 < len({c for _, c in want.values()}) < 400 and got == want
 
 
+@pytest.mark.parametrize(("main", "others", "most"), [(30, 200, 20), (200, 30, 20), (5, 5, 20), (1, 60, 7), (90, 1, 7)])
+def test_each_pair_of_components_meets_in_one_block(spark, main, others, most):
+    rows = [(7, i, 0 if i < main else i) for i in range(main + others)] + [(8, i, 5) for i in range(50)] + [(9, i, i) for i in range(3)]
+    placed = minhash.in_blocks(spark.createDataFrame(rows, "bucket long, cid long, root long"), "bucket", F.lit(1), most).collect()
+    met: dict = {}
+    blocks: dict = {}
+    for r in placed:
+        blocks.setdefault((r.bucket, r.block), []).append(r)
+    for held in blocks.values():
+        assert len(held) < 4 * most
+        for x, a in enumerate(held):
+            for b in held[:x]:
+                if a.root != b.root and (a.side != b.side or a.side == minhash.BOTH):
+                    pair = (a.bucket, min(a.cid, b.cid), max(a.cid, b.cid))
+                    met[pair] = met.get(pair, 0) + 1
+    roots = {(k, c): r for k, c, r in rows if k != 8}
+    want = {(k, a, b) for (k, a), x in roots.items() for (j, b), y in roots.items() if j == k and a < b and x != y}
+    assert set(met) == want and set(met.values()) <= {1}
+
+
+def test_blocks_are_bounded_where_ten_thousand_members_stay_apart(spark):
+    rows = spark.range(10_000).selectExpr("1L AS bucket", "id AS cid", "if(id < 1000, 0L, id) AS root")
+    placed = minhash.in_blocks(rows, "bucket", F.lit(1), 1024)
+    sizes = placed.groupBy("block").agg(F.count("*").alias("n"), F.count_if(F.expr("side = 0")).alias("a"), F.count_if(F.expr("side = 1")).alias("b"), F.count_if(F.col("side") == minhash.BOTH).alias("c"))
+    total = sizes.agg(F.max("n"), F.sum("n"), F.sum(F.expr("a * b + c * (c - 1) / 2"))).first()
+    assert total[0] < 2 * 1024 * 1.2  # two tiles
+    assert total[1] < 10_000 * 12 and total[2] == 9_000 * 8_999 // 2 + 9_000 * 1_000
+
+
 def test_a_very_long_text_and_its_near_copy(spark):
     words = [f"v{i}" for i in range(60_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-300])), (3, " ".join(words[:100]))]
@@ -127,8 +157,6 @@ def brute_removed(corpus, length):
 @pytest.mark.parametrize("shard_contexts", [4096, 3])
 def test_repeats(docs, corpus, shard_contexts, monkeypatch):
     """Also with every gram split over several shards, where runs are merged by binary search."""
-    from pyspark.sql import functions as F
-
     rows, changed = suffixes.remove_repeats(docs, 200, shard_contexts)
     joined = rows.join(changed, "key", "left").collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed or 0, r.n_spans or 0, r.kept_sha256 or hashlib.sha256((r.text or "").encode()).hexdigest()) for r in joined}

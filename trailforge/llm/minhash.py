@@ -19,9 +19,9 @@ before tables are formed. A table's bucket is not expanded into pairs:
    families are the components of kinship over all buckets. In a family every two members of
    different components that pass the same filters are compared on their full shingle sets,
    nearest first, those that links found meanwhile have joined left out. Both steps work in
-   blocks of bounded size: members of a bucket's (family's) main component go to one block
-   each, the others to all, so rows sent grow with the members outside the main component
-   times the number of blocks.
+   blocks of bounded size: where a bucket (family) is larger than a block, its main component and the
+   others are dealt into tiles, and a block has two tiles, or one, whose members meet. Each pair
+   meets in one block, but for those in the main component, which needn't; a member is sent to as many blocks as there are tiles it meets.
 
 So every pair that shares a table and passes the filters is compared or joined. Only for a
 family whose members stay apart does the work in step 2 grow with the square of
@@ -187,16 +187,19 @@ def _columns(t, names: tuple[str, ...]) -> list[np.ndarray]:
     return [np.asarray(t.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in names]
 
 
-MARKS = ("cid", "root", "guest", "n_shingles", "b0", "b1")
+MARKS = ("cid", "root", "side", "n_shingles", "b0", "b1")
+
+#: The side of rows that all meet in their block.
+BOTH = 2
 
 
 def _differ(b0, b1, i, j):
     return np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
 
 
-def _passes(root, guest, n, b0, b1, i, j, percent: int) -> np.ndarray:
-    """Of the pairs i, j those in different components that sizes and bits don't rule out (guests don't meet here)."""
-    ok = (root[i] != root[j]) & ~(guest[i] & guest[j])
+def _passes(root, side, n, b0, b1, i, j, percent: int) -> np.ndarray:
+    """Of the pairs i, j those in different components that sizes and bits don't rule out (rows of one side, 0 or 1, don't meet here)."""
+    ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == BOTH))
     ok &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
     ok[ok] = _differ(b0, b1, i[ok], j[ok]) <= most_different(percent)
     return ok
@@ -209,7 +212,7 @@ def kin(placed: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for t, begin in whole_groups(batches, ("bucket", "block"), 8192):
-            _, root, guest, n, b0, b1 = _columns(t, MARKS)
+            _, root, side, n, b0, b1 = _columns(t, MARKS)
             group = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
             roots, own = np.unique(root, return_inverse=True)
             label, held, size = np.arange(len(roots)), [], 0
@@ -217,7 +220,7 @@ def kin(placed: DataFrame, percent: int) -> DataFrame:
             while len(i):  # all pairs that are step apart in one group
                 i = i[: np.searchsorted(i, len(root) - step)]
                 i = i[group[i] == group[i + step]]
-                ok = _passes(own, guest, n, b0, b1, i, i + step, percent)
+                ok = _passes(own, side, n, b0, b1, i, i + step, percent)
                 held.append((own[i[ok]], own[i[ok] + step]))
                 size += len(held[-1][0])
                 if size > 200_000:
@@ -241,13 +244,13 @@ def family_links(placed: DataFrame, percent: int) -> DataFrame:
         at = np.minimum(np.searchsorted(own, both), len(own) - 1)
         return np.add.reduceat((own[at] == both).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
 
-    def links(cid, root, guest, n, b0, b1, sets):
+    def links(cid, root, side, n, b0, b1, sets):
         _, label, count = np.unique(root, return_inverse=True, return_counts=True)
-        outside = label != np.argmax(count)
-        every = np.arange(len(cid))
+        every, whole = np.arange(len(cid)), bool(len(side)) and side[0] == BOTH
+        outside = label != np.argmax(count) if whole else side == 1
         for x in np.flatnonzero(outside).tolist():
-            rest = every[~outside | (every > x)]
-            rest = rest[_passes(label, guest, n, b0, b1, np.full(len(rest), x), rest, percent)]
+            rest = every[~outside | (every > x)] if whole else every[~outside]
+            rest = rest[_passes(label, side, n, b0, b1, np.full(len(rest), x), rest, percent)]
             rest = rest[np.argsort(_differ(b0, b1, np.full(len(rest), x), rest), kind="stable")]
             while len(rest):
                 now, rest = rest[:32], rest[32:]
@@ -273,13 +276,27 @@ def family_links(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, key: str, size, most: int) -> DataFrame:
-    """Rows (key, cid, root, ...) of the keys with several roots, with block and guest: rows of a key's main root in
-    their own block, the others in all blocks of the key, guests in all but their own. A block's size is about most."""
+    """Rows (key, cid, root, ...) of the keys with several roots, with block and side.
+
+    A key of up to most in size is one block, in which all meet (side BOTH). Else its main root and the other rows are dealt into
+    tiles of about most: a tile of the main root and one of the others meet in a block (sides 0 and 1), and so do two tiles of the others; the
+    rows of one tile of the others meet in a block of their own (BOTH). A block's size is about twice most.
+    """
     roots = rows.groupBy(key, "root").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
-    keys = roots.groupBy(key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.sum("size") / most).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    home = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    blocks = F.when(F.col("root") == F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    return rows.join(keys, key).withColumn("block", F.explode(blocks)).withColumn("guest", F.col("block") != home).drop("main", "blocks")
+    keys = roots.groupBy(key).agg(F.max_by(F.struct("root", "size"), F.struct("n", "root")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("n")).where("n > 1")
+    tiles = lambda of: F.greatest(F.ceil(of / most), F.lit(1)).cast("long")
+    keys = keys.select(key, F.col("main.root").alias("main"), (F.col("size") <= most).alias("whole"), tiles(F.col("main.size")).alias("mains"), tiles(F.col("size") - F.col("main.size")).alias("others"))
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    spot = lambda block, side: F.struct(block.alias("block"), side.cast("int").alias("side"))
+    tile = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
+    a, b = tile("mains"), tile("others")
+    of_main = F.transform(up_to("others"), lambda j: spot(a * F.col("others") + j, F.lit(0)))
+    with_main = F.transform(up_to("mains"), lambda i: spot(i * F.col("others") + b, F.lit(1)))
+    first = F.col("mains") * F.col("others")
+    with_others = F.transform(up_to("others"), lambda j: spot(first + F.least(b, j) * F.col("others") + F.greatest(b, j), F.when(j == b, BOTH).when(b < j, 0).otherwise(1)))
+    spots = F.when(F.col("whole"), F.array(spot(F.lit(0).cast("long"), F.lit(BOTH)))).when(F.col("root") == F.col("main"), of_main).otherwise(F.concat(with_main, with_others))
+    placed = rows.join(keys, key).withColumn("spot", F.explode(spots))
+    return placed.select(*rows.columns, "spot.block", "spot.side")
 
 
 def class_sets(texts: DataFrame, words: int) -> DataFrame:
