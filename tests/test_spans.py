@@ -55,3 +55,11 @@ def test_token_types_need_containment(spark):
     assert scoring.text_tokens(df, 2).count() == 2
     straddling = spark.range(1).select(sp.token_type(F.array(F.struct(F.lit(3).alias("s"), F.lit(9).alias("e"), F.lit("search_decision").alias("label"))), F.lit(8), F.lit(10)))
     assert straddling.first()[0] == "reasoning"
+
+
+def test_synthesis_phrases(spark):
+    text = "<think>I need to search for x. Based on the search results, it is y. I like results.\nThe passages say so!</think> Based on these results <think>I can now answer. From my evidence</think><search>a</search>"
+    cut = lambda **how: [text[s.s : s.e] for s in spark.createDataFrame([(text,)], "text string").select(sp.decision_spans("text", **how).alias("x")).first().x]
+    assert cut() == ["<search>a</search>"]
+    assert cut(synthesis=True) == [" Based on the search results, it is y.", "The passages say so!", "I can now answer.", " From my evidence", "<search>a</search>"]
+    assert cut(extended=True, synthesis=True)[0] == "I need to search for x." and len(cut(extended=True, synthesis=True)) == 6

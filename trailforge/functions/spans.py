@@ -27,6 +27,13 @@ INTENTS = (
     r"[Ff]irst,? (?:let me |I (?:need to |will |should ))?(?:search|find|look up)\b",
     r"[Nn]ext,? (?:let me |I (?:need to |will |should ))?(?:search|find|look up)\b",
 )
+#: Phrases by which a thought passes from results to an answer.
+SYNTHESES = (
+    r"\b(?:[Bb]ased on|[Aa]ccording to|[Ff]rom) (?:the|these|those|all|my)(?: \w+)? (?:results?|passages?|evidence|findings|information)\b",
+    r"\b[Tt]he (?:results?|passages?|evidence) (?:says?|shows?|suggests?|confirms?|indicates?)\b",
+    r"\b[Ii] (?:now )?(?:have enough|can (?:now )?(?:answer|conclude|combine))\b",
+    r"\b[Pp]utting (?:this|these|it all) together\b",
+)
 
 SPANS = "array<struct<s:int,e:int>>"
 
@@ -61,19 +68,20 @@ def query_spans(text: Column, start: str = QUERY_START, end: str = QUERY_END) ->
     return match_spans(text, f"(?s){literal(start)}.*?{literal(end)}")
 
 
-def decision_spans(text: Column | str, start: str = QUERY_START, end: str = QUERY_END, markers: tuple[str, ...] | list[str] | None = None, extended: bool = False) -> Column:
+def decision_spans(text: Column | str, start: str = QUERY_START, end: str = QUERY_END, markers: tuple[str, ...] | list[str] | None = None, extended: bool = False, synthesis: bool = False) -> Column:
     """Search-decision spans in order of their starts: query blocks, markers outside them and, if
-    extended, sentences of think blocks that say a search is meant. Only containment drops a span,
+    extended, sentences of think blocks that say a search is meant, or with synthesis that results lead to an answer. Only containment drops a span,
     so extended spans may overlap others in part."""
     text = F.col(text) if isinstance(text, str) else text
     spans = query_spans(text, start, end)
     for marker in markers or MARKERS:
         found = match_spans(text, literal(marker))
         spans = let(spans, lambda s: F.concat(s, uncovered(found, s)))  # noqa: B023  used at once
-    if extended:
+    phrases = [*(INTENTS if extended else ()), *(SYNTHESES if synthesis else ())]
+    if phrases:
         thoughts = match_spans(text, THINK)
         inside = F.flatten(F.transform(thoughts, lambda t: match_spans(F.substring(text, t["s"] + 1, t["e"] - t["s"]), SENTENCE, t["s"])))
-        meant = F.filter(inside, lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"]).rlike("|".join(INTENTS)))
+        meant = F.filter(inside, lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"]).rlike("|".join(phrases)))
         spans = let(spans, lambda s: F.concat(s, uncovered(meant, s)))
     ordered = F.array_sort(F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x["e"].alias("e"))))
     return F.transform(ordered, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("search_decision").alias("label")))

@@ -65,8 +65,8 @@ class ContextStudent:
         return out.select(*PAIR, rank.cast("long").alias("rank"), p.alias("p"))
 
     def tokens(self, tokens: DataFrame) -> DataFrame:
-        """A token table (traj_id, student, pos, start, end, rank, surprisal) of texts' tokens; the first of a text is never scored."""
+        """A token table (traj_id, student, pos, start, end, rank, surprisal, and type if tokens have it); the first token of a text is never scored."""
         rows = with_previous(tokens).where("pos > 0").withColumns({"key": F.lower("token"), "prev": F.lower("prev")}).drop("token")
         asked = rows.select("prev", F.col("key").alias("token")).distinct()
         scored = self.pairs(asked).withColumnRenamed("token", "key")
-        return rows.join(scored, ["prev", "key"]).select("traj_id", "student", "pos", "start", "end", "rank", (-F.ln("p")).alias("surprisal"))
+        return rows.join(scored, ["prev", "key"]).select("traj_id", "student", "pos", "start", "end", "rank", (-F.ln("p")).alias("surprisal"), *(c for c in tokens.columns if c == "type"))

@@ -41,12 +41,16 @@ def unigram_vocabulary(training: DataFrame, by: str = "student") -> DataFrame:
 
 
 def ngram_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """A token table from a vocabulary; the first token of a text is never scored (nothing predicts it)."""
+    """A token table from a vocabulary, with the tokens' type if they have one; the first token of a text is never scored (nothing predicts it).
+
+    Tokens are best typed before: then they are still where their text is, and meet its spans without another shuffle.
+    """
     oov = vocabulary.groupBy("student").agg(F.first("oov_rank").alias("oov_rank"), F.first("oov_p").alias("oov_p"))
     asked = tokens.where("pos > 0").withColumn("key", F.lower("token")).crossJoin(F.broadcast(oov))
     known = vocabulary.select("student", F.col("token").alias("key"), "rank", "p")
     rows = asked.join(known, ["student", "key"], "left")
-    return rows.select("traj_id", "student", "pos", "start", "end", F.coalesce("rank", "oov_rank").alias("rank"), (-F.ln(F.coalesce("p", "oov_p"))).alias("surprisal"))
+    more = [c for c in tokens.columns if c == "type"]
+    return rows.select("traj_id", "student", "pos", "start", "end", F.coalesce("rank", "oov_rank").alias("rank"), (-F.ln(F.coalesce("p", "oov_p"))).alias("surprisal"), *more)
 
 
 def logit_tokens(rows: DataFrame) -> DataFrame:

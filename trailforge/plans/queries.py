@@ -52,8 +52,8 @@ def _vocabulary(spark, sf):
 
 
 def _scores(spark, sf):
-    typed = scoring.typed(scoring.ngram_tokens(_tokens(spark, sf), _vocabulary(spark, sf)), _spans(spark, sf))
-    return scoring.rsr(typed)
+    typed = scoring.typed(_tokens(spark, sf), _spans(spark, sf))
+    return scoring.rsr(scoring.ngram_tokens(typed, _vocabulary(spark, sf)))
 
 
 def _r6(c):
@@ -197,6 +197,15 @@ def traj_spans_extended(spark, sf):
     return _span_rows(spark, sf, True)
 
 
+def decision_phrases(spark, sf):
+    """Spans with the sentences of thoughts that lead to a search or to an answer, in transcripts that some thoughts were added to."""
+    w = F.split("text", " ")
+    thought = F.concat(F.lit("\n<think>Based on the results, it is "), F.element_at(w, -1), F.lit(". Nothing else? The passages say that, so done.\nAccording to these results: yes</think>"))
+    rows = _traj(spark, sf).withColumn("text", F.concat("text", F.when(F.col("pos") % 4 == 0, thought).otherwise("")))
+    spans = sp.decision_spans("text", extended=True, synthesis=True)
+    return rows.select(F.col("id").alias("traj_id"), F.explode(spans).alias("x")).select("traj_id", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"))
+
+
 def span_char_share(spark, sf):
     rows = _traj(spark, sf).withColumn("spans", sp.decision_spans("text"))
     return rows.select("id", F.size("spans").cast("long").alias("n_spans"), _r6(sp.char_share(F.col("spans"), F.col("text"))).alias("share"))
@@ -255,8 +264,8 @@ def context_tokens(spark, sf):
 
 
 def context_rsr(spark, sf):
-    typed = scoring.typed(_context_student(spark, sf).tokens(_tokens(spark, sf)), _spans(spark, sf))
-    return scoring.rsr(typed).select("traj_id", "student", *_finite("rsr_full"), *_finite("rsr_reasoning"), *_finite("rsr_search_decision"), _r6("mean_rank").alias("mean_rank"), _r6("mean_surprisal").alias("mean_surprisal"))
+    typed = scoring.typed(_tokens(spark, sf), _spans(spark, sf))
+    return scoring.rsr(_context_student(spark, sf).tokens(typed)).select("traj_id", "student", *_finite("rsr_full"), *_finite("rsr_reasoning"), *_finite("rsr_search_decision"), _r6("mean_rank").alias("mean_rank"), _r6("mean_surprisal").alias("mean_surprisal"))
 
 
 def rsr(spark, sf):
@@ -667,7 +676,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_corpus_stats, bm25_terms, bm25_context, bm25_pruned, dense_topk, late_topk, late_reconstruction, late_quantized, tokenize, normalize_answer, extract_answer, exact_match, token_f1, eval_rows, eval_summary, traj_spans,
-        traj_spans_extended, span_char_share, token_types, subword_texts, subword_types, vocab_rank, token_table, context_students, context_tokens, context_rsr, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
+        traj_spans_extended, decision_phrases, span_char_share, token_types, subword_texts, subword_types, vocab_rank, token_table, context_students, context_tokens, context_rsr, rsr, rsr_masked, sd_rsr, alpha_sweep, rsr_top_k, traj_metadata, structural_score, select_random,
         select_correct, select_mmr, select_by_method, corpus_passages, corpus_filtered, qa_unified, split_counts, distinct_titles, tsv_collection, transcripts, gen_summary, gate,
         retry_pick, fan_out, assemble_steps, inject_results, search_prompt, sft_format, grid, spearman, seed_mean_std, student_divergence, best_alpha, k_subsets, boundary_shift,
         boundary_rescore, subset_correlation, jsonl_questions, jsonl_limit, jsonl_best_effort, jsonl_partitioned, jsonl_quarantine, jsonl_glob, qa_partitioned, write_counters, stream_transcripts, stream_summary, context_corpus, custom_spans, eval_missing, bm25_loaded, dense_loaded, gen_counters, gen_report, logit_students, token_cut, all_texts, inject_bm25,

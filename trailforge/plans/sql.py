@@ -82,6 +82,10 @@ sentences AS {spans_of('[^.!?' + chr(10) + ']+[.!?' + chr(10) + ']?', 'inner_tex
 meant AS (SELECT x.id, x.s, x.e FROM sentences x JOIN traj t ON t.id = x.id WHERE regexp_matches(substring(t.text, (x.s + 1)::BIGINT, (x.e - x.s)::BIGINT), '{INTENT}')
   AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.id = x.id AND b.s <= x.s AND x.e <= b.e))"""
 
+SYNTHESIS = r"\b(?:[Bb]ased on|[Aa]ccording to|[Ff]rom) (?:the|these|those|all|my)(?: \w+)? (?:results?|passages?|evidence|findings|information)\b|\b[Tt]he (?:results?|passages?|evidence) (?:says?|shows?|suggests?|confirms?|indicates?)\b|\b[Ii] (?:now )?(?:have enough|can (?:now )?(?:answer|conclude|combine))\b|\b[Pp]utting (?:this|these|it all) together\b"
+THOUGHT = TRAJ.removesuffix("FROM pieces GROUP BY conv_id)").replace("traj AS (", "plain AS (") + f"""FROM pieces GROUP BY conv_id),
+traj AS (SELECT * REPLACE (text || CASE WHEN pos % 4 = 0 THEN chr(10) || '<think>Based on the results, it is ' || string_split(text, ' ')[-1] || '. Nothing else? The passages say that, so done.' || chr(10) || 'According to these results: yes</think>' ELSE '' END AS text) FROM plain)"""
+
 TOKENS = f"""{SPANS}, runs AS {spans_of(WS.replace('[', '[^', 1) + '+', 'traj')},
 tokens AS (SELECT r.id AS traj_id, row_number() OVER (PARTITION BY r.id ORDER BY r.s) - 1 AS pos, substring(t.text, (r.s + 1)::BIGINT, (r.e - r.s)::BIGINT) AS token, r.s AS "start", r.e AS "end" FROM runs r JOIN traj t ON t.id = r.id),
 typed AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM spans p WHERE p.id = k.traj_id AND k."start" >= p.s AND k."end" <= p.e) THEN 'search_decision' ELSE 'reasoning' END AS type FROM tokens k)"""
@@ -220,6 +224,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
     "eval_summary": f"WITH {EVALUATED} SELECT dataset, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1, count(*) AS n FROM evaluated GROUP BY dataset",
     "traj_spans": f"WITH {SPANS} SELECT id AS traj_id, s::BIGINT AS s, e::BIGINT AS e FROM spans",
     "traj_spans_extended": f"WITH {EXTENDED} SELECT id AS traj_id, s::BIGINT AS s, e::BIGINT AS e FROM spans UNION ALL SELECT id, s::BIGINT, e::BIGINT FROM meant",
+    "decision_phrases": f"""WITH {EXTENDED.replace(TRAJ, THOUGHT, 1).replace(INTENT, INTENT + '|' + SYNTHESIS)} SELECT id AS traj_id, s::BIGINT AS s, e::BIGINT AS e FROM spans UNION ALL SELECT id, s::BIGINT, e::BIGINT FROM meant""",
     "span_char_share": f"WITH {SPANS} SELECT t.id, count(p.s) AS n_spans, round(coalesce(sum(p.e - p.s), 0)::DOUBLE / length(any_value(t.text)), 6) AS share FROM traj t LEFT JOIN spans p ON p.id = t.id GROUP BY t.id",
     "token_types": f'WITH {TOKENS} SELECT traj_id, pos, token, "start"::BIGINT AS "start", "end"::BIGINT AS "end", type FROM typed',
     "subword_texts": f"WITH {TRAJ} SELECT id AS traj_id, md5(text) AS text_md5, length(text) AS chars, 1::BIGINT AS n_without_width FROM traj",
