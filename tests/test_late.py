@@ -105,3 +105,11 @@ def test_quantized_index_of_few_and_of_no_vectors(spark, tmp_path):
     assert late.ResidualIndex.build(df.limit(0), str(tmp_path / "b")).search(asked).count() == 0
     with pytest.raises(ValueError, match="bytes"):
         late.ResidualIndex.build(df, str(tmp_path / "c"), centroids=1 << 23)
+
+
+def test_dense_search_in_blocks_is_that_of_a_broadcast(spark, made, monkeypatch):
+    vectors = spark.createDataFrame([(i, list(map(float, d[0]))) for i, d in made[0].items()], "doc_id long, embedding array<double>")
+    queries = vectors.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "qid")
+    whole = found(retrieval.DenseIndex(vectors).search(queries, 4))
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST_BYTES", 1000)
+    assert found(retrieval.DenseIndex(vectors).search(queries, 4)) == whole and len(whole) == 44

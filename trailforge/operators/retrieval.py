@@ -26,6 +26,8 @@ def index_text() -> Column:
 
 #: Rows up to which a table is broadcast; beyond that the join shuffles.
 MOST_BROADCAST = 1 << 20
+#: Bytes of query vectors up to which they are broadcast.
+MOST_BROADCAST_BYTES = 32 << 20
 
 
 def small(rows: DataFrame, n: int) -> DataFrame:
@@ -227,11 +229,12 @@ class DenseIndex:
             score = dot(F.col("q"), F.col("d")) / (F.col("nq") * F.col("nd"))
         else:
             score = dot(F.col("q"), F.col("d"))
-        asked = left.count()
-        if asked <= MOST_BROADCAST // 16:
+        one = left.agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("numbers")).first()
+        asked, most = one.n, MOST_BROADCAST_BYTES // 8
+        if (one.numbers or 0) <= most:
             pairs = right.crossJoin(F.broadcast(left))
         else:
-            blocks = -(-asked // (MOST_BROADCAST // 16))
+            blocks = -(-one.numbers // most)
             every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
             pairs = right.withColumn("block", every).join(left.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "block")
         pairs = pairs.select("qid", "doc_id", F.round(score, self.digits).alias("score"))
