@@ -138,12 +138,12 @@ def gold_key(question_id: Column | str) -> Column:
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
-    """Transcripts made of recorded conversations: user turns think, assistant turns search."""
+    """Transcripts made of recorded conversations: user turns think, assistant turns are a search (for their first words) with its results (all of the turn)."""
     w = F.split("text", " ")
     first = lambda n: F.array_join(F.slice(w, 1, n), " ")
     c = F.col("conv_id")
     user = F.concat(F.lit("<think>\n"), F.when(c % 3 == 0, F.concat(F.lit("I need to search for "), first(3), F.lit(".\n"))).otherwise(""), "text", F.lit("\n</think>"), F.when(c % 7 == 0, F.lit("\n<continue>")).otherwise(""))
-    assistant = F.concat(F.lit("<search>"), first(5), F.lit("</search>\n<results>\n[1] "), F.substring("text", 1, 200), F.lit("\n</results>"))
+    assistant = F.concat(F.lit("<search>"), first(5), F.lit("</search>\n<results>\n[1] "), "text", F.lit("\n</results>"))
     piece = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).otherwise("")
     turns = conversations.select(c, "turn", "role", first(3).alias("head"), first(5).alias("query"), piece.alias("piece"))
     rows = turns.groupBy("conv_id").agg(

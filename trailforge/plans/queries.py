@@ -338,8 +338,8 @@ def corpus_filtered(spark, sf):
 def _qa(spark, sf):
     """Documents as question records of the three raw shapes, by doc_id % 3."""
     docs = _t(spark, sf, "documents")
-    w = F.slice(F.split("text", " "), 1, 6)
-    base = docs.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.element_at(w, 1).alias("question"), F.col("lang").alias("answer"), w.alias("w"), "source")
+    w = F.split("text", " ")
+    base = docs.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("lang").alias("answer"), w.alias("w"), "source")
     hot = base.where("doc_id % 3 = 0").select("id", "question", "answer", F.struct(F.col("w").alias("title"), F.sequence(F.lit(0), F.lit(3)).alias("sent_id")).alias("supporting_facts"))
     paragraphs = F.transform("w", lambda x, i: F.struct(x.alias("title"), F.concat(x, F.lit("!")).alias("paragraph_text"), F.when(i % 3 < 2, i % 3 == 0).alias("is_supporting")))
     mus = base.where("doc_id % 3 = 1").select("id", "question", F.when(F.col("doc_id") % 2 == 0, F.col("answer")).alias("answer"), paragraphs.alias("paragraphs"))
@@ -353,7 +353,7 @@ def _qa(spark, sf):
 
 def qa_unified(spark, sf):
     f = F.transform("supporting_facts", lambda x: F.concat_ws("|", F.coalesce(x["title"], F.lit("-")), F.coalesce(x["sent_id"].cast("string"), F.lit("-")), F.coalesce(x["paragraph_text"], F.lit("-"))))
-    return _qa(spark, sf).select("id", "question", "answer", F.array_join(f, ";").alias("facts"), "dataset", "split")
+    return _qa(spark, sf).select("id", F.md5("question").alias("question_md5"), "answer", F.size(f).cast("long").alias("n_facts"), F.md5(F.array_join(f, ";")).alias("facts_md5"), "dataset", "split")
 
 
 def split_counts(spark, sf):
@@ -401,7 +401,7 @@ def assemble_steps(spark, sf):
         F.col("conv_id").alias("traj_id"),
         F.col("turn").alias("step"),
         "text",
-        F.when((F.col("conv_id") + F.col("turn")) % 4 != 3, F.substring("text", 1, 12)).otherwise(" ").alias("query"),
+        F.when((F.col("conv_id") + F.col("turn")) % 4 != 3, F.col("text")).otherwise(" ").alias("query"),
         F.when((F.col("conv_id") + F.col("turn")) % 5 == 4, "max_tokens").when((F.col("conv_id") + F.col("turn")) % 7 == 6, "eos").otherwise("search").alias("stop_reason"),
     )
     return trajectories.assemble(steps, 4).select("traj_id", F.md5("text").alias("text_md5"), "num_search_steps", "incomplete")

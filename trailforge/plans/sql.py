@@ -47,7 +47,7 @@ pieces AS (SELECT conv_id, turn, role, array_to_string(w[1:3], ' ') AS head, arr
 <continue>' ELSE '' END
   WHEN 'assistant' THEN '<search>' || array_to_string(w[1:5], ' ') || '</search>
 <results>
-[1] ' || substring(text, 1, 200) || '
+[1] ' || text || '
 </results>' ELSE '' END AS piece FROM turns),
 traj AS (SELECT 'c' || conv_id || '_0_traj' AS id, 'c' || conv_id || '_0' AS question_id, conv_id AS pos, 'ds' || (conv_id % 3) AS dataset,
   string_agg(piece, '
@@ -154,11 +154,11 @@ LINES = """lines AS (SELECT source AS title, doc_id, unnest(range(0, len(l))) AS
 firsts AS (SELECT title, text, min((doc_id, i)) AS pos FROM lines WHERE text <> '' {filter} GROUP BY title, text),
 corpus AS (SELECT title, text, row_number() OVER (PARTITION BY title ORDER BY pos) - 1 AS nth FROM firsts)"""
 
-QA = """base AS (SELECT doc_id, doc_id::VARCHAR AS id, string_split(text, ' ')[1:6] AS w, lang AS answer FROM documents),
+QA = """base AS (SELECT doc_id, doc_id::VARCHAR AS id, text, string_split(text, ' ') AS w, lang AS answer FROM documents),
 qa AS (
- SELECT id, w[1] AS question, answer, list_transform(range(0, least(len(w), 4)), lambda i: {'t': w[i + 1], 's': i::VARCHAR, 'p': NULL::VARCHAR}) AS facts, 'hotpotqa' AS dataset FROM base WHERE doc_id % 3 = 0
- UNION ALL SELECT id, w[1], CASE WHEN doc_id % 2 = 0 THEN answer ELSE '' END, list_transform(list_filter(range(0, len(w)), lambda i: i % 3 = 0), lambda i: {'t': w[i + 1], 's': NULL::VARCHAR, 'p': w[i + 1] || '!'}), 'musique' FROM base WHERE doc_id % 3 = 1
- UNION ALL SELECT id, w[1], answer, CASE WHEN doc_id % 4 < 2 THEN list_transform(list_filter(range(0, len(w)), lambda i: i % 2 = 0), lambda i: {'t': w[i + 1], 's': i::VARCHAR, 'p': NULL::VARCHAR})
+ SELECT id, text AS question, answer, list_transform(range(0, least(len(w), 4)), lambda i: {'t': w[i + 1], 's': i::VARCHAR, 'p': NULL::VARCHAR}) AS facts, 'hotpotqa' AS dataset FROM base WHERE doc_id % 3 = 0
+ UNION ALL SELECT id, text, CASE WHEN doc_id % 2 = 0 THEN answer ELSE '' END, list_transform(list_filter(range(0, len(w)), lambda i: i % 3 = 0), lambda i: {'t': w[i + 1], 's': NULL::VARCHAR, 'p': w[i + 1] || '!'}), 'musique' FROM base WHERE doc_id % 3 = 1
+ UNION ALL SELECT id, text, answer, CASE WHEN doc_id % 4 < 2 THEN list_transform(list_filter(range(0, len(w)), lambda i: i % 2 = 0), lambda i: {'t': w[i + 1], 's': i::VARCHAR, 'p': NULL::VARCHAR})
    ELSE list_transform(range(0, least(len(w), 3)), lambda i: {'t': w[i + 1], 's': i::VARCHAR, 'p': NULL::VARCHAR}) END, '2wikimultihopqa' FROM base WHERE doc_id % 3 = 2),
 unified AS (SELECT *, CASE WHEN length(question) % 2 = 0 THEN 'train' ELSE 'validation' END AS split FROM qa)"""
 
@@ -247,7 +247,7 @@ SELECT id, dataset, score, key FROM keyed ORDER BY key DESC, score DESC, pos LIM
     "select_by_method": f"WITH {SCORES}, c AS (SELECT traj_id, round({composite('0.5::DOUBLE')}, 6) AS score FROM scores WHERE student = 'odd') SELECT t.id, t.dataset, c.score FROM c JOIN traj t ON t.id = c.traj_id ORDER BY c.score, t.id LIMIT 25",
     "corpus_passages": f"WITH {LINES.replace('{filter}', '')} SELECT title || '_' || nth AS id, title, md5(text) AS text_md5 FROM corpus",
     "corpus_filtered": "WITH " + LINES.replace("{filter}", "AND title IN (SELECT source FROM documents WHERE lang = 'fr')") + " SELECT title, count(*) AS n, max(nth) AS last FROM corpus GROUP BY title",
-    "qa_unified": f"WITH {QA} SELECT id, question, answer, array_to_string(list_transform(facts, lambda f: coalesce(f.t, '-') || '|' || coalesce(f.s, '-') || '|' || coalesce(f.p, '-')), ';') AS facts, dataset, split FROM unified",
+    "qa_unified": f"WITH {QA} SELECT id, md5(question) AS question_md5, answer, len(facts) AS n_facts, md5(array_to_string(list_transform(facts, lambda f: coalesce(f.t, '-') || '|' || coalesce(f.s, '-') || '|' || coalesce(f.p, '-')), ';')) AS facts_md5, dataset, split FROM unified",
     "split_counts": f"WITH {QA} SELECT dataset, split, count(*) AS n FROM unified GROUP BY ROLLUP (dataset, split)",
     "distinct_titles": f"WITH {QA} SELECT DISTINCT unnest(list_transform(facts, lambda f: f.t)) AS title FROM unified",
     "tsv_collection": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, md5(replace(replace(source || ' ' || text, chr(9), ' '), chr(10), ' ')) AS text_md5 FROM documents",
@@ -258,7 +258,7 @@ SELECT id, dataset, score, key FROM keyed ORDER BY key DESC, score DESC, pos LIM
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, CASE WHEN n > 0 THEN attempt ELSE -attempt END) AS nth FROM a)
 SELECT question_id, attempt, n::BIGINT AS num_search_steps, attempt AS retry_count, n = 0 AS no_search_after_retries FROM r WHERE nth = 1""",
     "fan_out": "SELECT item_id::VARCHAR AS id, i AS trajectory_idx, item_id || '_' || i AS question_id, item_id::VARCHAR AS gold_key FROM benchmark, range(3) r(i)",
-    "assemble_steps": f"""WITH s AS (SELECT conv_id AS traj_id, turn, text, CASE WHEN (conv_id + turn) % 4 <> 3 THEN {strip('substring(text, 1, 12)')} ELSE '' END AS query,
+    "assemble_steps": f"""WITH s AS (SELECT conv_id AS traj_id, turn, text, CASE WHEN (conv_id + turn) % 4 <> 3 THEN {strip('text')} ELSE '' END AS query,
   CASE WHEN (conv_id + turn) % 5 = 4 THEN 'max_tokens' WHEN (conv_id + turn) % 7 = 6 THEN 'eos' ELSE 'search' END AS stop FROM conversations),
 n AS (SELECT *, stop = 'search' AND query <> '' AS hit, row_number() OVER (PARTITION BY traj_id ORDER BY turn) AS nth, coalesce(sum((NOT (stop = 'search' AND query <> ''))::INT) OVER (PARTITION BY traj_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM s)
 SELECT traj_id, md5(string_agg(text || CASE WHEN hit THEN '<search>' || query || '</search>' ELSE '' END, '' ORDER BY turn)) AS text_md5, count(*) FILTER (WHERE hit) AS num_search_steps, bool_or(stop = 'max_tokens') AS incomplete FROM n WHERE ended = 0 AND nth <= 4 GROUP BY traj_id""",
