@@ -297,6 +297,10 @@ def _with_counts(places: DataFrame, shared: DataFrame, common: int, most_broadca
     return places.join(hot, "gram").unionByName(places.join(hot, "gram", "left_anti").join(shared, "gram"))
 
 
+#: Keys of repeated texts (16 bytes each) up to which they are broadcast.
+MOST_COPIED = 1 << 20
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(rows, changed): docs with key and n_bytes, and for each key whose text loses bytes
     (key, n_removed, n_spans, kept_sha256, kept): join them by key, left."""
@@ -305,8 +309,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_contexts: int = 409
     rows = docs.withColumn("text", text_or_empty()).withColumns({"key": F.unhex(F.md5(F.col("text").cast("binary"))), "n_bytes": F.octet_length("text").cast("long")})
     long = rows.where(F.col("n_bytes") >= length)
     copies = long.groupBy("key").agg(F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")).where("copies > 1")
+    copies = store(copies, "copies")
+    again = copies.select("key")
+    again = F.broadcast(again) if copies.count() <= MOST_COPIED else again
+    # only texts that come again are shuffled to pick one of each
     nth = F.row_number().over(Window.partitionBy("key").orderBy("n_bytes"))
-    texts = store(long.select("key", "text", "n_bytes").withColumn("nth", nth).where("nth = 1").select("key", "text"), "texts")
+    one = long.select("key", "text", "n_bytes").join(again, "key", "left_semi").withColumn("nth", nth).where("nth = 1").select("key", "text")
+    texts = store(long.select("key", "text").join(again, "key", "left_anti").unionByName(one), "texts")
 
     def find(batches):
         import pyarrow as pa
