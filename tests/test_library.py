@@ -122,3 +122,8 @@ def test_derived_metadata(spark):
     a, b = trajectories.derived_metadata(df).collect()
     assert (a.num_queries, a.num_unique_queries, a.evidence_coverage, a.has_query_refinement) == (3, 2, 0.5, True)
     assert (b.num_queries, b.num_unique_queries, b.evidence_coverage, b.has_query_refinement) == (0, 0, 0.0, False)
+
+
+def test_words_of_refinements_stand_between_spaces(spark):
+    df = spark.createDataFrame([(["red.\nThe car", "car.\nThe wheel"], [], []), (["the red car", "a\nred  car"], [], [])], "queries array<string>, supporting_titles array<string>, retrieved_titles array<string>")
+    assert [r.has_query_refinement for r in trajectories.derived_metadata(df).collect()] == [False, True]
