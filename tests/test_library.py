@@ -127,3 +127,13 @@ def test_derived_metadata(spark):
 def test_words_of_refinements_stand_between_spaces(spark):
     df = spark.createDataFrame([(["red.\nThe car", "car.\nThe wheel"], [], []), (["the red car", "a\nred  car"], [], [])], "queries array<string>, supporting_titles array<string>, retrieved_titles array<string>")
     assert [r.has_query_refinement for r in trajectories.derived_metadata(df).collect()] == [False, True]
+
+
+def test_passages_of_a_first_word_are_ranked_before_they_meet_queries(spark):
+    from trailforge.plans.queries import _ByFirstWord
+
+    passages = spark.createDataFrame([(i, str(i), "T", f"{w} {i}") for i, w in enumerate("aaaaabb")] + [(9, "9", "T", None)], "pos long, id string, title string, text string")
+    queries = spark.createDataFrame([("x", "a b"), ("y", "a"), ("z", "c"), ("b", "b\n")], "qid string, query string")
+    hits = _ByFirstWord(passages).search(queries, 2)
+    assert sorted((r.qid, r["rank"], r.doc_id, r.text) for r in hits.collect()) == [(q, i + 1, str(i), f"a {i}") for q in "xy" for i in range(2)]
+    assert "windowspecdefinition(w#" in hits._jdf.queryExecution().optimizedPlan().toString()  # not a window over the hits of a query
