@@ -113,3 +113,10 @@ def test_dense_search_in_blocks_is_that_of_a_broadcast(spark, made, monkeypatch)
     whole = found(retrieval.DenseIndex(vectors).search(queries, 4))
     monkeypatch.setattr(retrieval, "MOST_BROADCAST_BYTES", 1000)
     assert found(retrieval.DenseIndex(vectors).search(queries, 4)) == whole and len(whole) == 44
+
+
+def test_dense_vectors_that_take_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 1.0]), (7, [-2.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    hits = retrieval.DenseIndex(vectors).search(vectors.where("doc_id < 4").withColumnRenamed("doc_id", "qid"), 3)
+    assert found(hits) == {1: [(1, 1.0), (6, 0.70711), (7, -1.0)]}
