@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 
+from trailforge.functions import spans
 from trailforge.operators import scoring, selection
 
 TOKENS = [("t", "s", 1, 0, 0.1, "reasoning"), ("t", "s", 2, 5, 2.0, "reasoning"), ("t", "s", 3, 250, 4.0, "reasoning"), ("t", "s", 4, 3, 1.5, "search_decision"), ("t", "s", 5, 1, 0.5, "search_decision"), ("u", "s", 1, 0, 0.0, "reasoning"), ("v", "s", 1, 9, 3.0, "search_decision")]
@@ -96,3 +98,17 @@ def test_methods(rows, scores, spark):
     named = scores.withColumnRenamed("traj_id", "x").selectExpr("case x when 't' then 't1' when 'u' then 't2' else 't3' end as traj_id", "rsr_full")
     assert ids(selection.select("vanilla_rsr", rows, 2, scores=named)) == ["t3", "t1"]
     assert ids(selection.select("random", rows, 2)) == ids(selection.random_selection(rows, 2))
+
+
+def test_tokens_get_places_and_types_where_their_text_is(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "AT_ONCE", 3)
+    texts = [("a", " x \u2028yé\U0001f600 <search>q w</search>\n z"), ("b", ""), ("c", None), ("d", "\x85one\x1ctwo\u200bthree")]
+    rows = spark.createDataFrame(texts, "traj_id string, text string").withColumn("spans", spans.decision_spans("text"))
+    tokens = scoring.text_tokens(rows)
+    assert not {"Window", "Sort", "Join"} & set(re.findall(r"[A-Z]\w+", tokens._jdf.queryExecution().optimizedPlan().toString()))
+    want = [(k, i, m.group(), m.start(), m.end()) for k, t in texts for i, m in enumerate(re.finditer(r"[^\s\x85\u2028]+", t or ""))]
+    assert sorted(tuple(r[c] for c in ("traj_id", "pos", "token", "start", "end")) for r in tokens.collect()) == want
+    apart = scoring.typed(scoring.text_tokens(rows.drop("spans")), rows.select("traj_id", "spans"))
+    key = lambda r: (r.traj_id, r.pos, r.type)
+    assert sorted(map(key, tokens.collect())) == sorted(map(key, apart.collect()))
+    assert scoring.text_tokens(rows.drop("spans"), 1).count() == 2

@@ -5,9 +5,12 @@ surprisal) rows; a neural one fits behind ``mapInArrow``. The n-gram student
 here needs no model and is exact in SQL.
 """
 
-from __future__ import annotations
+import itertools
+import re
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import token_type
@@ -20,15 +23,44 @@ LEAST_SURPRISAL = 1e-8
 ALPHAS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 INF = float("inf")
 
+#: Tokens that are held as Python's strings at a time.
+AT_ONCE = 1 << 16
+
 
 def text_tokens(texts: DataFrame, max_len: int | None = None) -> DataFrame:
-    """(traj_id, pos, token, start, end) of white-space tokens; pos from 0, at most max_len of a text."""
-    run = f"[^{WS}]+"
-    pairs = F.zip_with(F.slice(F.split("text", run, -1), 1, F.size(F.regexp_extract_all("text", F.lit(run), F.lit(0)))), F.regexp_extract_all("text", F.lit(run), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("token")))
-    rows = texts.select("traj_id", F.posexplode(pairs).alias("pos", "t"))
-    so_far = F.sum(F.col("t.gap") + F.length("t.token")).over(Window.partitionBy("traj_id").orderBy("pos"))
-    rows = rows.select("traj_id", "pos", F.col("t.token").alias("token"), (so_far - F.length("t.token")).alias("start"), so_far.alias("end"))
-    return rows if max_len is None else rows.where(F.col("pos") < max_len)
+    """(traj_id, pos, token, start, end) of white-space tokens; pos from 0, at most max_len of a text. Where texts have a column spans, tokens also
+    have their type. A text's tokens are cut where the text is: no token is shuffled or sorted for its place."""
+    more = [c for c in texts.columns if c == "spans"]
+    rows = spread(texts.select("traj_id", "text", *more)).select("traj_id", *more, F.posexplode(_cut(max_len)(F.col("text"))).alias("pos", "t"))
+    rows = rows.select("traj_id", *more, "pos", "t.token", "t.start", "t.end")
+    return rows.withColumn("type", token_type(F.col("spans"), F.col("start"), F.col("end"))).drop("spans") if more else rows
+
+
+def _cut(max_len: int | None):
+    """A function of texts: the first max_len tokens of each, with the characters where they begin and end."""
+    kind = "array<struct<token:string,start:bigint,end:bigint>>"
+
+    @F.arrow_udf(kind)
+    def cut(texts: pa.Array) -> pa.Array:
+        run, tokens, starts, offsets, done = re.compile(f"[^{WS}]+", re.ASCII), [], [], [0], []
+
+        def close() -> None:  # Python's strings are many times as large as Arrow's
+            t, s = pa.array(tokens, pa.string()), pa.array(starts, pa.int64())
+            done.append(pa.StructArray.from_arrays([t, s, pc.add(s, pc.cast(pc.utf8_length(t), pa.int64()))], ["token", "start", "end"]))
+            tokens.clear(), starts.clear()
+
+        for text in texts:
+            before = len(tokens)
+            for m in itertools.islice(run.finditer(text.as_py() or ""), max_len):
+                tokens.append(m.group())
+                starts.append(m.start())
+            offsets.append(offsets[-1] + len(tokens) - before)
+            if len(tokens) > AT_ONCE:
+                close()
+        close()
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(done))
+
+    return cut
 
 
 def unigram_vocabulary(training: DataFrame, by: str = "student") -> DataFrame:
