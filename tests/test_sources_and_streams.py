@@ -92,3 +92,18 @@ def test_the_streams_summary_is_that_of_all_files(spark, tmp_path):
         transcripts.summarize(transcripts.read_stream(spark, str(came), 1), out, str(tmp_path / "cp")).awaitTermination()
         whole = trajectories.generation_summary(spark.read.schema(transcripts.TRAJECTORIES).json(str(came)))
         assert rows_of(spark.read.parquet(out)) == rows_of(whole)
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    """One task for a whole dataset and split would read all of it."""
+    name, path = "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(tmp_path / "qa")
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id", "sha2(string(id), 256) AS text", "if(id % 100 = 0, 'b', 'a') AS dataset")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "50k")
+    try:
+        jsonl.write_partitions(rows, path, ["dataset"])
+    finally:
+        spark.conf.set(name, before)
+    back = spark.read.schema("id long, text string, dataset string").json(path)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert len(list((tmp_path / "qa" / "dataset=a").glob("part-*"))) > 1 and len(list((tmp_path / "qa" / "dataset=b").glob("part-*"))) == 1

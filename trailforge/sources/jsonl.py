@@ -136,9 +136,10 @@ def write_counted(rows: DataFrame, path: str, counts: dict[str, Column], partiti
 
 def write_partitions(rows: DataFrame, path: str, by: list[str], files: int = 1) -> None:
     """Write JSON Lines into partitions of some columns, replacing those that rows have and no others; each has up to ``files`` files,
-    which their rows are dealt to by a hash (more for large ones)."""
-    part = [F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(files))] if files > 1 else []
-    rows.repartition(*by, *part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
+    which their rows are dealt to by a hash. Large ones are spread over more tasks, and files, by Spark's rebalancing, so that none is brought to one task."""
+    part = [F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(files)).alias("__file")] if files > 1 else []
+    dealt = rows.select("*", *part).hint("rebalance", *by, *(["__file"] if part else [])).drop("__file")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
 
 
 def collection_rows(passages: DataFrame) -> DataFrame:
