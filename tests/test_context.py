@@ -72,3 +72,14 @@ def test_a_student_of_nothing(spark):
     student = context.ContextStudent(spark.createDataFrame([], "student string, text string"))
     tokens = scoring.text_tokens(spark.createDataFrame([("x", "a b")], "traj_id string, text string"))
     assert student.tokens(tokens).count() == 0
+
+
+def test_a_context_is_dealt_once(spark):
+    """Continuations and asked words meet after one shuffle by their context, where each of several tables was sorted and numbered on its own; the token before comes with the cut."""
+    student = context.ContextStudent(spark.createDataFrame(TEXTS, "student string, text string"))
+    plan = student.pairs(spark.createDataFrame([("a", "b"), ("a", "e")], "prev string, token string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [student") == 1 and "SortMergeJoin" not in plan
+    texts = spark.createDataFrame([("1", "a b  c"), ("2", ""), ("3", None), ("4", "d e")], "traj_id string, text string")
+    cut = scoring.text_tokens(texts, previous=True)
+    assert sorted((r.traj_id, r.pos, r.token, r.prev) for r in cut.collect()) == [("1", 0, "a", None), ("1", 1, "b", "a"), ("1", 2, "c", "b"), ("4", 0, "d", None), ("4", 1, "e", "d")]
+    assert sorted(map(tuple, context.with_previous(cut.drop("prev")).select(*cut.columns).collect())) == sorted(map(tuple, cut.collect()))

@@ -8,6 +8,7 @@ here needs no model and is exact in SQL.
 import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -27,30 +28,34 @@ INF = float("inf")
 AT_ONCE = 1 << 16
 
 
-def text_tokens(texts: DataFrame, max_len: int | None = None) -> DataFrame:
+def text_tokens(texts: DataFrame, max_len: int | None = None, previous: bool = False) -> DataFrame:
     """(traj_id, pos, token, start, end) of white-space tokens; pos from 0, at most max_len of a text. Where texts have a column spans, tokens also
-    have their type. A text's tokens are cut where the text is: no token is shuffled or sorted for its place."""
+    have their type, with previous the token before (prev, null at the start of a text). A text's tokens are cut where the text is: no token is shuffled or sorted for its place."""
     more = [c for c in texts.columns if c == "spans"]
-    rows = spread(texts.select("traj_id", "text", *more)).select("traj_id", *more, F.posexplode(_cut(max_len)(F.col("text"))).alias("pos", "t"))
-    rows = rows.select("traj_id", *more, "pos", "t.token", "t.start", "t.end")
+    rows = spread(texts.select("traj_id", "text", *more)).select("traj_id", *more, F.posexplode(_cut(max_len, previous)(F.col("text"))).alias("pos", "t"))
+    rows = rows.select("traj_id", *more, "pos", "t.token", "t.start", "t.end", *(["t.prev"] if previous else []))
     return rows.withColumn("type", token_type(F.col("spans"), F.col("start"), F.col("end"))).drop("spans") if more else rows
 
 
-def _cut(max_len: int | None):
-    """A function of texts: the first max_len tokens of each, with the characters where they begin and end."""
-    kind = "array<struct<token:string,start:bigint,end:bigint>>"
+def _cut(max_len: int | None, previous: bool = False):
+    """A function of texts: the first max_len tokens of each, with the characters where they begin and end, and with the token before if asked."""
+    kind = "array<struct<token:string,start:bigint,end:bigint" + (",prev:string>>" if previous else ">>")
 
     @F.arrow_udf(kind)
     def cut(texts: pa.Array) -> pa.Array:
-        run, tokens, starts, offsets, done = re.compile(f"[^{WS}]+", re.ASCII), [], [], [0], []
+        run, tokens, starts, firsts, offsets, done = re.compile(f"[^{WS}]+", re.ASCII), [], [], [], [0], []
 
         def close() -> None:  # Python's strings are many times as large as Arrow's
             t, s = pa.array(tokens, pa.string()), pa.array(starts, pa.int64())
-            done.append(pa.StructArray.from_arrays([t, s, pc.add(s, pc.cast(pc.utf8_length(t), pa.int64()))], ["token", "start", "end"]))
-            tokens.clear(), starts.clear()
+            columns = {"token": t, "start": s, "end": pc.add(s, pc.cast(pc.utf8_length(t), pa.int64()))}
+            if previous:
+                columns["prev"] = pa.array([None, *tokens[:-1]] if tokens else [], pa.string(), mask=np.isin(np.arange(len(tokens)), firsts))
+            done.append(pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+            tokens.clear(), starts.clear(), firsts.clear()
 
         for text in texts:
             before = len(tokens)
+            firsts.append(before)
             for m in itertools.islice(run.finditer(text.as_py() or ""), max_len):
                 tokens.append(m.group())
                 starts.append(m.start())
