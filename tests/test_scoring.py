@@ -6,7 +6,7 @@ import re
 import pytest
 
 from trailforge.functions import spans
-from trailforge.operators import scoring, selection
+from trailforge.operators import diagnostics, scoring, selection
 
 TOKENS = [("t", "s", 1, 0, 0.1, "reasoning"), ("t", "s", 2, 5, 2.0, "reasoning"), ("t", "s", 3, 250, 4.0, "reasoning"), ("t", "s", 4, 3, 1.5, "search_decision"), ("t", "s", 5, 1, 0.5, "search_decision"), ("u", "s", 1, 0, 0.0, "reasoning"), ("v", "s", 1, 9, 3.0, "search_decision")]
 
@@ -112,3 +112,39 @@ def test_tokens_get_places_and_types_where_their_text_is(spark, monkeypatch):
     key = lambda r: (r.traj_id, r.pos, r.type)
     assert sorted(map(key, tokens.collect())) == sorted(map(key, apart.collect()))
     assert scoring.text_tokens(rows.drop("spans"), 1).count() == 2
+
+
+TEXTS = [("a", "Go go <search>q w</search> go Q é a b c d e f <continue> go x"), ("b", ""), ("c", None), ("d", "one"), ("e", "x <search>x x x</search> x x")]
+
+
+def test_bags_score_as_their_tokens(spark):
+    rows = spark.createDataFrame(TEXTS, "traj_id string, text string").withColumn("spans", spans.decision_spans("text"))
+    vocabulary = scoring.unigram_vocabulary(spark.createDataFrame([("s", "go GO x é"), ("s", None), ("t", "x b b"), ("t", "")], "student string, text string"))
+    tokens = scoring.text_tokens(rows)
+    moved = diagnostics.shift_boundaries(rows.select("traj_id", "spans"), tokens, 2)
+    bags = scoring.token_bags(rows, 2)
+    assert bags.count() < tokens.where("pos > 0").count() == bags.agg({"n": "sum"}).first()[0]
+    got = {(r.traj_id, r.student): r for r in scoring.rsr(scoring.ngram_tokens(bags, vocabulary)).collect()}
+    for types, name in ((tokens, ""), (scoring.typed(tokens.drop("type"), moved), "_moved")):
+        want = scoring.rsr(scoring.ngram_tokens(types, vocabulary)).collect()
+        assert len(want) == len(got) == 4
+        for r in want:
+            for part in ("rsr_reasoning", "rsr_search_decision"):
+                assert got[r.traj_id, r.student][part + name] == pytest.approx(r[part])
+            for part in ("rsr_full", "mean_rank", "mean_surprisal", "num_tokens"):
+                assert got[r.traj_id, r.student][part] == pytest.approx(r[part])
+
+
+def test_words_are_counted_before_they_are_shuffled(spark):
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    assert every.split() == re.findall(f"[^{scoring.WS}]+", every, re.ASCII)
+    texts = spark.createDataFrame([("s", "B b a"), (None, "b"), ("s", None), ("t", "x " * scoring.MOST_CHARS)], "student string, text string")
+    counts = scoring.word_counts(texts, "student")
+    assert {(r.student, r.token): r.c for r in counts.collect()} == {("s", "b"): 2, ("s", "a"): 1, (None, "b"): 1, ("t", "x"): scoring.MOST_CHARS}
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()  # no row for each word
+
+
+def test_no_students_no_rows(spark):
+    rows = spark.createDataFrame([("a", "x y", [])], "traj_id string, text string, spans array<struct<s:int,e:int,label:string>>")
+    vocabulary = scoring.unigram_vocabulary(spark.createDataFrame([], "student string, text string"))
+    assert scoring.ngram_tokens(scoring.token_bags(rows), vocabulary).count() == 0
