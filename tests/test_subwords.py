@@ -65,3 +65,12 @@ def test_registered_types_are_those_of_plain_counting(spark):
             want[r.id, kind] = (n + 1, first, max(last, b))
     got = {(r.traj_id, r.type): (r.n, r.first, r.last_end) for r in QUERIES["subword_types"](spark, sf).collect()}
     assert got == want
+
+
+def test_types_are_found_where_the_text_is(texts):
+    spans = texts.select("traj_id", decision_spans("text").alias("spans"))
+    with_spans = texts.withColumn("spans", decision_spans("text"))
+    tokens = subwords.subword_tokens(with_spans, PATH, None, BEGIN)
+    assert "Join" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda r: (r.traj_id, r.pos, r.token_id, r.start, r.end, r.type)
+    assert sorted(map(key, tokens.collect())) == sorted(map(key, scoring.typed(subwords.subword_tokens(texts, PATH, None, BEGIN), spans).collect()))

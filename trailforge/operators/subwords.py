@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scoring import kinds
+
 #: Texts that one call of the library encodes.
 AT_ONCE = 64
 _loaded: dict = {}
@@ -31,8 +33,10 @@ def subword_tokens(texts: DataFrame, path: str, max_len: int | None = 4096, begi
 
     start and end are places of characters in the text. Tokens that share one character have the same places. begin is the id of a special
     token put before each text; it has no width and stands at (0, 0), so it belongs to a span only if that starts with the
-    text. At most max_len tokens of a text are kept, that one included. A null text is empty.
+    text. At most max_len tokens of a text are kept, that one included. A null text is empty. Where texts have a column spans, tokens also have
+    their type, found where the text is: they need not be shuffled to meet the spans.
     """
+    typed = "spans" in texts.columns
 
     def encode(batches):
         import pyarrow as pa
@@ -47,13 +51,23 @@ def subword_tokens(texts: DataFrame, path: str, max_len: int | None = 4096, begi
                 places = [([(0, 0)] * len(first) + e.offsets)[:max_len] for e in found]
                 n = [len(x) for x in ids]
                 flat = np.array([p for x in places for p in x], np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate([np.arange(x) for x in n]).astype(np.int32)), pa.array([i for x in ids for i in x], pa.int32()), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())],
-                    names=[key, "pos", "token_id", "start", "end"],
-                )
-
-    rows = texts.select(key, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(encode, f"{key} {rows.schema[key].dataType.simpleString()}, pos int, token_id int, start int, end int")
+                columns = {
+                    key: part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))),
+                    "pos": pa.array(np.concatenate([np.arange(x) for x in n]).astype(np.int32)),
+                    "token_id": pa.array([i for x in ids for i in x], pa.int32()),
+                    "start": pa.array(flat[:, 0].copy()),
+                    "end": pa.array(flat[:, 1].copy()),
+                }
+                if typed:
+                    types, ends = [], np.cumsum(n)
+                    for spans, low, high in zip(part.column("spans").to_pylist(), ends - n, ends, strict=True):
+                        labels = [x["label"] for x in spans or []] + ["reasoning"]
+                        types += [labels[k] for k in kinds(flat[low:high, 0], flat[low:high, 1], spans or []).tolist()]
+                    columns["type"] = pa.array(types, pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    rows = texts.select(key, F.col("text").cast("string").alias("text"), *(["spans"] if typed else []))
+    return rows.mapInArrow(encode, f"{key} {rows.schema[key].dataType.simpleString()}, pos int, token_id int, start int, end int" + (", type string" if typed else ""))
 
 
 def decoded(tokens: DataFrame, path: str, key: str = "traj_id") -> DataFrame:
