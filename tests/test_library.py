@@ -137,3 +137,12 @@ def test_passages_of_a_first_word_are_ranked_before_they_meet_queries(spark):
     hits = _ByFirstWord(passages).search(queries, 2)
     assert sorted((r.qid, r["rank"], r.doc_id, r.text) for r in hits.collect()) == [(q, i + 1, str(i), f"a {i}") for q in "xy" for i in range(2)]
     assert "windowspecdefinition(w#" in hits._jdf.queryExecution().optimizedPlan().toString()  # not a window over the hits of a query
+
+
+def test_corpus_is_numbered_without_its_texts(spark):
+    rows = [("t", "b", 3), ("t", "a", 1), ("t", "a", 2), ("t", "", 0), ("t", None, 9), (None, "n", 5), (None, "n", 4), ("t", "b", 3), ("t", "c", 1), ("u", "a", 1)]
+    out = corpus.build_corpus(spark.createDataFrame(rows, "title string, text string, pos int"))
+    got = sorted(((r.title, r.text, r.nth) for r in out.collect()), key=str)
+    assert [g for g in got if g[0] != "t"] == [("u", "a", 0), (None, "n", 0)]  # the order of a and c, which share a place, is open
+    assert {g[1]: g[2] for g in got if g[0] == "t"} in ({"a": 0, "c": 1, "b": 2}, {"c": 0, "a": 1, "b": 2}) and len(got) == 5
+    assert "text" not in {f.name for p in out.inputFiles() for f in spark.read.parquet(p).schema}

@@ -66,9 +66,16 @@ def build_corpus(passages: DataFrame, titles: DataFrame | None = None) -> DataFr
     rows = passages.where(F.col("text") != "")
     if titles is not None:
         rows = rows.join(titles.select("title"), "title", "left_semi")
-    first = rows.groupBy("title", "text").agg(F.min("pos").alias("pos"))
-    rows = numbered(first, ["title"], [F.asc("pos")], "nth").withColumn("nth", F.col("nth") - 1)
-    return rows.select(F.concat_ws("_", "title", "nth").alias("id"), "title", "text", "nth")
+    # texts are told apart and numbered by digests and places; they are shuffled once, to meet their numbers
+    digests = rows.select("title", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("hash"), "pos")
+    first = digests.groupBy("title", "digest").agg(F.min("pos").alias("pos"), F.min("hash").alias("hash")).drop("digest")
+    nth = numbered(first, ["title"], [F.asc("pos"), F.asc("hash")], "nth")
+    at = F.struct("title", "pos").alias("at")  # never null itself, so that rows without a title meet too
+    left, right = rows.select(at, "text").alias("l"), nth.select(at, "hash", (F.col("nth") - 1).alias("nth")).alias("r")
+    # a place may come again with another text (told apart by the hash) or with the same one (one is kept)
+    met = left.join(right, (F.col("l.at") == F.col("r.at")) & (F.xxhash64("l.text") == F.col("r.hash"))).select("l.at", "text", "nth")
+    one = met.groupBy("at", "nth").agg(F.first("text").alias("text"))
+    return one.select(F.concat_ws("_", "at.title", "nth").alias("id"), "at.title", "text", "nth")
 
 
 def in_title_order(corpus: DataFrame) -> DataFrame:
