@@ -120,3 +120,10 @@ def test_dense_vectors_that_take_part(spark):
     vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
     hits = retrieval.DenseIndex(vectors).search(vectors.where("doc_id < 4").withColumnRenamed("doc_id", "qid"), 3)
     assert found(hits) == {1: [(1, 1.0), (6, 0.70711), (7, -1.0)]}
+
+
+def test_slabs_are_bounded_by_their_decoded_vectors(spark, tmp_path):
+    df = spark.createDataFrame([(i, 0, [float(i % 7), 1.0, float(i % 3), 2.0]) for i in range(64)], SCHEMA)
+    built = late.ResidualIndex.build(df, str(tmp_path / "index"), centroids=4, steps=1, slab_bytes=256)
+    assert built.slabs == 64 * 4 * 8 // 256
+    assert max(r["count"] for r in built.codes().groupBy("slab").count().collect()) < 32
