@@ -73,8 +73,8 @@ def build_corpus(passages: DataFrame, titles: DataFrame | None = None) -> DataFr
     at = F.struct("title", "pos").alias("at")  # never null itself, so that rows without a title meet too
     left, right = rows.select(at, "text").alias("l"), nth.select(at, "hash", (F.col("nth") - 1).alias("nth")).alias("r")
     # a place may come again with another text (told apart by the hash) or with the same one (one is kept)
-    met = left.join(right, (F.col("l.at") == F.col("r.at")) & (F.xxhash64("l.text") == F.col("r.hash"))).select("l.at", "text", "nth")
-    one = met.groupBy("at", "nth").agg(F.first("text").alias("text"))
+    met = left.join(right, (F.col("l.at") == F.col("r.at")) & (F.xxhash64("l.text") == F.col("r.hash"))).select("r.at", "r.hash", "text", "nth")
+    one = met.groupBy("at", "hash").agg(F.first("nth").alias("nth"), F.first("text").alias("text"))  # by the keys of the join: no other shuffle or sort
     return one.select(F.concat_ws("_", "at.title", "nth").alias("id"), "at.title", "text", "nth")
 
 
